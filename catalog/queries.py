@@ -248,7 +248,7 @@ def event_blocks_model(spark, sf_dir):
 
 def _candidates(spark, sf_dir):
     rows = identity.merged_client_ids(tracked(spark, sf_dir))
-    views = rows.withColumns(attribution.source_signals()).filter("is_pageview")
+    views = attribution.with_signals(rows).filter("is_pageview")
     return attribution.source_candidates(
         views.select(*attribution.BLOCK, *attribution.SOURCE_FIELDS, "clid", "utm")
     )
@@ -276,7 +276,7 @@ def ext_sources(spark, sf_dir):
 @query
 def utm_rules(spark, sf_dir):
     """The rules on every pageview."""
-    rows = tracked(spark, sf_dir).withColumns(attribution.source_signals()).filter("is_pageview")
+    rows = attribution.with_signals(tracked(spark, sf_dir)).filter("is_pageview")
     return rows.withColumn("utm", attribution.apply_rules()).select(
         "event_id", *fields("utm", ("source", "medium"))
     )

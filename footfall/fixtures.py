@@ -14,10 +14,55 @@ GENERIC_EVENTS = (
     "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 )
 
-
-def _choose(key: Column, options: list[str | None]) -> Column:
-    """Option number ``key``."""
-    return F.element_at(F.array(*[F.lit(o) for o in options]), (key + 1).cast("int"))
+# FIXTURES.md section 5, as Spark SQL over event_id, ts, user_id, kind, value,
+# visitor, purl and sep; later entries use event_name.
+EVENT_NAME = """
+CASE kind
+  WHEN 'view' THEN 'pageview'
+  WHEN 'click' THEN element_at(array('text/html', 'scroll', 'view_item', 'add_to_cart'), int(event_id % 4) + 1)
+  WHEN 'signup' THEN element_at(array('sign_up', 'login', 'generate_lead'), int(event_id % 3) + 1)
+  WHEN 'purchase' THEN element_at(array('purchase', 'begin_checkout'), int(event_id % 2) + 1)
+  WHEN 'error' THEN element_at(array('video_start', 'page_view', 'consent', 'custom_x'), int(event_id % 4) + 1)
+END"""
+TRACKED = {
+    "timestamp": "CAST(ts AS TIMESTAMP)",
+    "event_type": "IF(event_name = 'text/html', 'request', 'event')",
+    "event_name": "event_name",
+    "parameters": """concat(
+        '{"currency":"', IF(event_id % 5 = 0, 'XXX', 'USD'), '","value":', money,
+        ',"method":"m', event_id % 3, '","percent_scrolled":', event_id % 101,
+        ',"engagement_time_msec":', event_id % 5000, ',"item_id":"i', event_id % 17,
+        '","custom_dimension1":"d', event_id % 9, '","items":[{"item_id":"i', event_id % 17,
+        '","price":', money, ',"quantity":', 1 + event_id % 3, '}]}')""",
+    "user_agent": """IF(visitor % 8 = 7, 'Mozilla/5.0 (compatible; examplebot/1.0)',
+        concat('Mozilla/5.0 (X11; Linux) Firefox/', 100 + visitor % 20))""",
+    "url": """concat(purl, CASE event_id % 11
+        WHEN 0 THEN concat(sep, 'utm_source=news&utm_medium=email&utm_campaign=c', event_id % 3)
+        WHEN 1 THEN concat(sep, 'gclid=g', event_id)
+        WHEN 2 THEN concat(sep, 'fbclid=f', event_id)
+        ELSE '' END)""",
+    "referrer": """CASE event_id % 13
+        WHEN 0 THEN 'https://www.google.com/'
+        WHEN 1 THEN 'https://blog.partner.io/x'
+        WHEN 2 THEN 'https://checkout.stripe.com/p'
+        WHEN 3 THEN purl
+        WHEN 4 THEN NULL
+        ELSE '' END""",
+    "client_id": "IF(has_id, concat('c', visitor, IF(event_id % 97 = 0, 'b', '')), NULL)",
+    "hash": "sha2(concat(visitor, '|', date_format(ts, 'yyyy-MM-dd')), 256)",
+    "user_id": "IF(visitor % 3 = 0 AND kind = 'signup', concat('u', user_id), NULL)",
+    "consent_given": "has_id",
+    "device": """CAST(named_struct(
+        'type', element_at(array('mobile', 'desktop', 'Other'), int(visitor % 3) + 1),
+        'brand', element_at(array('Samsung', 'Apple', 'iPhone', NULL), int(visitor % 4) + 1),
+        'model', NULL, 'browser', NULL, 'browser_version', NULL, 'os', NULL, 'os_version', NULL,
+        'is_bot', NULL) AS {device})""",
+    "ab_test": "CAST(NULL AS {ab_test})",
+    "location": """CAST(named_struct(
+        'ip_trunc', NULL, 'continent', NULL,
+        'country', element_at(array('Germany', 'France', NULL, 'United States'), int(visitor % 4) + 1),
+        'country_code', NULL, 'city', NULL) AS {location})""",
+}
 
 
 def tracking_events(
@@ -31,122 +76,42 @@ def tracking_events(
     np = pages.select(F.count(F.lit(1))).scalar()
     counted = events if basis is None else basis
     users = counted.select(F.count_distinct("user_id")).scalar()
-    eid = F.col("event_id")
-
-    base = events.withColumns(
-        {
-            "page": eid % np,
-            "visitor": F.col("user_id") % F.greatest(F.lit(3).cast("long"), F.floor(users / 18)),
-        }
-    ).join(pages.select(F.col("page_id").alias("page"), F.col("url").alias("purl")), "page")
-
-    kind = F.col("event_type")
-    visitor = F.col("visitor")
-    purl = F.col("purl")
-    sep = F.when(purl.contains("?"), "&").otherwise("?")
-    known = visitor % 3 == 0
-    money = F.col("value").cast("decimal(18,2)").cast("string")
-    currency = F.when(eid % 5 == 0, "XXX").otherwise("USD")
-    item = (eid % 17).cast("string")
-
-    event_name = (
-        F.when(kind == "view", "pageview")
-        .when(kind == "click", _choose(eid % 4, ["text/html", "scroll", "view_item", "add_to_cart"]))
-        .when(kind == "signup", _choose(eid % 3, ["sign_up", "login", "generate_lead"]))
-        .when(kind == "purchase", _choose(eid % 2, ["purchase", "begin_checkout"]))
-        .when(kind == "error", _choose(eid % 4, ["video_start", "page_view", "consent", "custom_x"]))
-    )
-    parameters = F.format_string(
-        '{"currency":"%s","value":%s,"method":"m%s","percent_scrolled":%s,'
-        '"engagement_time_msec":%s,"item_id":"i%s","custom_dimension1":"d%s",'
-        '"items":[{"item_id":"i%s","price":%s,"quantity":%s}]}',
-        currency,
-        money,
-        (eid % 3).cast("string"),
-        (eid % 101).cast("string"),
-        (eid % 5000).cast("string"),
-        item,
-        (eid % 9).cast("string"),
-        item,
-        money,
-        (eid % 3 + 1).cast("string"),
-    )
-    e, r = eid % 11, eid % 13
-    number = eid.cast("string")
-    url = F.concat(
-        purl,
-        F.when(
-            e == 0,
-            F.concat(
-                sep,
-                F.lit("utm_source=news&utm_medium=email&utm_campaign=c"),
-                (eid % 3).cast("string"),
-            ),
+    types = {
+        "device": schema.DEVICE.simpleString(),
+        "ab_test": schema.AB_TEST.simpleString(),
+        "location": schema.LOCATION.simpleString(),
+    }
+    return (
+        events.withColumns({"page_id": F.col("event_id") % np, "users": users})
+        .join(pages.selectExpr("page_id", "url AS purl"), "page_id")
+        .selectExpr(
+            "event_id", "ts", "user_id", "event_type AS kind", "purl",
+            "user_id % greatest(3L, users div 18) AS visitor",
+            "IF(contains(purl, '?'), '&', '?') AS sep",
+            "CAST(CAST(value AS DECIMAL(18,2)) AS STRING) AS money",
+        )
+        .selectExpr(
+            "*", f"{EVENT_NAME} AS event_name",
+            "visitor % 3 = 0 AND event_id % 5 <> 0 AS has_id",
+        )
+        .selectExpr(
+            "event_id",
+            *[f"{sql.format(**types) if name in types else sql} AS {name}" for name, sql in TRACKED.items()],
         )
-        .when(e == 1, F.concat(sep, F.lit("gclid=g"), number))
-        .when(e == 2, F.concat(sep, F.lit("fbclid=f"), number))
-        .otherwise(""),
-    )
-    referrer = (
-        F.when(r == 0, "https://www.google.com/")
-        .when(r == 1, "https://blog.partner.io/x")
-        .when(r == 2, "https://checkout.stripe.com/p")
-        .when(r == 3, purl)
-        .when(r == 4, F.lit(None))
-        .otherwise("")
-    )
-    agent = F.when(visitor % 8 == 7, "Mozilla/5.0 (compatible; examplebot/1.0)").otherwise(
-        F.concat(F.lit("Mozilla/5.0 (X11; Linux) Firefox/"), (visitor % 20 + 100).cast("string"))
-    )
-    client_id = F.when(
-        known & (eid % 5 != 0),
-        F.concat(
-            F.lit("c"), visitor.cast("string"), F.when(eid % 97 == 0, "b").otherwise("")
-        ),
     )
-    day = F.date_format("ts", "yyyy-MM-dd")
-    no_text = F.lit(None).cast("string")
 
-    columns = {
-        "timestamp": F.col("ts").cast("timestamp"),
-        "event_type": F.when(event_name == "text/html", "request").otherwise("event"),
-        "event_name": event_name,
-        "parameters": parameters,
-        "user_agent": agent,
-        "url": url,
-        "referrer": referrer,
-        "client_id": client_id,
-        "hash": F.sha2(F.concat_ws("|", visitor.cast("string"), day), 256),
-        "user_id": F.when(
-            known & (kind == "signup"), F.concat(F.lit("u"), F.col("user_id").cast("string"))
-        ),
-        "consent_given": client_id.isNotNull(),
-        "device": F.struct(
-            _choose(visitor % 3, ["mobile", "desktop", "Other"]).alias("type"),
-            _choose(visitor % 4, ["Samsung", "Apple", "iPhone", None]).alias("brand"),
-            *[
-                no_text.alias(n)
-                for n in ("model", "browser", "browser_version", "os", "os_version")
-            ],
-            F.lit(None).cast("boolean").alias("is_bot"),
-        ),
-        "ab_test": F.lit(None).cast(schema.AB_TEST),
-        "location": F.struct(
-            no_text.alias("ip_trunc"),
-            no_text.alias("continent"),
-            _choose(visitor % 4, ["Germany", "France", None, "United States"]).alias("country"),
-            no_text.alias("country_code"),
-            no_text.alias("city"),
-        ),
-    }
-    return base.select(eid, *[c.alias(name) for name, c in columns.items()])
+
+def _spread(events: DataFrame) -> DataFrame:
+    """Deal a table of few files out to all cores."""
+    cores = events.sparkSession.sparkContext.defaultParallelism
+    return events.repartition(cores, "event_id") if len(events.inputFiles()) < cores else events
 
 
 def load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracking events over the tables in ``sf_dir``."""
     events = spark.read.schema(GENERIC_EVENTS).parquet(f"{sf_dir}/events.parquet")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return tracking_events(events, pages)
+    return tracking_events(_spread(events), pages, events)
 
 
 def load_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,6 +122,11 @@ def load_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking_events(events, pages, basis)
 
 
+def _choose(key: Column, options: list[str | None]) -> Column:
+    """Option number ``key``."""
+    return F.element_at(F.array(*[F.lit(o) for o in options]), (key + 1).cast("int"))
+
+
 # --- Fixed values: user agents dealt out to landed hits ----------------------
 AGENTS = [
     "Mozilla/5.0 (iPhone; CPU iPhone OS 17_2 like Mac OS X) Version/17.2 Mobile Safari/604.1",

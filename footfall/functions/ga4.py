@@ -141,14 +141,10 @@ def document_schema(dimensions: int = 0, metrics: int = 0) -> T.StructType:
     )
 
 
-def _struct(doc: Document, fields: Fields, prefix: str = "") -> Column:
-    return F.struct(*[doc.read(prefix + name, kind).alias(name) for name, kind in fields])
-
-
 def event_struct(doc: Document, event_name: Column, column: str) -> Column:
     """One of ``STRUCTS``: filled for its event names, else NULL."""
     events, fields = STRUCTS[column]
-    return F.when(event_name.isin(*events), _struct(doc, fields))
+    return F.when(event_name.isin(*events), F.expr(doc.struct_sql(fields)))
 
 
 def purchase(doc: Document, event_name: Column) -> Column:
@@ -194,13 +190,15 @@ def video(doc: Document, event_name: Column) -> Column:
 
 def items(doc: Document, event_name: Column) -> Column:
     """Array of item structs; empty for other events or without items."""
-    schema = text_fields(_names(ITEMS))
-
-    def one(item: Column) -> Column:
-        return _struct(Document(item, F.from_json(item, schema), doc.strict), ITEMS)
-
-    listed = F.when(event_name.isin(*ITEM_EVENTS), doc.parsed["items"])
-    return F.transform(F.coalesce(listed, F.array().cast("array<string>")), one)
+    schema = text_fields(_names(ITEMS)).simpleString()
+    texts = f"coalesce({doc.parsed}.items, array())"
+    # Two steps, so that each item is parsed once.
+    parsed = f"transform({texts}, x -> struct(x AS raw, from_json(x, '{schema}') AS parsed))"
+    one = Document("i.raw", "i.parsed", doc.strict).struct_sql(ITEMS)
+    every = f"transform({parsed}, i -> {one})"
+    kinds = ", ".join(f"{name}: {kind}" for name, kind in ITEMS)
+    none = f"cast(array() AS array<struct<{kinds}>>)"
+    return F.when(event_name.isin(*ITEM_EVENTS), F.expr(every)).otherwise(F.expr(none))
 
 
 def currency(code: Column) -> Column:
@@ -241,11 +239,11 @@ def custom_metrics(doc: Document, n: int) -> list[Column]:
 
 
 def user_properties(doc: Document) -> Column:
-    return _struct(doc, USER_PROPERTIES, "user_properties.")
+    return F.expr(doc.struct_sql(USER_PROPERTIES, "user_properties."))
 
 
 def traffic_source(doc: Document) -> Column:
-    return _struct(doc, TRAFFIC_SOURCE, "traffic_source.")
+    return F.expr(doc.struct_sql(TRAFFIC_SOURCE, "traffic_source."))
 
 
 def device_category(kind: Column, brand: Column, model: Column) -> Column:
@@ -282,7 +280,7 @@ def parse(
     raw = F.col("parameters")
     wanted = raw if only is None else F.when(F.col("event_name").isin(*only), raw)
     parsed = F.from_json(wanted, document_schema(dimensions, metrics))
-    return events.withColumn(name, parsed), Document(raw, F.col(name), strict)
+    return events.withColumn(name, parsed), Document("parameters", name, strict)
 
 
 def with_parameters(

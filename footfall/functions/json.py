@@ -10,41 +10,45 @@ from pyspark.sql import types as T
 
 
 class Document:
-    """A JSON text column next to its parsed form.
+    """A JSON text next to its parsed form, both given as SQL expressions.
 
     The text is parsed once per row, all wanted leaves as strings; the readers
     below only pick fields.  Numbers keep the digits they were written with.
     """
 
-    def __init__(self, raw: Column, parsed: Column, strict: bool = False):
+    def __init__(self, raw: str, parsed: str, strict: bool = False):
         self.raw = raw
         self.parsed = parsed
         self.strict = strict  # raise on malformed numbers instead of NULL
 
-    def text(self, path: str) -> Column:
-        """A scalar as text; NULL if absent, null, an object or an array."""
-        value = self.parsed
-        for part in path.split("."):
-            value = value[part]
+    def sql(self, path: str, kind: str = "string") -> str:
+        """A scalar; NULL if absent, null, an object or an array."""
+        value = f"{self.parsed}.{path}"
         # A string may look like an object: ask for the JSON type only then.
-        found = F.try_variant_get(F.try_parse_json(self.raw), f"$.{path}", "variant")
-        kind = F.schema_of_variant(found)
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        looks_nested = value.startswith("{") | value.startswith("[")
-        return F.when(looks_nested, F.when(~nested, value)).otherwise(value)
+        found = f"try_variant_get(try_parse_json({self.raw}), '$.{path}', 'variant')"
+        nested = f"schema_of_variant({found}) RLIKE '^(OBJECT|ARRAY)'"
+        # Nested CASEs rather than AND, whose right side may be evaluated early.
+        text = (
+            f"CASE WHEN substr({value}, 1, 1) IN ('{{', '[')"
+            f" THEN CASE WHEN {nested} THEN NULL ELSE {value} END ELSE {value} END"
+        )
+        if kind == "string":
+            return text
+        return f"{'cast' if self.strict else 'try_cast'}({text} AS {kind})"
+
+    def struct_sql(self, fields: Iterable[tuple[str, str]], prefix: str = "") -> str:
+        """A struct of (name, type) fields."""
+        parts = [f"'{name}', {self.sql(prefix + name, kind)}" for name, kind in fields]
+        return f"named_struct({', '.join(parts)})"
 
-    def _cast(self, path: str, kind: str) -> Column:
-        text = self.text(path)
-        return text.cast(kind) if self.strict else text.try_cast(kind)
+    def text(self, path: str) -> Column:
+        return F.expr(self.sql(path))
 
     def number(self, path: str) -> Column:
-        return self._cast(path, "double")
+        return F.expr(self.sql(path, "double"))
 
     def integer(self, path: str) -> Column:
-        return self._cast(path, "bigint")
-
-    def read(self, path: str, kind: str) -> Column:
-        return {"string": self.text, "double": self.number, "bigint": self.integer}[kind](path)
+        return F.expr(self.sql(path, "bigint"))
 
 
 def text_fields(names: Iterable[str]) -> T.StructType:

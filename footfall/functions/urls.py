@@ -54,8 +54,9 @@ def click_id(url: Column, cfg: Config = DEFAULT) -> Column:
     so the two can disagree when the first is empty.
     """
     names = cfg.click_id_pattern
+    # A plain text search is far cheaper than a pattern that will not match.
     return F.when(
-        url.rlike(f"({names})=([^&#]+)"),
+        url.contains("=") & url.rlike(f"({names})=([^&#]+)"),
         F.struct(
             extract(url, f"({names})=").alias("parameter"),
             extract(url, f"(?:{names})=([^&#]+)").alias("value"),
@@ -67,7 +68,7 @@ def utm(url: Column) -> Column:
     """Campaign tags as struct<source, medium, campaign, content, term, id>."""
     names = "|".join(f"utm_{f}" for f in UTM_FIELDS)
     return F.when(
-        url.rlike(f"({names})=([^&#]+)"),
+        url.contains("utm_") & url.rlike(f"({names})=([^&#]+)"),
         F.struct(*[extract(url, f"utm_{f}=([^&#]+)").alias(f) for f in UTM_FIELDS]),
     )
 
@@ -75,12 +76,9 @@ def utm(url: Column) -> Column:
 def page_location(url: Column, cfg: Config = DEFAULT) -> Column:
     """The url without host, campaign tags and click ids; other parameters stay."""
     tags = f"(utm_[a-z]+|{cfg.click_id_pattern})=[^&#]*&?"
-    out = url
-    for pattern, replacement in (
-        (cfg.page_cleanup, ""),
-        (tags, ""),
-        (r"(\?$|\?&)", ""),
-        (r"\?#", "#"),
-    ):
+    path = F.regexp_replace(url, cfg.page_cleanup, "")
+    out = path
+    for pattern, replacement in ((tags, ""), (r"(\?$|\?&)", ""), (r"\?#", "#")):
         out = F.regexp_replace(out, pattern, replacement)
-    return out
+    # Without these characters none of the later patterns can match.
+    return F.when(url.contains("?") | url.contains("="), out).otherwise(path)

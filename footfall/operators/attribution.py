@@ -23,10 +23,9 @@ SOURCE_FIELDS = (
 
 
 def source_signals(cfg: Config = DEFAULT) -> dict[str, Column]:
-    """Columns of a raw event that tell where the visitor came from."""
+    """Columns of a pageview that tell where the visitor came from."""
     url, referrer = F.col("url"), F.col("referrer")
     return {
-        "is_pageview": urls.is_pageview(F.col("event_name"), url, cfg),
         "is_ext_referrer": urls.is_ext_referrer(referrer, url, cfg),
         "referring_domain": urls.host(referrer),
         "clid": urls.click_id(url, cfg),
@@ -35,6 +34,21 @@ def source_signals(cfg: Config = DEFAULT) -> dict[str, Column]:
     }
 
 
+def with_signals(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Add ``is_pageview`` and, on pageviews, the source signals.
+
+    Only pageviews can be a source, so other rows skip the pattern matching:
+    their url and referrer are NULL here.
+    """
+    flag = urls.is_pageview(F.col("event_name"), F.col("url"), cfg)
+    view = F.col("is_pageview")
+    return (
+        events.withColumn("is_pageview", F.coalesce(flag, F.lit(False)))
+        .withColumns({c: F.when(view, F.col(c)) for c in ("url", "referrer")})
+        .withColumns(source_signals(cfg))
+    )
+
+
 def is_signalled() -> Column:
     return F.col("is_ext_referrer") | F.col("clid").isNotNull() | F.col("utm").isNotNull()
 
@@ -47,7 +61,7 @@ def source_activity(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     model needs to know about other events is in this table.
     """
     signal = F.struct(F.coalesce("referrer", F.lit("")).alias("referrer"), "clid", "utm")
-    marked = events.withColumns(source_signals(cfg)).withColumns(
+    marked = with_signals(events, cfg).withColumns(
         {
             "legacy": identity.is_legacy(F.col("timestamp"), cfg),
             "signal": F.when(F.col("is_pageview") & is_signalled(), signal),
@@ -184,7 +198,7 @@ def source_markers(active: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     at_entry = entries.filter(F.col("entry").isNotNull()).select(
         *keys, "splits", F.lit(None).cast("timestamp").alias("at"), F.col("entry").alias("source")
     )
-    inside = sources.join(entries.select(*keys, "splits"), keys).select(
+    inside = timeline.with_splits(sources, active, keys).select(
         *keys, "splits", F.col("source.timestamp").alias("at"), "source"
     )
     return timeline.per_lane(at_entry.unionByName(inside)).drop("splits")

@@ -162,6 +162,22 @@ def lane(event_id: Column, splits: Column) -> Column:
     return F.when(splits > 1, F.pmod(F.xxhash64(event_id), splits)).otherwise(0).cast("int")
 
 
+def with_splits(rows: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the ``splits`` of each row's slice.
+
+    Only overfull slices are looked up.  There is at most one for every
+    ``split_rows`` events, so that side of the join is small.
+    """
+    crowded = (
+        placed.filter("splits > 1").groupBy(*keys).agg(F.max("splits").alias("crowd"))
+    )
+    return (
+        rows.join(crowded, keys, "left")
+        .withColumn("splits", F.coalesce("crowd", F.lit(1)))
+        .drop("crowd")
+    )
+
+
 def per_lane(rows: DataFrame) -> DataFrame:
     """One copy of each row for every lane of its slice (column ``splits``)."""
     return rows.withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))

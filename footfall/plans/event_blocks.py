@@ -38,7 +38,7 @@ def backfilled(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     )
     keys = ["hash", "slice", "lane"]
     markers = timeline.per_lane(
-        sightings.join(found.select("hash", "slice", "splits"), ["hash", "slice"])
+        timeline.with_splits(sightings, found, ["hash", "slice"])
     ).withColumn("is_event", F.lit(False))
     # Backwards in time, the latest sighting passed is the next one ahead.
     backwards = (
