@@ -13,7 +13,7 @@ class Document:
     """A JSON text next to its parsed form, both given as SQL expressions.
 
     The text is parsed once per row, all wanted leaves as strings; the readers
-    below only pick fields.  Numbers keep the digits they were written with.
+    only pick fields.  A number read as text is printed shortest: 1.50 is "1.5".
     """
 
     def __init__(self, raw: str, parsed: str, strict: bool = False):
