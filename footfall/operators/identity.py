@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from footfall.config import DEFAULT, Config
 from footfall.operators import timeline
+from footfall.sources.staging import stage
 
 
 def first_client_ids(events: DataFrame) -> DataFrame:
@@ -54,8 +55,10 @@ def with_legacy_ids(found: DataFrame, active: DataFrame, cfg: Config = DEFAULT)
     It is the second of a block's client ids if there are exactly two, else the
     first.  With two ids the later one is simply the maximum, so nothing is
     collected.  Blocks that start after the cutoff are not looked at.
+    ``active`` should be a written table, since it is read more than once.
     """
-    if cfg.legacy_id_cutoff is None:
+    # One look at the written table spares all tables without old events.
+    if active.filter(is_legacy(F.col("first_ts"), cfg)).isEmpty():
         return found.withColumn("legacy_id", F.col("first_id"))
     old = found.filter(is_legacy(F.col("block_start"), cfg))
     second = (
@@ -95,7 +98,7 @@ def merge_client_id(cfg: Config = DEFAULT, legacy: Column | None = None) -> dict
 
 def merged_client_ids(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Every event with ``block_start``, merged ``client_id``, ``no_client_id``."""
-    active = timeline.activity(events, cfg, ("client_id",))
+    active = stage(timeline.activity(events, cfg, ("client_id",)), "activity")
     found = with_legacy_ids(timeline.spans(active, cfg), active, cfg)
     columns = ("block_start", "first_id", "legacy_id")
     return (

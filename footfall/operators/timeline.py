@@ -52,19 +52,21 @@ def activity(
     )
 
 
-def spans(active: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def spans(active: DataFrame, cfg: Config = DEFAULT, summed: tuple[str, ...] = ()) -> DataFrame:
     """Block of each (hash, slice): ``block_start``, ``block_end``.
 
     ``pause_ms`` is the pause before the slice's first event.  ``splits`` says
     over how many tasks the events of an overfull slice should be dealt.  Where
     ``active`` is kept per ``client_id``, ``first_id`` is the block's first
-    client id and ``sole_id`` its only one, if there is just one.
+    client id and ``sole_id`` its only one, if there is just one.  Counts named
+    in ``summed`` are kept per slice.
     """
     with_ids = "client_id" in active.columns
     aggs = [
         F.min("first_ts").alias("first_ts"),
         F.max("last_ts").alias("last_ts"),
         F.sum("n").alias("n"),
+        *[F.sum(c).alias(c) for c in summed],
     ]
     if with_ids:
         seen = F.when(F.col("client_id").isNotNull(), F.struct("first_ts", "client_id"))
@@ -144,10 +146,8 @@ def with_blocks(
 def block_summary(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Per block: end, events and pageview events."""
     views = F.count_if(F.col("event_name") == "pageview")
-    active = activity(events, cfg, pageviews=views)
-    found = spans(active, cfg).select("hash", "slice", "block_start", "block_end")
     return (
-        active.join(found, ["hash", "slice"])
+        spans(activity(events, cfg, pageviews=views), cfg, ("pageviews",))
         .groupBy("hash", "block_start")
         .agg(
             F.max("block_end").alias("block_end"),

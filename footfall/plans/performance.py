@@ -23,28 +23,29 @@ def daily_performance(
     hierarchy, matched on its ``ad_id``.  Rows are grouped by the utm fields as
     well, which the output does not show, so a visible key can repeat.
     """
-    tags = F.col(utm)
+    names = ("source", "medium", "campaign", "term", "content", "id")
+    # Reduced before the join: most rows share few tags, and many have no id.
+    daily = table.groupBy(
+        F.to_date(date_column).alias("date"), *[F.col(f"{utm}.{n}").alias(f"utm_{n}") for n in names]
+    ).agg(*[F.sum(m).alias(m) for m in metrics])
     columns = {
-        "date": F.to_date(date_column),
-        "utm_source": tags["source"],
-        "utm_medium": tags["medium"],
-        "utm_campaign": tags["campaign"],
-        "utm_term": tags["term"],
-        "utm_content": tags["content"],
-        "utm_id": tags["id"],
-        "account_name": F.col("ads.account_name"),
-        "campaign_name": F.coalesce("ads.campaign_name", tags["campaign"]),
-        "adset_name": F.coalesce("ads.adset_name", tags["term"]),
-        "ad_name": F.coalesce("ads.ad_name", tags["content"]),
-        "ad_id": F.coalesce(F.col("ads.ad_id").cast("string"), tags["id"]),
-        "channel": F.coalesce("ads.channel", tags["medium"]),
-        "platform": F.coalesce("ads.platform", tags["source"]),
+        "account_name": F.col("account_name"),
+        "campaign_name": F.coalesce("campaign_name", "utm_campaign"),
+        "adset_name": F.coalesce("adset_name", "utm_term"),
+        "ad_name": F.coalesce("ad_name", "utm_content"),
+        "ad_id": F.coalesce("ad_key", "utm_id"),
+        "channel": F.coalesce("channel", "utm_medium"),
+        "platform": F.coalesce("platform", "utm_source"),
         "data_source": F.lit("tracking"),
     }
-    shown = [c for c in columns if not c.startswith("utm_")]
+    keyed = ads.withColumn("ad_key", F.col("ad_id").cast("string")).drop("ad_id")
     return (
-        table.join(ads.alias("ads"), tags["id"] == F.col("ads.ad_id").cast("string"), "left")
-        .groupBy(*[c.alias(name) for name, c in columns.items()])
+        daily.join(keyed, F.col("utm_id") == F.col("ad_key"), "left")
+        .groupBy(
+            "date",
+            *[f"utm_{n}" for n in names],
+            *[c.alias(name) for name, c in columns.items()],
+        )
         .agg(*[F.sum(m).alias(m) for m in metrics])
-        .select(*shown, *[F.lit(0).alias(c) for c in AD_COSTS], *metrics)
+        .select("date", *columns, *[F.lit(0).alias(c) for c in AD_COSTS], *metrics)
     )

@@ -39,12 +39,7 @@ def events_sessionated(
     ``parameters`` adds the parsed e-commerce structs.
     """
     active = stage(attribution.source_activity(events, cfg), "activity")
-    found = timeline.spans(active, cfg)
-    # One look at the written table spares all tables without old events.
-    if active.filter("legacy").isEmpty():
-        found = found.withColumn("legacy_id", F.col("first_id"))
-    else:
-        found = identity.with_legacy_ids(found, active, cfg)
+    found = identity.with_legacy_ids(timeline.spans(active, cfg), active, cfg)
     found = stage(found.select("hash", "slice", *BLOCK_COLUMNS), "spans")
     placed = (
         active.join(found, ["hash", "slice"])

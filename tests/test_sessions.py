@@ -21,13 +21,13 @@ def blocks(df):
     return column(timeline.with_blocks(df), "block_start")
 
 
-@pytest.mark.parametrize(
-    ("micros", "same"), [(1_800_000_000, True), (1_800_000_900, True), (1_800_001_000, False)]
-)
-def test_gap_is_strict_and_in_whole_milliseconds(spark, micros, same):
-    df = events(spark, {"timestamp": at()}, {"timestamp": at(microseconds=micros)})
-    first, second = blocks(df)
-    assert (first == second) is same
+def test_gap_is_strict_and_in_whole_milliseconds(spark):
+    pauses = {"a": 1_800_000_000, "b": 1_800_000_900, "c": 1_800_001_000}
+    rows = []
+    for hash, micros in pauses.items():
+        rows += [{"hash": hash}, {"hash": hash, "timestamp": at(microseconds=micros)}]
+    starts = blocks(events(spark, *rows))
+    assert [starts[i] == starts[i + 1] for i in (0, 2, 4)] == [True, True, False]
 
 
 def test_equal_times_share_a_block(spark):
@@ -61,27 +61,28 @@ def test_legacy_blocks(spark):
     assert merged(spark, [(0, "A"), (1, "B"), (2, None)], OLD, no_era)[0] == ["A", "B", "A"]
 
 
-def backfilled(spark, times_and_ids):
-    rows = [{"timestamp": at(m), "client_id": c} for m, c in times_and_ids]
+# client ids by minute, the result, and whether the block was repaired
+BACKFILL = [
+    ([(0, None), (1, "A"), (2, None)], ["A", "A", "A"], 0),
+    ([(0, "A"), (1, "B"), (2, None)], ["B", "B", "B"], 1),
+    ([(0, "A"), (1, "B"), (2, "A"), (3, None)], ["A", "B", "A", "h2"], 0),
+    ([(0, "A"), (1, "B"), (2, "A"), (3, "B"), (4, "C"), (5, "D")], ["D"] * 6, 1),
+    # the same over several slices of one block
+    ([(0, None), (25, None), (50, "A"), (75, None), (100, "B"), (125, None)], ["B"] * 6, 1),
+    ([(0, None), (25, "A"), (50, "B"), (75, "A"), (100, None)], ["A", "A", "B", "A", "h5"], 0),
+]
+
+
+def test_backfill(spark):
+    rows = [
+        {"timestamp": at(m), "client_id": c, "hash": f"h{i}"}
+        for i, (given, _, _) in enumerate(BACKFILL)
+        for m, c in given
+    ]
     df = event_blocks.event_blocks(events(spark, *rows))
-    return column(df, "client_id"), column(df, "cookiebot_fix")
-
-
-@pytest.mark.parametrize(
-    ("given", "ids", "fix"),
-    [
-        ([(0, None), (1, "A"), (2, None)], ["A", "A", "A"], 0),
-        ([(0, "A"), (1, "B"), (2, None)], ["B", "B", "B"], 1),
-        ([(0, "A"), (1, "B"), (2, "A"), (3, None)], ["A", "B", "A", "h"], 0),
-        ([(0, "A"), (1, "B"), (2, "A"), (3, "B"), (4, "C"), (5, "D")], ["D"] * 6, 1),
-        # the same over several slices of one block
-        ([(0, None), (25, None), (50, "A"), (75, None), (100, "B"), (125, None)], ["B"] * 6, 1),
-        ([(0, None), (25, "A"), (50, "B"), (75, "A"), (100, None)], ["A", "A", "B", "A", "h"], 0),
-    ],
-)
-def test_backfill(spark, given, ids, fix):
-    found, flags = backfilled(spark, given)
-    assert found == ids and set(flags) == {fix}
+    found = df.select("event_id", "client_id", "cookiebot_fix").orderBy("event_id").collect()
+    assert [r.client_id for r in found] == [c for _, ids, _ in BACKFILL for c in ids]
+    assert [r.cookiebot_fix for r in found] == [fix for _, ids, fix in BACKFILL for _ in ids]
 
 
 def test_event_ids(spark):
@@ -124,22 +125,22 @@ def test_sources_split_blocks(spark):
     assert column(df, "landing_page")[3] == "/"
 
 
-@pytest.mark.parametrize(
-    ("row", "source", "medium"),
-    [
-        ({"url": "https://example.com/?gclid=1"}, "google", "cpc"),
-        ({"url": "https://example.com/?fbclid=1"}, "facebook", "(not set)"),
-        ({"referrer": "https://www.google.com/"}, "google", "organic"),
-        ({"referrer": "https://blog.partner.io/"}, "referring_domain", "referral"),
-        ({"url": "https://example.com/?utm_source=news"}, "news", "none"),
-        ({"url": "https://example.com/?utm_source=x&gclid=1"}, "x", "cpc"),
-        ({"referrer": "https://checkout.stripe.com/"}, "direct", "none"),
-        ({}, "direct", "none"),
-    ],
-)
-def test_rules(spark, row, source, medium):
-    utm = column(events_sessionated(events(spark, row), parameters=False), "utm")[0]
-    assert (utm.source, utm.medium) == (source, medium)
+RULES = [
+    ({"url": "https://example.com/?gclid=1"}, "google", "cpc"),
+    ({"url": "https://example.com/?fbclid=1"}, "facebook", "(not set)"),
+    ({"referrer": "https://www.google.com/"}, "google", "organic"),
+    ({"referrer": "https://blog.partner.io/"}, "referring_domain", "referral"),
+    ({"url": "https://example.com/?utm_source=news"}, "news", "none"),
+    ({"url": "https://example.com/?utm_source=x&gclid=1"}, "x", "cpc"),
+    ({"referrer": "https://checkout.stripe.com/"}, "direct", "none"),
+    ({}, "direct", "none"),
+]
+
+
+def test_rules(spark):
+    rows = [{**row, "hash": f"h{i}"} for i, (row, _, _) in enumerate(RULES)]
+    found = column(events_sessionated(events(spark, *rows), parameters=False), "utm")
+    assert [(u.source, u.medium) for u in found] == [(s, m) for _, s, m in RULES]
 
 
 def found_sessions(spark, *rows, cfg=DEFAULT):
@@ -147,23 +148,26 @@ def found_sessions(spark, *rows, cfg=DEFAULT):
     return sessions.sessions(es, cfg).orderBy("start_ts").collect()
 
 
-@pytest.mark.parametrize(
-    ("client", "later", "source"),
-    [
-        ("A", timedelta(days=29, hours=23), "news"),
-        ("A", timedelta(days=30), "direct"),
-        (None, timedelta(hours=23), "news"),
-        (None, timedelta(hours=24), "direct"),
-    ],
-)
-def test_lookback(spark, client, later, source):
-    first = {"url": NEWS, "client_id": client}
-    second = {"timestamp": at() + later, "client_id": client}
-    # The hash of a known client changes daily.
-    second["hash"] = "h2" if client else "h"
-    rows = found_sessions(spark, first, second)
-    assert [r.utm.source for r in rows] == ["news", source]
-    assert rows[1].donor_start_ts == (at() if source == "news" else None)
+LOOKBACK = [
+    ("A", timedelta(days=29, hours=23), "news"),
+    ("B", timedelta(days=30), "direct"),
+    (None, timedelta(hours=23), "news"),
+    (None, timedelta(hours=24), "direct"),
+]
+
+
+def test_lookback(spark):
+    rows = []
+    for i, (client, later, _) in enumerate(LOOKBACK):
+        # The hash of a known client changes daily.
+        again = f"again{i}" if client else f"h{i}"
+        rows.append({"url": NEWS, "client_id": client, "hash": f"h{i}"})
+        rows.append({"timestamp": at() + later, "client_id": client, "hash": again})
+    found = {r.start_ts: r for r in found_sessions(spark, *rows) if r.start_ts > at()}
+    for _, later, source in LOOKBACK:
+        row = found[at() + later]
+        assert row.utm.source == source
+        assert row.donor_start_ts == (at() if source == "news" else None)
 
 
 def test_unknown_agents_and_bots_are_dropped_but_donate(spark):
