@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 # --- Fixed values -----------------------------------------------------------
 # These must equal the reference's for equal results.
@@ -89,14 +89,21 @@ class Config:
     # Physical layout; none of these changes a result.
     bin_seconds: int = 1800  # visitor timeline slice; must not exceed the gap
     session_bin_seconds: int = 3600  # client timeline slice for session scans
-    split_rows: int = 1_000_000  # a slice with more rows is split over tasks
+    split_rows: int = 1_000_000  # a slice with more rows is split over lanes
+    max_lanes: int = 16  # with more lanes than this, slices are cut to a second
 
     def __post_init__(self) -> None:
         if self.bin_seconds * 1000 > self.gap_ms:
             raise ValueError("bin_seconds must not exceed the inactivity gap")
-        if min(self.bin_seconds, self.session_bin_seconds, self.split_rows) < 1:
+        if min(
+            self.bin_seconds, self.session_bin_seconds, self.split_rows, self.max_lanes
+        ) < 1:
             raise ValueError("layout settings must be positive")
 
+    def finer(self) -> Config:
+        """The same with slices of one second."""
+        return replace(self, bin_seconds=1)
+
     @property
     def click_id_pattern(self) -> str:
         return "|".join(self.click_ids)

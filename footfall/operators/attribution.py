@@ -84,20 +84,18 @@ def activity_views(active: DataFrame) -> DataFrame:
 def source_candidates(views: DataFrame) -> DataFrame:
     """Pageviews that carry a source signal or open their (client, block).
 
-    The opening pageview is found by a combinable aggregate and joined back, so
-    no block has to fit one task.
+    The opening pageviews come from a combinable aggregate and are joined back
+    by event, not by block, so a block of any size stays spread out.
     """
-    opening = views.groupBy(*BLOCK).agg(
-        F.min(F.struct("timestamp", "event_id")).alias("opening")
+    opening = (
+        views.groupBy(*BLOCK)
+        .agg(F.min(F.struct("timestamp", "event_id")).alias("opening"))
+        .select(*BLOCK, "opening.event_id", F.lit(True).alias("opens"))
     )
     return (
-        views.join(opening, BLOCK)
-        .withColumn(
-            "is_first_pageview",
-            (F.col("timestamp") == F.col("opening.timestamp"))
-            & (F.col("event_id") == F.col("opening.event_id")),
-        )
-        .drop("opening")
+        views.join(opening, [*BLOCK, "event_id"], "left")
+        .withColumn("is_first_pageview", F.col("opens").isNotNull())
+        .drop("opens")
         .filter(F.col("is_first_pageview") | is_signalled())
         .withColumn("is_direct", ~is_signalled())
     )
@@ -162,8 +160,8 @@ def source_markers(active: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Rows that tell each slice of a (client, block) which source is in force.
 
     Per slice there is one entry row (``at`` NULL), holding the last source of
-    earlier slices or else the block's first source, and one row per source
-    inside the slice.  The window over slices is short: a block has at most one
+    earlier slices or else the block's first source, and one row per instant
+    with a source inside the slice.  The window over slices is short: a block has at most one
     row per slice.
     """
     sources = ext_sources(source_candidates(activity_views(active)), cfg).select(
@@ -198,9 +196,10 @@ def source_markers(active: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     at_entry = entries.filter(F.col("entry").isNotNull()).select(
         *keys, "splits", F.lit(None).cast("timestamp").alias("at"), F.col("entry").alias("source")
     )
-    inside = timeline.with_splits(sources, active, keys).select(
-        *keys, "splits", F.col("source.timestamp").alias("at"), "source"
+    instants = sources.groupBy(*keys, F.col("source.timestamp").alias("at")).agg(
+        F.max("source").alias("source")
     )
+    inside = timeline.with_splits(instants, active, keys).select(*keys, "splits", "at", "source")
     return timeline.per_lane(at_entry.unionByName(inside)).drop("splits")
 
 

@@ -149,11 +149,13 @@ def repaired_ids(active: DataFrame, found: DataFrame, cfg: Config = DEFAULT) ->
     )
 
 
-def next_ids(active: DataFrame, found: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+def next_ids(
+    active: DataFrame, found: DataFrame, cfg: Config = DEFAULT
+) -> tuple[DataFrame, DataFrame]:
     """First sightings of client ids, and what each slice can see ahead.
 
-    The first frame has one row per sighting (hash, slice, seen_at, seen_id);
-    the second adds to ``found`` the block's next sighting after the slice, as
+    The first frame has one row per instant with a sighting (hash, slice,
+    seen_at, seen_id); the second adds to ``found`` the block's next sighting after the slice, as
     ``ahead_id``.
     """
     sightings = (
@@ -167,6 +169,9 @@ def next_ids(active: DataFrame, found: DataFrame, cfg: Config = DEFAULT) -> tupl
             F.col("client_id").alias("seen_id"),
         )
     )
+    sightings = sightings.groupBy("hash", "slice", "seen_at").agg(
+        F.min("seen_id").alias("seen_id")
+    )
     per_slice = sightings.groupBy("hash", "slice").agg(
         F.min(F.struct("seen_at", "seen_id"))["seen_id"].alias("seen_id")
     )

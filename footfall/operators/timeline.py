@@ -157,6 +157,16 @@ def block_summary(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     )
 
 
+def is_overfull(found: DataFrame, cfg: Config = DEFAULT) -> bool:
+    """Whether slices should be cut finer; ``found`` is a written table.
+
+    What all lanes of a slice need to know is copied to each.  Slices of a
+    second hold at most a million instants, so there the copies never outnumber
+    the events.
+    """
+    return cfg.bin_seconds > 1 and not found.filter(F.col("splits") > cfg.max_lanes).isEmpty()
+
+
 def lane(event_id: Column, splits: Column) -> Column:
     """Which of its slice's tasks an event goes to."""
     return F.when(splits > 1, F.pmod(F.xxhash64(event_id), splits)).otherwise(0).cast("int")

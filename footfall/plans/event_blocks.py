@@ -9,6 +9,18 @@ from footfall.config import DEFAULT, Config
 from footfall.operators import identity, timeline
 from footfall.sources.staging import stage
 
+COLUMNS = ("block_end", "splits", "sole_id", "fixed_id", "ahead_id")
+
+
+def _timeline(events: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
+    """What each slice knows of its block, written down, and the id sightings."""
+    active = stage(timeline.activity(events, cfg, ("client_id",)), "activity")
+    found = timeline.spans(active, cfg)
+    fixed = identity.repaired_ids(active, found, cfg)
+    sightings, ahead = identity.next_ids(active, found, cfg)
+    known = ahead.join(fixed, ["hash", "block_start"], "left")
+    return stage(known.select("hash", "slice", *COLUMNS), "spans"), sightings
+
 
 def backfilled(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Every event with ``block_end`` and the client id after each pass.
@@ -17,18 +29,13 @@ def backfilled(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     first seen later in the block, ``pass2`` the block's only id or else the
     visitor hash, and ``pass3`` overrides with the repaired id, if any.
     """
-    active = stage(timeline.activity(events, cfg, ("client_id",)), "activity")
-    found = timeline.spans(active, cfg)
-    fixed = identity.repaired_ids(active, found, cfg)
-    sightings, ahead = identity.next_ids(active, found, cfg)
-    columns = ("block_end", "splits", "sole_id", "fixed_id", "ahead_id")
-    found = stage(
-        ahead.join(fixed, ["hash", "block_start"], "left").select("hash", "slice", *columns),
-        "spans",
-    )
+    found, sightings = _timeline(events, cfg)
+    if timeline.is_overfull(found, cfg):
+        cfg = cfg.finer()
+        found, sightings = _timeline(events, cfg)
 
     placed = timeline.with_slices(
-        timeline.with_blocks(events, cfg, columns, found), cfg
+        timeline.with_blocks(events, cfg, COLUMNS, found), cfg
     ).withColumns(
         {
             "lane": timeline.lane(F.col("event_id"), F.col("splits")),
@@ -56,7 +63,7 @@ def backfilled(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         .withColumn("pass2", F.coalesce("pass1", "sole_id", "hash"))
         .withColumn("pass3", F.coalesce("fixed_id", "pass2"))
         .withColumn("cookiebot_fix", F.col("fixed_id").isNotNull().cast("int"))
-        .drop("slice", "lane", "seen_at", "seen_id", "is_event", "upcoming", *columns[1:])
+        .drop("slice", "lane", "seen_at", "seen_id", "is_event", "upcoming", *COLUMNS[1:])
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.operators.timeline import slice_start
+from footfall.sources.staging import stage
 
 
 def _when(as_of: str | Column) -> Column:
@@ -323,21 +324,49 @@ def retention(events: DataFrame, key: str = "client_id") -> DataFrame:
     )
 
 
+def _next_hits(hits: DataFrame, reached: DataFrame, key: str) -> DataFrame:
+    """First hit of each key at or after ``reached_at``.
+
+    Hits of the same hour are compared one by one, joined by key and hour;
+    later hours count with their first hit only.  So no key's hits meet in one
+    task.
+    """
+    hour = slice_start(F.col("reached_at"), 3600)
+    same = (
+        hits.join(reached.withColumn("slice", hour), [key, "slice"])
+        .filter(F.col("timestamp") >= F.col("reached_at"))
+        .select(key, "timestamp")
+    )
+    later = (
+        hits.groupBy(key, "slice")
+        .agg(F.min("timestamp").alias("timestamp"))
+        .join(reached.withColumn("hour", hour), key)
+        .filter(F.col("slice") > F.col("hour"))
+        .select(key, "timestamp")
+    )
+    return same.unionByName(later)
+
+
 def funnel(events: DataFrame, steps: Sequence[str], key: str = "client_id") -> DataFrame:
     """Clients that reach each step, in order.
 
-    A step counts at its first time at or after the step before it.
+    A step counts at its first time at or after the step before it.  Each
+    step's clients are written down, as the next step reads them twice.
     """
     seen = events.filter(F.col(key).isNotNull() & F.col("event_name").isin(*steps)).select(
-        key, "event_name", "timestamp"
+        key,
+        "event_name",
+        "timestamp",
+        slice_start(F.col("timestamp"), 3600).alias("slice"),
     )
     reached = None
     out = None
     for number, step in enumerate(steps, start=1):
         hits = seen.filter(F.col("event_name") == step)
         if reached is not None:
-            hits = hits.join(reached, key).filter(F.col("timestamp") >= F.col("reached_at"))
-        reached = hits.groupBy(key).agg(F.min("timestamp").alias("reached_at"))
+            hits = _next_hits(hits, reached, key)
+        first = hits.groupBy(key).agg(F.min("timestamp").alias("reached_at"))
+        reached = stage(first, f"funnel_{number}")
         row = reached.agg(F.count(F.lit(1)).alias("clients")).select(
             F.lit(number).alias("step"), F.lit(step).alias("event_name"), "clients"
         )

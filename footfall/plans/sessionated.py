@@ -27,6 +27,13 @@ def event_columns(cfg: Config = DEFAULT) -> dict[str, Column]:
     }
 
 
+def _timeline(events: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
+    """The activity table and the block of each slice, both written down."""
+    active = stage(attribution.source_activity(events, cfg), "activity")
+    found = identity.with_legacy_ids(timeline.spans(active, cfg), active, cfg)
+    return active, stage(found.select("hash", "slice", *BLOCK_COLUMNS), "spans")
+
+
 def events_sessionated(
     events: DataFrame, cfg: Config = DEFAULT, parameters: bool = True
 ) -> DataFrame:
@@ -38,9 +45,10 @@ def events_sessionated(
     alone come last, so they are never shuffled and cost nothing if not used.
     ``parameters`` adds the parsed e-commerce structs.
     """
-    active = stage(attribution.source_activity(events, cfg), "activity")
-    found = identity.with_legacy_ids(timeline.spans(active, cfg), active, cfg)
-    found = stage(found.select("hash", "slice", *BLOCK_COLUMNS), "spans")
+    active, found = _timeline(events, cfg)
+    if timeline.is_overfull(found, cfg):
+        cfg = cfg.finer()
+        active, found = _timeline(events, cfg)
     placed = (
         active.join(found, ["hash", "slice"])
         .withColumns(identity.merge_client_id(cfg, F.col("legacy")))

@@ -19,6 +19,7 @@ from footfall.config import Config
 from footfall.plans import event_blocks, rollup, sessions
 from footfall.plans.reports import session_numbers
 from footfall.plans.sessionated import events_sessionated
+from footfall.sources.staging import stage
 from oracles import base as b
 from oracles.queries import BACKFILL
 
@@ -26,7 +27,9 @@ LAYOUTS = [
     Config(),
     Config(bin_seconds=60, session_bin_seconds=300, split_rows=1),
     Config(bin_seconds=700, session_bin_seconds=86_400, split_rows=3),
+    Config(split_rows=2, max_lanes=2),  # overfull: falls back to slices of a second
 ]
+NAMES = ["default", "tiny", "odd", "overfull"]
 URLS = [
     "https://example.com/",
     "https://example.com/pricing",
@@ -86,13 +89,10 @@ def sql(stages, select: str) -> str:
 SOURCES = "utm.source AS utm_source, utm.medium AS utm_medium, clid.value AS clid_value"
 
 
-@pytest.mark.parametrize("cfg", LAYOUTS, ids=["default", "tiny", "odd"])
+@pytest.mark.parametrize("cfg", LAYOUTS, ids=NAMES)
 def test_models(spark, case, cfg):
     table, con = case
-    es = events_sessionated(table, cfg, parameters=False)
-    path = f"{spark.conf.get('spark.checkpoint.dir')}/es-{id(cfg)}-{id(con)}"
-    es.write.parquet(path)
-    es = spark.read.schema(es.schema).parquet(path)
+    es = stage(events_sessionated(table, cfg, parameters=False), "es")
     utm = [F.col("utm.source").alias("utm_source"), F.col("utm.medium").alias("utm_medium"),
            F.col("clid.value").alias("clid_value")]
     flags = ["client_id", "no_client_id", "block_id", "session_id", "landing_page", "source_referrer",
@@ -123,7 +123,7 @@ def test_models(spark, case, cfg):
     assert not problems
 
 
-@pytest.mark.parametrize("cfg", LAYOUTS, ids=["default", "tiny", "odd"])
+@pytest.mark.parametrize("cfg", LAYOUTS, ids=NAMES)
 def test_backfill(case, cfg):
     table, con = case
     rows = event_blocks.backfilled(table, cfg)
