@@ -41,59 +41,55 @@ SELECT event_id, hostname, nullif(regexp_extract(url, '^(?:\w+://)?(?:[^:/?]+\.)
 FROM parsed""")
 
 # --- Blocks and identity
-add("block_starts", b.TO_BLOCKS, 'SELECT hash, "timestamp", time_diff_ms FROM block_starts')
-add("block_ends", b.TO_BLOCKS, 'SELECT hash, "timestamp", time_diff_ms FROM block_ends')
+add("block_starts", b.TO_BLOCKS, """
+SELECT hash, "timestamp", before_ms AS time_diff_ms FROM gaps WHERE before_ms > 1800000 OR before_ms IS NULL""")
+add("block_ends", b.TO_BLOCKS, """
+SELECT hash, "timestamp", after_ms AS time_diff_ms FROM gaps WHERE after_ms > 1800000 OR after_ms IS NULL""")
 add("blocks", b.TO_BLOCKS, """
 SELECT hash, block_start, max("timestamp") AS block_end, count(*) AS events,
   count(*) FILTER (event_name = 'pageview') AS pageviews
-FROM started GROUP BY hash, block_start""")
-add("event_block_starts", b.TO_BLOCKS, 'SELECT event_id, hash, "timestamp", block_start FROM started')
-add("event_blocks", b.TO_BLOCKS, 'SELECT event_id, hash, "timestamp", block_end FROM ended')
+FROM placed GROUP BY hash, block_start""")
+add("event_block_starts", b.TO_BLOCKS, 'SELECT event_id, hash, "timestamp", block_start FROM placed')
+add("event_blocks", b.TO_BLOCKS, 'SELECT event_id, hash, "timestamp", block_end FROM placed')
 add("first_client_ids", b.TO_EVENTS, """
 SELECT hash, client_id, min("timestamp") AS "timestamp" FROM tracked WHERE client_id IS NOT NULL GROUP BY 1, 2""")
-add("first_client_ids_block", b.TO_MERGED, 'SELECT hash, block_start, client_id, "timestamp" FROM block_ids')
+add("first_client_ids_block", b.TO_MERGED, """
+SELECT hash, block_start, client_id, seen_at AS "timestamp" FROM sightings""")
 add("client_ids", b.TO_MERGED, "SELECT event_id, block_start, client_id, no_client_id FROM merged")
 add("legacy_client_ids", (*b.TO_BLOCKS, b.merged("2024-01-16")),
     "SELECT event_id, block_start, client_id, no_client_id FROM merged")
 
 BACKFILL = (*b.TO_BLOCKS, """
-seen AS (
-  SELECT hash, client_id, min("timestamp") AS "timestamp" FROM parsed WHERE client_id IS NOT NULL GROUP BY 1, 2
+first_seen AS (
+  SELECT hash, seen_at, min(client_id) AS next_id
+  FROM (SELECT hash, client_id, min("timestamp") AS seen_at FROM placed WHERE client_id IS NOT NULL GROUP BY ALL)
+  GROUP BY ALL
 ),
-sole AS (
-  SELECT hash, block_end, any_value(client_id) AS client_id FROM ended WHERE client_id IS NOT NULL
-  GROUP BY 1, 2 HAVING count(DISTINCT client_id) = 1
+stays AS (
+  SELECT hash, block_end, client_id, min("timestamp") AS came, max("timestamp") AS went
+  FROM placed WHERE client_id IS NOT NULL GROUP BY ALL
 ),
-fixed AS (
-  SELECT hash, block_end, client_id FROM (
-    SELECT *, count(client_id) OVER (PARTITION BY hash, block_end) AS ids,
-      row_number() OVER (PARTITION BY hash, block_end ORDER BY max_ts DESC) AS rn
-    FROM (
-      SELECT *, (lag(max_ts) OVER w IS NULL OR lag(max_ts) OVER w < min_ts)
-        AND (lead(min_ts) OVER w IS NULL OR lead(min_ts) OVER w > max_ts) AS apart
-      FROM (SELECT hash, block_end, client_id, min("timestamp") AS min_ts, max("timestamp") AS max_ts
-            FROM ended WHERE client_id IS NOT NULL GROUP BY 1, 2, 3)
-      WINDOW w AS (PARTITION BY hash, block_end ORDER BY min_ts, client_id)
-    ) WHERE apart
-  ) WHERE ids = 2 AND rn = 1
-),
-p1 AS (
-  SELECT e.* EXCLUDE (client_id), e.client_id AS tracked_client_id, coalesce(e.client_id, c.client_id) AS pass1
-  FROM ended e LEFT JOIN seen c
-    ON e.hash = c.hash AND e."timestamp" <= c."timestamp" AND e.block_end >= c."timestamp"
-  QUALIFY row_number() OVER (PARTITION BY e.event_id ORDER BY c."timestamp", c.client_id) = 1
-),
-p2 AS (
-  SELECT e.*, coalesce(e.pass1, s.client_id, e.hash) AS pass2
-  FROM p1 e LEFT JOIN sole s ON e.hash = s.hash AND e.block_end = s.block_end
+sole AS (SELECT hash, block_end, min(client_id) AS only_id FROM stays GROUP BY ALL HAVING count(*) = 1),
+repaired AS (
+  SELECT hash, block_end, max_by(client_id, went) AS fixed_id
+  FROM (
+    SELECT *, coalesce(lag(went) OVER w < came, TRUE) AND coalesce(lead(came) OVER w > went, TRUE) AS apart
+    FROM stays WINDOW w AS (PARTITION BY hash, block_end ORDER BY came, client_id)
+  ) WHERE apart GROUP BY ALL HAVING count(*) = 2
 ),
 p3 AS (
-  SELECT e.*, coalesce(f.client_id, e.pass2) AS pass3,
-    CASE WHEN f.client_id IS NOT NULL THEN 1 ELSE 0 END AS cookiebot_fix
-  FROM p2 e LEFT JOIN fixed f ON e.hash = f.hash AND e.block_end = f.block_end
+  SELECT * EXCLUDE (client_id), client_id AS tracked_client_id,
+    coalesce(client_id, ahead) AS pass1,
+    coalesce(client_id, ahead, only_id, hash) AS pass2,
+    coalesce(fixed_id, client_id, ahead, only_id, hash) AS pass3,
+    CAST(fixed_id IS NOT NULL AS INTEGER) AS cookiebot_fix
+  FROM (
+    SELECT e.*, CASE WHEN f.seen_at <= e.block_end THEN f.next_id END AS ahead
+    FROM placed e ASOF LEFT JOIN first_seen f ON e.hash = f.hash AND e."timestamp" <= f.seen_at
+  ) LEFT JOIN sole USING (hash, block_end) LEFT JOIN repaired USING (hash, block_end)
 )""")
-add("backfill_pass1", BACKFILL, "SELECT event_id, block_end, tracked_client_id, pass1 FROM p1")
-add("backfill_pass2", BACKFILL, "SELECT event_id, pass2 FROM p2")
+add("backfill_pass1", BACKFILL, "SELECT event_id, block_end, tracked_client_id, pass1 FROM p3")
+add("backfill_pass2", BACKFILL, "SELECT event_id, pass2 FROM p3")
 add("backfill_pass3", BACKFILL, "SELECT event_id, pass3, cookiebot_fix FROM p3")
 add("event_blocks_model", BACKFILL, """
 SELECT event_id, "timestamp", hash, event_name, url, block_end, tracked_client_id, pass3 AS client_id, cookiebot_fix
@@ -102,23 +98,12 @@ FROM p3""")
 # --- Sources and sessions
 add("source_candidates", b.TO_SOURCES, f"""
 SELECT event_id, "timestamp", client_id, block_start, is_first_pageview, is_ext_referrer, landing_page, referrer,
-  referring_domain, is_direct, {CLID_COLS}, {UTM_COLS} FROM signalled""")
+  referring_domain, is_direct, {CLID_COLS}, {UTM_COLS} FROM candidates""")
 add("ext_sources", b.TO_SOURCES, f"""
 SELECT event_id, "timestamp", client_id, block_start, is_direct, first_source, landing_page, referrer,
   {CLID_COLS}, {UTM_COLS} FROM ext_sources""")
-add("utm_rules", b.TO_PARSED, r"""
-SELECT event_id,
-  coalesce(utm.source, CASE
-    WHEN clid.parameter IN ('gclid','wbraid','gbraid') THEN 'google'
-    WHEN clid.parameter = 'fbclid' THEN 'facebook'
-    WHEN regexp_matches(referring_domain, '^(www\.)?google\.\w+') THEN 'google'
-    WHEN is_ext_referrer THEN 'referring_domain' ELSE 'direct' END) AS source,
-  coalesce(utm.medium, CASE
-    WHEN clid.parameter IN ('gclid','wbraid','gbraid') THEN 'cpc'
-    WHEN clid.parameter = 'fbclid' THEN '(not set)'
-    WHEN regexp_matches(referring_domain, '^(www\.)?google\.\w+') THEN 'organic'
-    WHEN is_ext_referrer THEN 'referral' ELSE 'none' END) AS medium
-FROM parsed WHERE is_pageview""")
+add("utm_rules", b.TO_PARSED, f"""
+SELECT event_id, {b.RULED_SOURCE} AS source, {b.RULED_MEDIUM} AS medium FROM parsed WHERE is_pageview""")
 _SESSION_FLAGS = "is_stub_session, is_ext_session, is_source_event"
 add("sessionated", b.TO_SESSIONATED, f"""
 SELECT event_id, client_id, block_id, session_id, source_referrer, landing_page, {_SESSION_FLAGS},
@@ -159,17 +144,8 @@ SELECT {_SESSION}, {UTM_COLS}, {CLID_COLS}
 FROM (SELECT * EXCLUDE (head, src), unnest(head), unnest(src) FROM session_rows)""")
 add("session_metrics", b.TO_SESSIONS, "SELECT session_id, hash, logged_in, activated FROM session_rows")
 add("session_attribution", b.TO_SESSIONS, f"""
-, chosen AS (
-  SELECT s.session_id, s.hash, s.start_ts, s2.start_ts AS donor_start_ts,
-    coalesce(s2.src.utm, s.src.utm) AS utm, coalesce(s2.src.clid, s.src.clid) AS clid
-  FROM session_rows s LEFT JOIN session_rows s2
-    ON NOT s.is_external AND s.client_id = s2.client_id AND s.start_ts > s2.start_ts AND s2.is_external
-   AND ((s.hash <> s.client_id AND date_sub('day', s2.start_ts, s.start_ts) < 30)
-        OR date_sub('hour', s2.start_ts, s.start_ts) < 24)
-  QUALIFY row_number() OVER (PARTITION BY s.session_id, s.hash
-    ORDER BY s2.start_ts DESC NULLS LAST, s2.session_id DESC NULLS LAST) = 1
-)
-SELECT session_id, hash, start_ts, donor_start_ts, {UTM_COLS}, {CLID_COLS} FROM chosen""".lstrip())
+SELECT session_id, hash, start_ts, donor_start_ts, {UTM_COLS}, {CLID_COLS}
+FROM (SELECT *, coalesce(lent.utm, own.utm) AS utm, coalesce(lent.clid, own.clid) AS clid FROM attributed)""")
 add("sessions", b.TO_SESSIONS, f"SELECT {_SESSION}, {UTM_COLS}, {CLID_COLS}, donor_start_ts FROM sessions")
 
 
@@ -565,6 +541,6 @@ FROM merged_hits WHERE coalesce(en, '') = '' OR turn = 1 OR (turn = 2 AND json_p
 add("live_sessions", b.TO_BLOCKS, """
 SELECT hash, block_start, max("timestamp") AS block_end, count(*) AS events,
   count(*) FILTER (event_name = 'pageview') AS pageviews
-FROM started GROUP BY hash, block_start
+FROM placed GROUP BY hash, block_start
 HAVING max("timestamp") + INTERVAL 1800000999 MICROSECOND
   <= date_trunc('millisecond', (SELECT max("timestamp") FROM tracked)) - INTERVAL 10 MINUTE""")

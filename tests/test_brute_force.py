@@ -1,4 +1,4 @@
-"""Random events with many ties, against the literal SQL, on several layouts.
+"""Random events with many ties, against plain SQL, on several layouts.
 
 The layouts cut slices short and split almost every one over several tasks, so
 all carries across slices and lanes are exercised; results must not change.
