@@ -696,9 +696,7 @@ def ingest_merge(spark, sf_dir):
 @query
 def ingest_defaults(spark, sf_dir):
     rows = hits.with_defaults(*landed(spark, sf_dir))
-    granted = col("consent") & ~F.coalesce(col("cookies")["_ms_cid"] != "", F.lit(False))
-    minted = F.when(granted, "new").otherwise(col("c"))
-    return rows.select("event_id", "et", "ua", minted.alias("c"), "h", "h1", "ch")
+    return rows.select("event_id", "et", "ua", "c", "h", "h1", "ch")
 
 
 QUERIES["client_ip"] = lambda spark, sf_dir: landed(spark, sf_dir)[0].select(
@@ -757,7 +755,7 @@ def ingest_events(spark, sf_dir):
     rows, salts = landed(spark, sf_dir)
     done = hits.process_hits(rows, salts, fixtures.geo(spark, sf_dir))
     return shown(
-        done.filter(col("event_name") != "consent"),
+        done,
         "timestamp", "event_type", "event_name", "parameters", "user_agent", "url", "referrer",
         "client_id", "hash", "user_id", "consent_given",
         col("device.os").alias("os"), col("location.ip_trunc").alias("ip_trunc"),

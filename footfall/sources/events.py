@@ -34,20 +34,26 @@ def with_day(events: DataFrame) -> DataFrame:
     return events.withColumn(PARTITION, F.to_date("timestamp"))
 
 
-def _by_day(events: DataFrame):
-    """Rows of one day go to a few tasks each, so a day gets a few large files."""
-    return with_day(events).repartition(PARTITION, F.pmod(F.xxhash64("hash"), F.lit(64)))
+def _sized(table: DataFrame, column: str) -> DataFrame:
+    """Rows of one day together, in files of even size.
+
+    The adaptive rebalance splits large days and joins small ones, so neither a
+    big day nor a hot visitor ends up in one task.
+    """
+    return table.hint("rebalance", column)
 
 
 def append_events(events: DataFrame, path: str) -> None:
     """Append processed events.  A failed write raises and leaves no rows."""
-    _by_day(events).write.mode("append").partitionBy(PARTITION).parquet(path)
+    rows = _sized(with_day(events), PARTITION)
+    rows.write.mode("append").partitionBy(PARTITION).parquet(path)
 
 
 def overwrite_days(table: DataFrame, path: str, column: str = PARTITION) -> None:
     """Replace the days that occur in ``table``; other days stay."""
     (
-        table.write.mode("overwrite")
+        _sized(table, column)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(column)
         .parquet(path)

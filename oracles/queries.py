@@ -481,12 +481,19 @@ hashed AS (
       THEN '2a02:3100:1da8:1d00:d575:624d:f65a:e8ae' ELSE ip0 END AS ip
   FROM defaulted
 ),
+granted AS (
+  SELECT * EXCLUDE (client_id), CASE WHEN consent AND client_id IS NULL
+    THEN regexp_replace(sha256(h || '|' || epoch_us(received_at) || '|' || url),
+      '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}}).*$', '\\1-\\2-\\3-\\4-\\5')
+    ELSE client_id END AS client_id
+  FROM hashed
+),
 truncated AS (
   SELECT *, CASE WHEN contains(ip, '::')
       THEN array_to_string(list_filter(string_split(split_part(ip, '::', 1), ':'), lambda g: g <> '')[1:4], ':') || '::'
     WHEN contains(ip, ':') THEN array_to_string(string_split(ip, ':')[1:4], ':') || '::'
     ELSE array_to_string(string_split(ip, '.')[1:3], '.') || '.0' END AS ip_trunc
-  FROM hashed
+  FROM granted
 ),
 geo AS (
   SELECT '10.0.' || (c_custkey % 7) || '.' || (c_custkey % 40) AS ip_mask, min(r_name) AS continent,
@@ -499,8 +506,8 @@ located AS (
 )""")
 add("ingest_merge", LANDED, "SELECT event_id, en, u_rl AS url, r, et, p FROM merged_hits")
 add("ingest_defaults", LANDED, """
-SELECT event_id, et1 AS et, agent AS ua, CASE WHEN consent AND client_id IS NULL THEN 'new' ELSE client_id END AS c,
-  h, coalesce(hash_cookie, h) AS h1, ip0 AS ch FROM hashed""")
+SELECT event_id, et1 AS et, agent AS ua, client_id AS c, h, coalesce(hash_cookie, h) AS h1, ip0 AS ch
+FROM granted""")
 add("client_ip", LANDED, "SELECT event_id, ip0 AS ip FROM defaulted")
 add("ip_truncate", LANDED, "SELECT event_id, ip_trunc FROM truncated")
 add("visitor_hash", LANDED, "SELECT event_id, h, sha256(agent) AS agent_hash FROM hashed")
@@ -527,7 +534,7 @@ SELECT received_at AS "timestamp", et1 AS event_type, en AS event_name, coalesce
   agent AS user_agent, url, coalesce(r, '') AS referrer, client_id, h AS hash, NULL::VARCHAR AS user_id,
   client_id IS NOT NULL AS consent_given,
   ['iOS','iOS','Android','Windows','Mac OS X','Other','Linux','Other'][event_id % 8 + 1] AS os, ip_trunc, country
-FROM located WHERE en <> 'consent'""")
+FROM located""")
 add("consent_ledger", LANDED, """
 SELECT h AS hash, received_at AS decided_at, consent, consent AS has_id FROM hashed WHERE consent IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY h ORDER BY received_at DESC) = 1""")
