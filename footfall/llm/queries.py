@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from footfall.llm import chat_queries, token_queries
+from footfall.llm import chat_queries, secret_queries, token_queries, url_queries
 
-MODULES = (chat_queries, token_queries)
+MODULES = (chat_queries, secret_queries, token_queries, url_queries)
 
 QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
