@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from footfall.llm import (
     chat_queries,
+    language_queries,
+    leak_queries,
     quality_queries,
     secret_queries,
     token_queries,
     url_queries,
 )
 
-MODULES = (chat_queries, quality_queries, secret_queries, token_queries, url_queries)
+MODULES = (
+    chat_queries,
+    language_queries,
+    leak_queries,
+    quality_queries,
+    secret_queries,
+    token_queries,
+    url_queries,
+)
 
 QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
