@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from footfall.llm import (
     chat_queries,
+    dedup_queries,
     language_queries,
     leak_queries,
     quality_queries,
@@ -14,6 +15,7 @@ from footfall.llm import (
 
 MODULES = (
     chat_queries,
+    dedup_queries,
     language_queries,
     leak_queries,
     quality_queries,
