@@ -9,6 +9,7 @@ from footfall.llm import (
     leak_queries,
     quality_queries,
     secret_queries,
+    suffix_queries,
     token_queries,
     url_queries,
 )
@@ -20,6 +21,7 @@ MODULES = (
     leak_queries,
     quality_queries,
     secret_queries,
+    suffix_queries,
     token_queries,
     url_queries,
 )
