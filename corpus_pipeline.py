@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from footfall.llm.bagminhash import one_of_each
 from footfall.llm.byte_bpe import encode_texts
 from footfall.llm.decontaminate import without_leaks
-from footfall.llm.quality_rules import judge_documents, train
+from footfall.llm.quality_rules import keep_good, train
 from footfall.llm.secret_scan import redact_secrets
 from footfall.llm.tables import stage, table
 
@@ -25,7 +25,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the counting rules and the line labels keep."""
     crf = train(docs, table(spark, sf_dir, "labels"))
-    return judge_documents(docs, crf).filter("verdict.kept").select(*docs.columns)
+    return keep_good(docs, crf)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.tables import stage
+from footfall.llm.tables import columns_of, free_name, stage
 
 WORDS, THRESHOLD = 5, 0.8
 #: Rows of the items' side up to which it is broadcast (16 bytes each and overhead).
@@ -96,6 +96,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents in which no item was found."""
-    leaked = find_leaks(docs, items, threshold).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    """The documents in which no item was found; each row is judged by its own text."""
+    row = free_name(docs, "_row")
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "leak_documents")
+    leaks = find_leaks(numbered.select(F.col(row).alias("doc_id"), "text"), items, threshold)
+    leaked = leaks.select(F.col("doc_id").alias(row)).distinct()
+    return numbered.join(leaked, row, "left_anti").select(*columns_of(docs))

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from footfall.llm.tables import columns_of, ddl, free_name
+
 TRAIN_DOCS, TRAIN_LINES = 600, 256
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_CONTENT = 10, 20, 0.5
 WINDOW = 5
@@ -239,27 +241,37 @@ def judge(text: str, crf: Crf) -> tuple[int, int, int, int, int, bool, bool, flo
     return n_words, word_chars, n_symbols, lines.n_dup, n_repeat, failed, kept, share
 
 
-VERDICT = (
-    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, kept boolean, content_share double"
-)
+VERDICT = {
+    "n_words": "long",
+    "word_chars": "long",
+    "n_symbols": "long",
+    "n_dup_lines": "long",
+    "n_repeat_words": "long",
+    "base_failed": "boolean",
+    "kept": "boolean",
+    "content_share": "double",
+}
+ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
-def judge_documents(docs: DataFrame, crf: Crf) -> DataFrame:
-    """The rows with the columns of ``VERDICT``, as a struct ``verdict``."""
+def judge_documents(docs: DataFrame, crf: Crf, name: str = "verdict") -> DataFrame:
+    """The rows with one more column, a struct of the fields of ``VERDICT``."""
     names = docs.columns
     at = names.index("text")
-    kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
-    fields = [part.split(" ")[0] for part in VERDICT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [judge(text or "", crf) for text in batch.column(at).to_pylist()]
-            each = list(zip(*found, strict=True)) if found else [[]] * len(kinds)
-            parts = [pa.array(v, k) for v, k in zip(each, kinds, strict=True)]
-            verdict = pa.StructArray.from_arrays(parts, names=fields)
-            yield pa.RecordBatch.from_arrays([*batch.columns, verdict], names=[*names, "verdict"])
-
-    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    struct = "struct<" + VERDICT.replace(" ", ":").replace(",:", ",") + ">"
-    return docs.mapInArrow(run, ", ".join([*columns, f"verdict {struct}"]))
+            each = list(zip(*found, strict=True)) if found else [[]] * len(VERDICT)
+            parts = [pa.array(v, ARROW[k]) for v, k in zip(each, VERDICT.values(), strict=True)]
+            verdict = pa.StructArray.from_arrays(parts, names=list(VERDICT))
+            yield pa.RecordBatch.from_arrays([*batch.columns, verdict], names=[*names, name])
+
+    struct = ", ".join(f"{field}: {kind}" for field, kind in VERDICT.items())
+    return docs.mapInArrow(run, f"{ddl(docs)}, `{name}` struct<{struct}>")
+
+
+def keep_good(docs: DataFrame, crf: Crf) -> DataFrame:
+    """The documents that are kept, with their own columns only."""
+    name = free_name(docs, "verdict")
+    return judge_documents(docs, crf, name).filter(f"`{name}`.kept").select(*columns_of(docs))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.tables import stage
+from footfall.llm.tables import columns_of, ddl, free_name, stage
 
 #: Kinds of spans, in the order in which they are listed.
 KINDS = ("assign", "access", "hex", "token")
@@ -201,17 +201,16 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def redact_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """The documents with every reported span replaced by its kind in brackets."""
-    numbered = stage(
-        docs.withColumn("_row", F.monotonically_increasing_id()), "secret_documents"
-    )
-    verdicts = judged(scan(numbered, row=F.col("_row")), max_owners)
+    row = free_name(docs, "_row")
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "secret_documents")
+    verdicts = judged(scan(numbered, row=F.col(row)), max_owners)
     reported = F.filter(F.col("spans"), lambda s: s["reported"])
     spans = F.transform(reported, lambda s: F.struct(s["kind"], s["start"], s["end"]))
-    found = verdicts.select(F.col("row").alias("_row"), spans.alias("_spans"))
-    others = [c for c in docs.columns if c != "text"]
-    both = numbered.join(found, "_row", "left").select(*others, "text", "_spans")
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*others, "text"])
-    clean = both.mapInArrow(_redact, schema)
+    at = free_name(numbered, "_spans")
+    found = verdicts.select(F.col("row").alias(row), spans.alias(at))
+    others = docs.drop("text")
+    both = numbered.join(found, row, "left").select(*columns_of(others), "text", at)
+    clean = both.mapInArrow(_redact, ddl(both.drop(at)))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast("long"))
-    return clean.select(*docs.columns)
+    return clean.select(*columns_of(docs))

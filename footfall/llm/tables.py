@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,3 +27,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_root(spark)}/llm-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it takes to differ from the columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """Its columns, whatever signs their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def ddl(df: DataFrame) -> str:
+    """Its schema as text."""
+    return ", ".join(
+        "`" + f.name.replace("`", "``") + "` " + f.dataType.simpleString() for f in df.schema.fields
+    )
