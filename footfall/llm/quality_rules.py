@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from footfall.llm.tables import columns_of, ddl, free_name
+from footfall.llm.tables import as_row, from_row
 
 TRAIN_DOCS, TRAIN_LINES = 600, 256
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_CONTENT = 10, 20, 0.5
@@ -251,27 +252,32 @@ VERDICT = {
     "kept": "boolean",
     "content_share": "double",
 }
-ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+KINDS = {
+    "long": (T.LongType(), pa.int64()),
+    "boolean": (T.BooleanType(), pa.bool_()),
+    "double": (T.DoubleType(), pa.float64()),
+}
 
 
-def judge_documents(docs: DataFrame, crf: Crf, name: str = "verdict") -> DataFrame:
-    """The rows with one more column, a struct of the fields of ``VERDICT``."""
-    names = docs.columns
-    at = names.index("text")
+def judge_documents(docs: DataFrame, crf: Crf) -> DataFrame:
+    """Of each row: all its columns as a struct ``row``, and the struct ``verdict``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [judge(text or "", crf) for text in batch.column(at).to_pylist()]
+            rows = batch.column(0)
+            found = [judge(text or "", crf) for text in rows.field("text").to_pylist()]
             each = list(zip(*found, strict=True)) if found else [[]] * len(VERDICT)
-            parts = [pa.array(v, ARROW[k]) for v, k in zip(each, VERDICT.values(), strict=True)]
+            kinds = [KINDS[k][1] for k in VERDICT.values()]
+            parts = [pa.array(v, k) for v, k in zip(each, kinds, strict=True)]
             verdict = pa.StructArray.from_arrays(parts, names=list(VERDICT))
-            yield pa.RecordBatch.from_arrays([*batch.columns, verdict], names=[*names, name])
+            yield pa.RecordBatch.from_arrays([rows, verdict], names=["row", "verdict"])
 
-    struct = ", ".join(f"{field}: {kind}" for field, kind in VERDICT.items())
-    return docs.mapInArrow(run, f"{ddl(docs)}, `{name}` struct<{struct}>")
+    verdict = T.StructType([T.StructField(n, KINDS[k][0]) for n, k in VERDICT.items()])
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("verdict", verdict)])
+    return docs.select(as_row(docs)).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, crf: Crf) -> DataFrame:
     """The documents that are kept, with their own columns only."""
-    name = free_name(docs, "verdict")
-    return judge_documents(docs, crf, name).filter(f"`{name}`.kept").select(*columns_of(docs))
+    judged = judge_documents(docs, crf).filter("verdict.kept")
+    return judged.select(*from_row(judged, docs.columns))

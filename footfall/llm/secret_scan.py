@@ -25,8 +25,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from footfall.llm.tables import columns_of, ddl, free_name, stage
+from footfall.llm.tables import as_row, free_name, from_row, stage
 
 #: Kinds of spans, in the order in which they are listed.
 KINDS = ("assign", "access", "hex", "token")
@@ -186,7 +187,7 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replaces the spans (last column) in the texts (the column before it)."""
     for batch in batches:
         texts = []
-        for text, spans in zip(*(c.to_pylist() for c in batch.columns[-2:]), strict=True):
+        for text, spans in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
             if spans:
                 parts, at = [], 0
                 for span in spans:
@@ -195,8 +196,8 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         at = span["end"]
                 text = "".join([*parts, text[at:]])
             texts.append(text)
-        columns = [*batch.columns[:-2], pa.array(texts, pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+        columns = [batch.column(0), pa.array(texts, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "text"])
 
 
 def redact_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
@@ -209,8 +210,10 @@ def redact_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     at = free_name(numbered, "_spans")
     found = verdicts.select(F.col("row").alias(row), spans.alias(at))
     others = docs.drop("text")
-    both = numbered.join(found, row, "left").select(*columns_of(others), "text", at)
-    clean = both.mapInArrow(_redact, ddl(both.drop(at)))
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.length("text").cast("long"))
-    return clean.select(*columns_of(docs))
+    both = numbered.join(found, row, "left").select(as_row(others), "text", at)
+    schema = T.StructType([T.StructField("row", others.schema), T.StructField("text", T.StringType())])
+    clean = both.mapInArrow(_redact, schema)
+    own = dict(zip(others.columns, from_row(clean, others.columns), strict=True))
+    if "n_chars" in own:
+        own["n_chars"] = F.length("text").cast("long").alias("n_chars")
+    return clean.select(*(own.get(c, F.col("text")) for c in docs.columns))

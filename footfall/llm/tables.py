@@ -42,8 +42,10 @@ def columns_of(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
-def ddl(df: DataFrame) -> str:
-    """Its schema as text."""
-    return ", ".join(
-        "`" + f.name.replace("`", "``") + "` " + f.dataType.simpleString() for f in df.schema.fields
-    )
+def as_row(df: DataFrame) -> Column:
+    """All its columns as one struct ``row``, which Python functions can hand through."""
+    return F.struct(*columns_of(df)).alias("row")
+
+
+def from_row(df: DataFrame, names: list[str]) -> list[Column]:
+    return [df["row"].getField(name).alias(name) for name in names]

@@ -74,7 +74,7 @@ def test_features_are_finite():
 
 def test_rows(spark):
     docs, texts = documents(spark)
-    rows = judge_documents(docs, DEFAULT, "found").select("doc_id", "text", "found.*").collect()
+    rows = judge_documents(docs, DEFAULT).select("row.doc_id", "row.text", "verdict.*").collect()
     assert len(rows) == len(texts)
     for row in rows:
         want = counted(row.text or "")
