@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ from footfall.operators import attribution, event_ids, identity, lookback, timel
 from footfall.plans import event_blocks, performance, quality, reports, rollup
 from footfall.plans import sessions as session_models
 from footfall.plans.sessionated import events_sessionated
-from footfall.sources import dimensions, events, hits, incremental
-from footfall.sources.staging import stage, staging_root
+from footfall.sources import dimensions, events, hits, incremental, models
+from footfall.sources.staging import new_folder, stage
 from footfall.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +103,16 @@ def events_scan(spark, sf_dir):
     )
 
 
+@query
+def event_ids_content(spark, sf_dir):
+    """Ids without a position, over a table in which every row stands twice."""
+    rows = raw_events(spark, sf_dir).drop("position")
+    named = event_ids.with_event_ids(rows.unionByName(rows))
+    return named.groupBy("hash").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("event_id").alias("ids")
+    )
+
+
 def _event_ids(spark, sf_dir):
     return event_ids.with_event_ids(raw_events(spark, sf_dir), position="position")
 
@@ -524,6 +535,20 @@ QUERIES["ga4_engagement"] = _documented(
 )
 
 
+@query
+def ga4_enrich(spark, sf_dir):
+    """Everything from one parse of the parameters."""
+    rows = ga4.with_enrichment(fixtures.rich_parameters(tracked(spark, sf_dir)), 3, 3)
+    return rows.select(
+        "event_id", "category", col("is_valid_ecommerce").alias("is_valid"), "value",
+        "engagement_time", "device_category",
+        *[f"custom_dimension{n}" for n in (1, 2, 3)], *[f"custom_metric{n}" for n in (1, 2, 3)],
+        col("user_properties.user_type").alias("user_type"),
+        col("user_properties.user_tier").alias("user_tier"),
+        col("traffic_source.gclid").alias("gclid"),
+    )
+
+
 # --- Reports -------------------------------------------------------------------
 
 
@@ -632,10 +657,7 @@ def quality_checks(spark, sf_dir):
 
 @query
 def null_counts(spark, sf_dir):
-    rows = tracked(spark, sf_dir).select(
-        "event_id", "timestamp", "event_name", "url", "referrer", "client_id", "hash", "user_id"
-    )
-    return quality.null_counts(rows)
+    return quality.null_counts(tracked(spark, sf_dir))
 
 
 @query
@@ -669,16 +691,102 @@ def retention_purge(spark, sf_dir):
     )
 
 
+def _parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The events known at first, and those that come later: half of them late."""
+    rows = tracked(spark, sf_dir)
+    late = (F.to_date("timestamp") == "2024-01-10") & (col("event_id") % 2 == 0)
+    later = late | (F.to_date("timestamp") >= "2024-01-27")
+    return rows.filter(~later), rows.filter(later)
+
+
 @query
 def users_incremental(spark, sf_dir):
-    """Two refreshes of the daily table, the second from where the first ended."""
-    rows = tracked(spark, sf_dir)
-    path = f"{staging_root(spark)}/footfall/days-{spark.sql('SELECT uuid()').first()[0]}"
-    incremental.refresh_days(rows.filter(col("timestamp") < "2024-01-15 12:00:00"), path)
-    incremental.refresh_days(rows, path)
+    """Two refreshes of the daily table, the second with late rows."""
+    first, later = _parts(spark, sf_dir)
+    path = new_folder(spark)
+    incremental.refresh_days(first, path)
+    incremental.refresh_days(first.union(later), path, later)
     return shown(incremental.users_from_days(incremental.read_days(spark, path)))
 
 
+def _refreshed(spark, sf_dir) -> str:
+    """Folder of a raw table and what follows from it, after two refreshes."""
+    root = new_folder(spark)
+    for part in _parts(spark, sf_dir):
+        events.append_events(part, f"{root}/raw")
+        raw = events.read_events(spark, f"{root}/raw")
+        incremental.refresh_sessionated(raw, f"{root}/sessionated", part)
+        done = spark.read.parquet(f"{root}/sessionated")
+        incremental.refresh_sessions(done, f"{root}/sessions", part)
+        incremental.refresh_daily_kpis(done, f"{root}/kpis", part)
+    return root
+
+
+@query
+def sessions_incremental(spark, sf_dir):
+    rows = spark.read.parquet(f"{_refreshed(spark, sf_dir)}/sessions")
+    return shown(rows, *_session_columns(), col("donor_start_ts"))
+
+
+@query
+def daily_kpis_incremental(spark, sf_dir):
+    rows = spark.read.parquet(f"{_refreshed(spark, sf_dir)}/kpis")
+    return rounded(rows, "avg_session_duration")
+
+
+@query
+def sessionated_incremental(spark, sf_dir):
+    rows = spark.read.parquet(f"{_refreshed(spark, sf_dir)}/sessionated")
+    return rows.select(
+        col("event_id").cast("long").alias("event_id"), "client_id", "block_id", "session_id"
+    )
+
+
+# --- Tables ----------------------------------------------------------------------
+
+
+@query
+def events_append(spark, sf_dir):
+    """Two appends to the raw table; the second one repeated under its name."""
+    path = new_folder(spark)
+    rows = tracked(spark, sf_dir).drop("event_id")
+    odd = F.pmod(F.xxhash64("hash", "timestamp"), F.lit(2)) == 1
+    events.append_events(rows.filter(odd), path)
+    for _ in range(2):
+        events.append_events(rows.filter(~odd), path, "second")
+    found = events.read_events(spark, path)
+    return found.groupBy(col(events.PARTITION).alias("date"), "event_name").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct(events.ID).alias("ids")
+    )
+
+
+@query
+def events_days(spark, sf_dir):
+    """Some days of the raw table, of which only those are read."""
+    path = new_folder(spark)
+    events.append_events(tracked(spark, sf_dir), path)
+    found = events.read_events(spark, path, date(2024, 1, 5), date(2024, 1, 9))
+    return shown(found, col("event_id").cast("long").alias("event_id"), "timestamp", "event_name", "url")
+
+
+@query
+def published_views(spark, sf_dir):
+    kpis = reports.daily_kpis(sessionated_table(spark, sf_dir))
+    models.publish_views({"published_daily_kpis": rounded(kpis, "avg_session_duration")})
+    return spark.table("published_daily_kpis")
+
+
+@query
+def published_tables(spark, sf_dir):
+    """The mart by date in the development database, read back."""
+    kpis = rounded(reports.daily_kpis(sessionated_table(spark, sf_dir)), "avg_session_duration")
+    database = "footfall_" + spark.sql("SELECT replace(uuid(), '-', '')").first()[0]
+    target = models.target_database(database, dev=True)
+    spark.sql(f"CREATE DATABASE {target} LOCATION '{new_folder(spark)}'")
+    models.publish_tables({"kpis": kpis}, database, dev=True, partition_by={"kpis": "date"})
+    return models.read_model(spark, "kpis", database, dev=True)
+
+
 # --- Ingest --------------------------------------------------------------------
 
 
@@ -763,6 +871,43 @@ def ingest_events(spark, sf_dir):
     )
 
 
+@query
+def ingest_rejects(spark, sf_dir):
+    """Hits of days for which no salt was made, by day."""
+    rows, salts = landed(spark, sf_dir)
+    done = hits.process_hits(rows, salts.filter(col("salt_date") >= "2024-01-10"))
+    lost = hits.rejected_events(done)
+    return lost.groupBy(F.to_date("timestamp").alias("date"), "reason").agg(
+        F.count(F.lit(1)).alias("events")
+    )
+
+
+@query
+def ingest_salted(spark, sf_dir):
+    """Events and visitors by day with salts made on the way; salts and geo rows doubled."""
+    rows = landed(spark, sf_dir)[0]
+    path = new_folder(spark)
+    days = rows.select(F.to_date("received_at").alias("salt_date"))
+    first = days.filter(col("salt_date") < "2024-01-10")
+    dimensions.ensured_salts(spark, path, first)
+    made = dimensions.ensured_salts(spark, path, days)
+    geo = fixtures.geo(spark, sf_dir)
+    done = hits.process_hits(rows, made.union(made), geo.union(geo))
+    return done.groupBy(F.to_date("timestamp").alias("date")).agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("hash").alias("visitors")
+    )
+
+
+@query
+def hits_to_sessions(spark, sf_dir):
+    """From landed hits over raw events and their ids to sessions."""
+    rows, salts = landed(spark, sf_dir)
+    raw = event_ids.with_event_ids(hits.process_hits(rows, salts, fixtures.geo(spark, sf_dir)))
+    done = stage(events_sessionated(raw, parameters=False).select(*SESSION_INPUT), "hits_sessionated")
+    found = session_models.sessions(done)
+    return shown(found, "client_id", "hash", "start_ts", "end_ts", "hits", "pageviews", "is_external")
+
+
 @query
 def consent_ledger(spark, sf_dir):
     rows = hits.consent_ledger(*landed(spark, sf_dir))
@@ -780,7 +925,45 @@ def invalid_hits(spark, sf_dir):
 
 @query
 def live_sessions(spark, sf_dir):
-    root = f"{staging_root(spark)}/footfall/live-{spark.sql('SELECT uuid()').first()[0]}"
+    root = new_folder(spark)
     rows = jobs.live_sessions(fixtures.load_stream(spark, sf_dir))
     jobs.write_stream(rows, f"{root}/rows", f"{root}/checkpoint").awaitTermination()
     return shown(spark.read.schema(rows.schema).parquet(f"{root}/rows"))
+
+
+@query
+def live_bursts(spark, sf_dir):
+    root = new_folder(spark)
+    rows = jobs.live_bursts(fixtures.load_stream(spark, sf_dir), limit=1, window="1 hour")
+    jobs.write_stream(rows, f"{root}/rows", f"{root}/checkpoint").awaitTermination()
+    return shown(spark.read.schema(rows.schema).parquet(f"{root}/rows"))
+
+
+@query
+def ingest_stream(spark, sf_dir):
+    """Landed files to the raw table, with salts made on the way."""
+    root = new_folder(spark)
+    landed(spark, sf_dir)[0].drop("event_id").write.json(f"{root}/hits")
+    stream = jobs.read_hits(spark, f"{root}/hits", files_per_batch=4)
+    jobs.ingest(
+        stream, f"{root}/salts", f"{root}/raw", f"{root}/checkpoint", fixtures.geo(spark, sf_dir)
+    ).awaitTermination()
+    done = events.read_events(spark, f"{root}/raw")
+    return done.groupBy(F.to_date("timestamp").alias("date")).agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("hash").alias("visitors")
+    )
+
+
+@query
+def sessionated_stream(spark, sf_dir):
+    """The sessionated table kept up to date by a stream, with late rows."""
+    root = new_folder(spark)
+    for part in _parts(spark, sf_dir):
+        events.append_events(part, f"{root}/raw")
+        jobs.sessionate_stream(
+            spark, f"{root}/raw", f"{root}/sessionated", f"{root}/checkpoint"
+        ).awaitTermination()
+    done = spark.read.parquet(f"{root}/sessionated")
+    return done.select(
+        col("event_id").cast("long").alias("event_id"), "client_id", "block_id", "session_id"
+    )

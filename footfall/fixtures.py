@@ -182,6 +182,10 @@ def landed_hits(tracked: DataFrame) -> DataFrame:
         F.coalesce(quoted, F.lit("null")),
         F.lit(',"p":'),
         params,
+        # JSON values that count as not given, and a user id that is a number
+        F.when(eid % 41 == 2, ',"c":false').otherwise(""),
+        F.when(eid % 47 == 2, ',"et":0,"ua":null').otherwise(""),
+        F.when(eid % 43 == 2, ',"u":0,"h1":0.0').otherwise(""),
         F.lit("}"),
     )
     return tracked.select(

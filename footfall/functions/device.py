@@ -50,23 +50,27 @@ SYSTEMS = (
 )
 
 
-def _pick(agent: Column, rules: Sequence[AgentRule], field, default) -> Column:
-    """Value of the first matching rule."""
-    out = None
-    for rule in rules:
-        value = field(rule)
-        out = (F if out is None else out).when(agent.rlike(rule.pattern), value)
-    return F.lit(default) if out is None else out.otherwise(F.lit(default))
+def _number(agent: Column, rules: Sequence[AgentRule]) -> Column:
+    """Number of the first matching rule, from 1; one more than the last if none."""
+    out = F
+    for number, rule in enumerate(rules, 1):
+        out = out.when(agent.rlike(rule.pattern), number)
+    last = F.lit(len(rules) + 1)
+    return last if out is F else out.otherwise(last)
 
 
-def _version(agent: Column):
-    def get(rule: AgentRule) -> Column:
-        if rule.version is None:
-            return F.lit("0.0.0")
-        found = F.nullif(F.regexp_extract(agent, rule.version, 1), F.lit(""))
-        return F.coalesce(F.translate(found, "_", "."), F.lit("0.0.0"))
+def _value(number: Column, values: Sequence[str | None], default: str | None) -> Column:
+    listed = F.array(*[F.lit(v).cast("string") for v in (*values, default)])
+    return F.element_at(listed, number)
 
-    return get
+
+def _version(agent: Column, number: Column, rules: Sequence[AgentRule]) -> Column:
+    out, unknown = F, F.lit("0.0.0")
+    for at, rule in enumerate(rules, 1):
+        if rule.version is not None:
+            found = F.nullif(F.regexp_extract(agent, rule.version, 1), F.lit(""))
+            out = out.when(number == at, F.coalesce(F.translate(found, "_", "."), unknown))
+    return unknown if out is F else out.otherwise(unknown)
 
 
 def parse_agent(
@@ -77,22 +81,33 @@ def parse_agent(
 ) -> Column:
     """The ``device`` struct of an event, by ordered rules.
 
-    A chain of regex tests is a narrow projection: no join and no shuffle on
-    the user agent, whose commonest value may cover a large part of the rows.
+    Each list is walked once.  Regex tests are a narrow projection: no join and no
+    shuffle on the user agent, whose commonest value may cover a large part of the rows.
     """
     agent = F.coalesce(user_agent, F.lit(""))
     devices = (BOTS, *devices)
-    return F.struct(
-        _pick(agent, devices, lambda r: F.lit(r.value), "Other").alias("type"),
-        _pick(agent, devices, lambda r: F.lit(r.brand), None).cast("string").alias("brand"),
-        _pick(agent, devices, lambda r: F.lit(r.model), None).cast("string").alias("model"),
-        _pick(agent, browsers, lambda r: F.lit(r.value), "Other").alias("browser"),
-        _pick(agent, browsers, _version(agent), "0.0.0").alias("browser_version"),
-        _pick(agent, systems, lambda r: F.lit(r.value), "Other").alias("os"),
-        _pick(agent, systems, _version(agent), "0.0.0").alias("os_version"),
-        agent.rlike(BOTS.pattern).alias("is_bot"),
+    numbers = F.struct(
+        agent.alias("agent"),
+        _number(agent, devices).alias("device"),
+        _number(agent, browsers).alias("browser"),
+        _number(agent, systems).alias("system"),
     )
 
+    def found(n: Column) -> Column:
+        return F.struct(
+            _value(n["device"], [r.value for r in devices], "Other").alias("type"),
+            _value(n["device"], [r.brand for r in devices], None).alias("brand"),
+            _value(n["device"], [r.model for r in devices], None).alias("model"),
+            _value(n["browser"], [r.value for r in browsers], "Other").alias("browser"),
+            _version(n["agent"], n["browser"], browsers).alias("browser_version"),
+            _value(n["system"], [r.value for r in systems], "Other").alias("os"),
+            _version(n["agent"], n["system"], systems).alias("os_version"),
+            (n["device"] == 1).alias("is_bot"),
+        )
+
+    # bound as a lambda variable, so the numbers are found once for all fields
+    return F.get(F.transform(F.array(numbers), found), F.lit(0))
+
 
 def flag_bots(device: Column, user_agent: Column, cfg: Config = DEFAULT) -> Column:
     """The device struct with ``is_bot`` also set by user agent.

@@ -17,60 +17,111 @@ from footfall.functions.json import Document, text_fields
 Fields = tuple[tuple[str, str], ...]
 
 
-def _fields(spec: str) -> Fields:
-    """'name' or 'name:type', blank-separated; text unless a type is given."""
-    parts = (item.partition(":") for item in spec.split())
-    return tuple((name, kind or "string") for name, _, kind in parts)
+def _texts(*names: str) -> Fields:
+    return tuple((name, "string") for name in names)
 
 
 # --- Fixed values -----------------------------------------------------------
 # Field, event, currency, category and brand names must equal the reference's.
-_ITEM = _fields(
-    "currency value:double item_id item_name item_brand item_category item_category2"
-    " item_category3 item_category4 item_category5 price:double quantity:bigint item_variant"
-    " item_list_id item_list_name item_list_index:bigint"
+_ITEM: Fields = (
+    ("currency", "string"),
+    ("value", "double"),
+    ("item_id", "string"),
+    ("item_name", "string"),
+    ("item_brand", "string"),
+    ("item_category", "string"),
+    ("item_category2", "string"),
+    ("item_category3", "string"),
+    ("item_category4", "string"),
+    ("item_category5", "string"),
+    ("price", "double"),
+    ("quantity", "bigint"),
+    ("item_variant", "string"),
+    ("item_list_id", "string"),
+    ("item_list_name", "string"),
+    ("item_list_index", "bigint"),
 )
 
 # column -> (event names, fields)
 STRUCTS: dict[str, tuple[tuple[str, ...], Fields]] = {
     "ecommerce": (
         ("purchase",),
-        _fields(
-            "currency value:double transaction_id coupon shipping:double tax:double"
-            " affiliation shipping_tier payment_type"
+        (
+            ("currency", "string"),
+            ("value", "double"),
+            ("transaction_id", "string"),
+            ("coupon", "string"),
+            ("shipping", "double"),
+            ("tax", "double"),
+            ("affiliation", "string"),
+            ("shipping_tier", "string"),
+            ("payment_type", "string"),
         ),
     ),
     "view_item_data": (("view_item",), _ITEM),
     "add_to_cart_data": (("add_to_cart",), _ITEM),
     "begin_checkout_data": (
         ("begin_checkout",),
-        _fields("currency value:double coupon shipping_tier payment_type"),
+        (("currency", "string"), ("value", "double"), *_texts("coupon", "shipping_tier", "payment_type")),
     ),
-    "sign_up_data": (("sign_up",), _fields("method")),
-    "login_data": (("login",), _fields("method")),
-    "generate_lead_data": (("generate_lead",), _fields("currency value:double")),
-    "page_view_data": (("page_view",), _fields("page_title page_location page_referrer")),
-    "scroll_data": (("scroll",), _fields("percent_scrolled:double")),
+    "sign_up_data": (("sign_up",), _texts("method")),
+    "login_data": (("login",), _texts("method")),
+    "generate_lead_data": (("generate_lead",), (("currency", "string"), ("value", "double"))),
+    "page_view_data": (("page_view",), _texts("page_title", "page_location", "page_referrer")),
+    "scroll_data": (("scroll",), (("percent_scrolled", "double"),)),
     "video_data": (
         ("video_start", "video_progress", "video_complete"),
-        _fields("video_title video_duration video_percent video_url video_provider"),
+        _texts("video_title", "video_duration", "video_percent", "video_url", "video_provider"),
     ),
 }
 
 ITEM_EVENTS = ("purchase", "view_item_list", "view_cart")
-ITEMS = _fields(
-    "item_id item_name item_brand item_variant item_category item_category2 item_category3"
-    " item_category4 item_category5 price:double quantity:bigint item_revenue:double"
-    " item_refund:double coupon affiliation location_id item_list_id item_list_name"
-    " item_list_index:bigint promotion_id promotion_name creative_name creative_slot"
+ITEMS: Fields = (
+    ("item_id", "string"),
+    ("item_name", "string"),
+    ("item_brand", "string"),
+    ("item_variant", "string"),
+    ("item_category", "string"),
+    ("item_category2", "string"),
+    ("item_category3", "string"),
+    ("item_category4", "string"),
+    ("item_category5", "string"),
+    ("price", "double"),
+    ("quantity", "bigint"),
+    ("item_revenue", "double"),
+    ("item_refund", "double"),
+    ("coupon", "string"),
+    ("affiliation", "string"),
+    ("location_id", "string"),
+    ("item_list_id", "string"),
+    ("item_list_name", "string"),
+    ("item_list_index", "bigint"),
+    ("promotion_id", "string"),
+    ("promotion_name", "string"),
+    ("creative_name", "string"),
+    ("creative_slot", "string"),
 )
 
-USER_PROPERTIES = _fields(
-    "user_type user_tier subscription_status account_age_days last_purchase_date"
-    " total_purchases lifetime_value"
+USER_PROPERTIES = _texts(
+    "user_type",
+    "user_tier",
+    "subscription_status",
+    "account_age_days",
+    "last_purchase_date",
+    "total_purchases",
+    "lifetime_value",
 )
-TRAFFIC_SOURCE = _fields(
-    "name medium source campaign term content mcc_click_id gclid dclid srsltid"
+TRAFFIC_SOURCE = _texts(
+    "name",
+    "medium",
+    "source",
+    "campaign",
+    "term",
+    "content",
+    "mcc_click_id",
+    "gclid",
+    "dclid",
+    "srsltid",
 )
 
 CURRENCIES = ("USD", "EUR", "GBP", "CAD", "AUD", "JPY", "CNY", "INR", "BRL", "MXN")
@@ -294,3 +345,33 @@ def with_parameters(
         c: items(doc, name) if c == "item" else event_struct(doc, name, c) for c in columns
     }
     return out.withColumns(built).drop("_document")
+
+
+def with_enrichment(
+    events: DataFrame, dimensions: int = 0, metrics: int = 0, strict: bool = False
+) -> DataFrame:
+    """All that the parameters and the device tell of an event, parsed once.
+
+    Adds the structs of ``with_parameters`` and ``item``; ``currency``,
+    ``category``, ``is_valid_ecommerce``, ``value``, ``engagement_time``,
+    ``device_category``; ``user_properties`` and ``traffic_source``; and as many
+    custom dimensions and metrics as asked for.
+    """
+    out, doc = parse(events, None, dimensions, metrics, strict)
+    name, device = F.col("event_name"), F.col("device")
+    out = out.withColumns(
+        {c: event_struct(doc, name, c) for c in STRUCTS}
+        | {
+            "item": items(doc, name),
+            "currency": currency(doc.text("currency")),
+            "category": event_category(name),
+            "is_valid_ecommerce": is_valid_ecommerce(doc, name),
+            "value": value(doc),
+            "engagement_time": engagement_time(doc),
+            "device_category": device_category(device["type"], device["brand"], device["model"]),
+            "user_properties": user_properties(doc),
+            "traffic_source": traffic_source(doc),
+        }
+    )
+    numbered = [*custom_dimensions(doc, dimensions), *custom_metrics(doc, metrics)]
+    return out.select("*", *numbered).drop("_document")

@@ -2,45 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.ids import digest_id
 
-TIE_BREAK = (
-    "event_name",
-    "event_type",
-    "url",
-    "referrer",
-    "client_id",
-    "user_id",
-    "user_agent",
-    "parameters",
-)
+#: Copies that one step of the numbering makes of a row.
+STEP = 10_000
 
 
 def with_event_ids(
-    events: DataFrame,
-    position: str | None = None,
-    ways: int = 64,
-    name: str = "event_id",
+    events: DataFrame, position: str | None = None, name: str = "event_id"
 ) -> DataFrame:
-    """Add an id digested from visitor hash, time and a number among ties.
+    """Add an id digested from visitor hash, time and what tells ties apart.
 
-    Ties (equal hash and timestamp) are numbered by content, so ids do not
-    depend on the physical order of rows.  ``position`` names a non-negative
-    integer column that tells even identical copies apart; with it the
-    numbering of one tie group is dealt out over ``ways`` tasks, so a large
-    group of copies does not land in one.
+    That is ``position``, a column that differs between rows, or else the row's
+    content and a number among equal copies.  Copies are counted, which combines
+    on the map side, and dealt out again in steps, so no group of ties comes
+    together in one task's memory and no row is sorted.  Ids do not depend on
+    how the rows lie.
     """
-    keys = ["hash", "timestamp"]
-    if position is None:
-        order = [F.col(c) for c in TIE_BREAK if c in events.columns]
-        number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    else:
-        lane = F.pmod(F.col(position), F.lit(ways))
-        within = F.row_number().over(Window.partitionBy(*keys, lane).orderBy(position))
-        number = (within - 1) * ways + lane + 1
-    return events.withColumn("_tie", number.cast("long")).withColumn(
-        name, digest_id(F.col("hash"), F.unix_micros("timestamp"), F.col("_tie"))
-    ).drop("_tie")
+    start = [F.col("hash"), F.unix_micros("timestamp")]
+    if position is not None:
+        return events.withColumn(name, digest_id(*start, F.col(position)))
+    columns = events.columns
+    counted = events.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
+    steps = F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / STEP))
+    stepped = counted.select(*columns, "_copies", F.explode(steps).alias("_step"))
+    done = F.col("_step") * STEP
+    rest = F.sequence(done, F.least(done + STEP, F.col("_copies")) - 1)
+    numbered = stepped.select(*columns, F.explode(rest).alias("_copy"))
+    content = F.sha2(F.to_json(F.struct(*columns)), 256)
+    return numbered.withColumn(name, digest_id(*start, content, F.col("_copy"))).drop("_copy")

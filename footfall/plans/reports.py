@@ -28,22 +28,20 @@ def is_pageview_event() -> Column:
     return F.col("event_name") == "pageview"
 
 
-def session_durations(sessionated: DataFrame) -> DataFrame:
-    """Seconds between first and last event of each session."""
-    return sessionated.groupBy("session_id").agg(
-        F.timestamp_diff("SECOND", F.min("timestamp"), F.max("timestamp")).alias("duration")
-    )
-
-
 def _facts(sessionated: DataFrame, *keys: Column | str) -> DataFrame:
-    """Event counts per key and session, with the session's duration."""
+    """Event counts per key and session, with the session's duration in seconds.
+
+    The duration follows from the counted rows, so the events are read once.
+    """
     counts = sessionated.groupBy(*keys, "session_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(is_pageview_event()).alias("views"),
         F.min("timestamp").alias("first_seen"),
         F.max("timestamp").alias("last_seen"),
     )
-    return counts.join(session_durations(sessionated), "session_id")
+    whole = Window.partitionBy("session_id")
+    first, last = F.min("first_seen").over(whole), F.max("last_seen").over(whole)
+    return counts.withColumn("duration", F.timestamp_diff("SECOND", first, last))
 
 
 def _mean_duration() -> Column:

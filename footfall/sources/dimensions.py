@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from footfall import schema
+
 GEO_FIELDS = ("continent", "country", "country_code", "city")
 
 
@@ -15,6 +18,7 @@ def missing_salts(salts: DataFrame, days: DataFrame) -> DataFrame:
     """
     return (
         days.select("salt_date")
+        .filter("salt_date IS NOT NULL")
         .distinct()
         .join(salts, "salt_date", "left_anti")
         .withColumn("salt", F.uuid())
@@ -28,25 +32,48 @@ def retained_salts(salts: DataFrame, as_of: Column) -> DataFrame:
 
 
 def with_salt(hits: DataFrame, salts: DataFrame, at: str = "received_at") -> DataFrame:
-    """Add the ``salt`` of the hit's UTC day.
+    """Add the ``salt`` of the hit's UTC day; NULL if there is none.
+
+    Of several salts for a day the smallest counts, so no hit is doubled.
+    """
+    daily = salts.groupBy("salt_date").agg(F.min("salt").alias("salt"))
+    return (
+        hits.withColumn("salt_date", F.to_date(at))
+        .join(daily, "salt_date", "left")
+        .drop("salt_date")
+    )
 
-    The salt table has one row per day, so it is broadcast.
+
+def ensured_salts(spark: SparkSession, path: str, days: DataFrame) -> DataFrame:
+    """The salts on file at ``path``, after adding those that ``days`` still lacks.
+
+    New salts are written before anything reads them.  Where two jobs add one for the
+    same day, both then read the smaller.
     """
-    day = F.to_date(at)
-    daily = F.broadcast(salts.select("salt_date", "salt"))
-    return hits.withColumn("salt_date", day).join(daily, "salt_date", "left").drop("salt_date")
+    known = read_salts(spark, path)
+    missing_salts(known, days).write.mode("append").parquet(path)
+    return read_salts(spark, path)
+
+
+def read_salts(spark: SparkSession, path: str) -> DataFrame:
+    """Salts on file; none before the first are written."""
+    try:
+        return spark.read.schema(schema.SALTS).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema.SALTS)
 
 
 def with_geo(hits: DataFrame, geo: DataFrame | None, ip: str) -> DataFrame:
     """Add the location fields known for the address; NULL if unknown.
 
-    ``geo`` has one row per address.  It grows with the addresses seen, so it
-    is not forced to be broadcast: its measured size decides.
+    Of several rows for an address the latest counts.  The table grows with the
+    addresses seen, so it is not forced to be broadcast: its measured size decides.
     """
     if geo is None:
         return hits.withColumns({f: F.lit(None).cast("string") for f in GEO_FIELDS})
-    known = geo.select(
-        F.col("ip_mask").alias(ip),
-        *[F.nullif(F.col(f), F.lit("")).alias(f) for f in GEO_FIELDS],
-    )
-    return hits.join(known, ip, "left")
+    latest = F.max(F.struct("updated_at", *GEO_FIELDS)).alias("latest")
+    known = geo.groupBy(F.col("ip_mask").alias(ip)).agg(latest)
+    fields = [F.nullif(F.col(f"latest.{f}"), F.lit("")).alias(f) for f in GEO_FIELDS]
+    return hits.join(known.select(ip, *fields), ip, "left")

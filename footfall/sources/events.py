@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,19 @@ from pyspark.sql import types as T
 from footfall import schema
 
 PARTITION = "event_date"
+#: Which write a row came with; a repeated write replaces its own rows only.
+BATCH = "ingest_batch"
+ID = "event_id"
+
+
+def stored_schema() -> T.StructType:
+    """Columns of the table as written: ids are given once, when a row is written."""
+    added = [
+        T.StructField(ID, T.StringType()),
+        T.StructField(PARTITION, T.DateType()),
+        T.StructField(BATCH, T.StringType()),
+    ]
+    return T.StructType([*schema.EVENTS.fields, *added])
 
 
 def read_events(
@@ -21,8 +35,7 @@ def read_events(
     The dates are compared with the partition column, so other days are not
     listed for reading.
     """
-    full = T.StructType([*schema.EVENTS.fields, T.StructField(PARTITION, T.DateType())])
-    out = spark.read.schema(full).parquet(path)
+    out = spark.read.schema(stored_schema()).parquet(path).drop(BATCH)
     if since is not None:
         out = out.filter(F.col(PARTITION) >= F.lit(since))
     if until is not None:
@@ -43,10 +56,24 @@ def _sized(table: DataFrame, column: str) -> DataFrame:
     return table.hint("rebalance", column)
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Append processed events.  A failed write raises and leaves no rows."""
-    rows = _sized(with_day(events), PARTITION)
-    rows.write.mode("append").partitionBy(PARTITION).parquet(path)
+def append_events(events: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append processed events, with ids of their own.
+
+    A failed write raises and leaves no rows.  A write with the name of an earlier
+    ``batch`` replaces that batch in the days it has rows for, so a repeated one
+    changes nothing but the ids.
+    """
+    rows = with_day(events)
+    ids = F.col(ID).cast("string") if ID in rows.columns else F.uuid()
+    rows = rows.withColumn(ID, ids)
+    batch = batch or uuid.uuid4().hex
+    (
+        _sized(rows.withColumn(BATCH, F.lit(batch)), PARTITION)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(PARTITION, BATCH)
+        .parquet(path)
+    )
 
 
 def overwrite_days(table: DataFrame, path: str, column: str = PARTITION) -> None:

@@ -1,17 +1,45 @@
-"""Refreshing roll-ups without reading all history."""
+"""Refreshing tables without reading all history.
+
+A refresh is told what arrived and computes exactly the days again that have new
+rows, however late these are.  Days are replaced whole, so a refresh that is
+repeated or interrupted changes nothing and duplicates nothing.
+"""
 
 from __future__ import annotations
 
-from datetime import date
+from collections.abc import Sequence
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.sources.events import overwrite_days
+from footfall.config import DEFAULT, Config
+from footfall.plans import reports
+from footfall.plans import sessions as session_models
+from footfall.plans.sessionated import events_sessionated
+from footfall.sources.events import PARTITION, overwrite_days, with_day
+from footfall.sources.staging import staging_run
 
 KEYS = ["client_id", "user_id"]
 
 
+def touched_days(arrived: DataFrame, margin: int = 0) -> list[date]:
+    """The days of the rows that arrived, and ``margin`` days on either side.
+
+    One entry per day is all that reaches the driver.
+    """
+    days = arrived.select(F.to_date("timestamp").alias("day")).distinct()
+    found = {row.day for row in days.filter("day IS NOT NULL").collect()}
+    around = [timedelta(days=n) for n in range(-margin, margin + 1)]
+    return sorted({day + shift for day in found for shift in around})
+
+
+def _on(rows: DataFrame, days: Sequence[date]) -> DataFrame:
+    """Rows of some days; by the partition column, where there is one."""
+    day: Column = F.col(PARTITION) if PARTITION in rows.columns else F.to_date("timestamp")
+    return rows.filter(day.isin(list(days)))
+
+
 def daily_activity(events: DataFrame) -> DataFrame:
     """Per day and (client, user): first and last time seen."""
     return events.groupBy(F.to_date("timestamp").alias("date"), *KEYS).agg(
@@ -28,30 +56,77 @@ def users_from_days(days: DataFrame) -> DataFrame:
     )
 
 
-def last_day(days: DataFrame) -> date | None:
-    """Latest day of a daily table: its watermark."""
-    return days.agg(F.max("date")).first()[0]
-
-
-def refresh_days(events: DataFrame, path: str) -> None:
+def refresh_days(events: DataFrame, path: str, arrived: DataFrame | None = None) -> None:
     """Bring the daily table at ``path`` up to date with ``events``.
 
-    The last day on file may have been incomplete, so it and all later days are
-    computed again and their partitions replaced.  A refresh that is repeated
-    or interrupted changes nothing and duplicates nothing.
+    ``arrived`` holds the new rows among ``events``; all of them count as new
+    without it.
     """
-    spark: SparkSession = events.sparkSession
-    try:
-        start = last_day(spark.read.parquet(path))
-    except Exception as error:  # first run: nothing there yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        start = None
-    if start is not None:
-        day = F.col("event_date") if "event_date" in events.columns else F.to_date("timestamp")
-        events = events.filter(day >= F.lit(start))
+    if arrived is not None:
+        events = _on(events, touched_days(arrived))
     overwrite_days(daily_activity(events), path, "date")
 
 
+def refresh_sessionated(
+    events: DataFrame,
+    path: str,
+    arrived: DataFrame,
+    cfg: Config = DEFAULT,
+    margin_days: int = 1,
+) -> None:
+    """Compute again the sessions of the days that ``arrived`` has events for.
+
+    ``events`` is the raw table with ids.  A block can reach over midnight, so
+    ``margin_days`` on either side of each day are replaced as well and as many
+    more are read.  The visitor hash changes daily, so one day is enough unless
+    hits bring hashes of their own.
+    """
+    replaced = touched_days(arrived, margin_days)
+    if not replaced:
+        return
+    read = _on(events, touched_days(arrived, 2 * margin_days))
+    with staging_run(events.sparkSession):
+        rows = with_day(events_sessionated(read.drop(PARTITION), cfg, parameters=False))
+        overwrite_days(_on(rows, replaced), path)
+
+
+def refresh_daily_kpis(
+    sessionated: DataFrame, path: str, arrived: DataFrame, margin_days: int = 1
+) -> None:
+    """Compute again the report rows of the days that ``arrived`` has events for.
+
+    Sessions reach over midnight, so neighbouring days change with a day.
+    """
+    replaced = touched_days(arrived, margin_days)
+    if replaced:
+        rows = reports.daily_kpis(_on(sessionated, touched_days(arrived, 2 * margin_days)))
+        overwrite_days(rows.filter(F.col("date").isin(replaced)), path, "date")
+
+
+def refresh_sessions(
+    sessionated: DataFrame,
+    path: str,
+    arrived: DataFrame,
+    cfg: Config = DEFAULT,
+    margin_days: int = 1,
+) -> None:
+    """Compute again the sessions that start on days that what arrived can change.
+
+    A session borrows its source from up to ``client_lookback_days`` before, so as
+    many days after a new event are computed again, and as many before are read.
+    """
+    near = touched_days(arrived, margin_days)
+    if not near:
+        return
+    ahead = range(cfg.client_lookback_days + 1)
+    replaced = sorted({day + timedelta(days=n) for day in near for n in ahead})
+    back = range(-cfg.client_lookback_days - margin_days, margin_days + 1)
+    read = sorted({day + timedelta(days=n) for day in replaced for n in back})
+    with staging_run(sessionated.sparkSession):
+        found = session_models.sessions(_on(sessionated, read), cfg)
+        rows = found.withColumn(PARTITION, F.to_date("start_ts"))
+        overwrite_days(rows.filter(F.col(PARTITION).isin(replaced)), path)
+
+
 def read_days(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,11 +10,11 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from footfall import schema
 from footfall.config import DEFAULT, Config
-from footfall.operators.event_ids import with_event_ids
 from footfall.plans.reports import burst_flags
-from footfall.plans.sessionated import events_sessionated
-from footfall.sources.events import PARTITION, overwrite_days, read_events, with_day
+from footfall.sources.dimensions import ensured_salts
+from footfall.sources.events import append_events, read_events, stored_schema
 from footfall.sources.hits import process_hits
+from footfall.sources.incremental import refresh_sessionated
 
 
 def _run(writer: DataStreamWriter, checkpoint: str, available_now: bool) -> DataStreamWriter:
@@ -32,17 +32,28 @@ def read_hits(spark: SparkSession, path: str, files_per_batch: int | None = None
 
 def ingest(
     hits: DataFrame,
-    salts: DataFrame,
+    salts_path: str,
     path: str,
     checkpoint: str,
     geo: DataFrame | None = None,
     blank_ids_as_null: bool = True,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Landed hits to the raw events table, each exactly once."""
-    events = with_day(process_hits(hits, salts, geo, blank_ids_as_null))
-    writer = events.writeStream.format("parquet").outputMode("append").partitionBy(PARTITION)
-    return _run(writer, checkpoint, available_now).start(path)
+    """Landed hits to the raw events table, each exactly once.
+
+    Days without a salt get one before their first hits are hashed.  A micro-batch
+    that is repeated replaces its own rows.
+    """
+    spark = hits.sparkSession
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def write(batch: DataFrame, number: int) -> None:
+        days = batch.select(F.to_date("received_at").alias("salt_date"))
+        salts = ensured_salts(spark, salts_path, days)
+        events = process_hits(batch, salts, geo, blank_ids_as_null)
+        append_events(events, path, f"{stream}-{number}")
+
+    return _run(hits.writeStream.foreachBatch(write), checkpoint, available_now).start()
 
 
 def live_sessions(
@@ -82,34 +93,6 @@ def write_stream(
     return _run(writer, checkpoint, available_now).start(path)
 
 
-def refresh_sessionated(
-    spark: SparkSession,
-    events_path: str,
-    target_path: str,
-    batch: DataFrame,
-    cfg: Config = DEFAULT,
-    margin_days: int = 1,
-) -> None:
-    """Compute again the sessions of the days that ``batch`` has events for.
-
-    A block can reach over midnight, so ``margin_days`` on either side are read
-    as well and as many are replaced; late events are thus repaired.  The
-    visitor hash changes daily, so one day is enough unless hits bring hashes
-    of their own.
-    """
-    span = batch.agg(F.to_date(F.min("timestamp")), F.to_date(F.max("timestamp"))).first()
-    if span[0] is None:
-        return
-    margin = timedelta(days=margin_days)
-    first, last = span[0] - margin, span[1] + margin
-    events = with_event_ids(
-        read_events(spark, events_path, first - margin, last + margin).drop(PARTITION)
-    )
-    rows = with_day(events_sessionated(events, cfg, parameters=False))
-    touched = F.col(PARTITION).between(F.lit(first), F.lit(last))
-    overwrite_days(rows.filter(touched), target_path)
-
-
 def sessionate_stream(
     spark: SparkSession,
     events_path: str,
@@ -123,14 +106,12 @@ def sessionate_stream(
 
     Replacing whole days makes a repeated batch harmless.
     """
-    full = with_day(spark.createDataFrame([], schema.EVENTS)).schema
-    reader = spark.readStream.schema(full)
+    reader = spark.readStream.schema(stored_schema())
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     arrived = reader.parquet(events_path).select("timestamp")
 
     def refresh(batch: DataFrame, _: int) -> None:
-        refresh_sessionated(spark, events_path, target_path, batch, cfg)
+        refresh_sessionated(read_events(spark, events_path), target_path, batch, cfg)
 
-    writer = arrived.writeStream.foreachBatch(refresh)
-    return _run(writer, checkpoint, available_now).start()
+    return _run(arrived.writeStream.foreachBatch(refresh), checkpoint, available_now).start()

@@ -26,9 +26,10 @@ add("events_scan", b.TO_EVENTS, """
 SELECT event_id, "timestamp", event_type, event_name, parameters, user_agent, url, referrer, client_id, hash,
   user_id, consent_given, device_type, device_brand, country FROM tracked""")
 add("event_ids", b.TO_EVENTS, """
-SELECT event_id AS "position", hash, "timestamp", to_base64(unhex(sha256(hash || epoch_us("timestamp")
-  || ((row_number() OVER (PARTITION BY hash, "timestamp", event_id % 64 ORDER BY event_id) - 1) * 64
-      + event_id % 64 + 1)))) AS event_id FROM tracked""")
+SELECT event_id AS "position", hash, "timestamp",
+  to_base64(unhex(sha256(hash || epoch_us("timestamp") || event_id))) AS event_id FROM tracked""")
+add("event_ids_content", b.TO_EVENTS, """
+SELECT hash, 2 * count(*) AS events, 2 * count(*) AS ids FROM tracked GROUP BY 1""")
 add("bot_flag", b.TO_PARSED, "SELECT event_id, device_type, is_bot, NULL::BOOLEAN AS is_bot_old FROM parsed")
 add("pageviews", b.TO_PARSED, "SELECT event_id, event_name, is_pageview FROM parsed")
 add("ext_referrers", b.TO_PARSED, "SELECT event_id, referrer, is_ext_referrer FROM parsed")
@@ -404,7 +405,10 @@ UNION ALL SELECT 'sessions.session_id unique',
 UNION ALL SELECT 'sessions.duration not negative', (SELECT count(*) FROM sessions WHERE end_ts < start_ts)""")
 add("null_counts", b.TO_EVENTS, "\nUNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(*) FILTER (\"{c}\" IS NULL) AS nulls FROM tracked"
-    for c in ("event_id", "timestamp", "event_name", "url", "referrer", "client_id", "hash", "user_id")))
+    for c in ("event_id", "timestamp", "event_type", "event_name", "parameters", "user_agent", "url", "referrer",
+              "client_id", "hash", "user_id", "consent_given")) + """
+UNION ALL SELECT unnest(['device', 'location']), 0
+UNION ALL SELECT 'ab_test', count(*) FROM tracked""")
 add("returning_visitors", b.TO_SESSIONATED, """
 SELECT *, date > first_date AS is_returning FROM (
   SELECT client_id, date, min(date) OVER (PARTITION BY client_id) AS first_date
@@ -437,6 +441,26 @@ add("users_incremental", b.TO_EVENTS, """
 SELECT client_id, user_id, min("timestamp") AS first_seen, max("timestamp") AS last_seen,
   count(DISTINCT CAST("timestamp" AS DATE)) AS days_active FROM tracked GROUP BY 1, 2""")
 
+ORACLES["sessions_incremental"] = ORACLES["sessions"]
+ORACLES["daily_kpis_incremental"] = ORACLES["daily_kpis"]
+ORACLES["published_views"] = ORACLES["published_tables"] = ORACLES["daily_kpis"]
+for _key in ("sessionated_incremental", "sessionated_stream"):
+    add(_key, b.TO_SESSIONATED, "SELECT event_id, client_id, block_id, session_id FROM sessionated")
+add("events_append", b.TO_EVENTS, """
+SELECT CAST("timestamp" AS DATE) AS date, event_name, count(*) AS events, count(*) AS ids FROM tracked GROUP BY 1, 2""")
+add("events_days", b.TO_EVENTS, """
+SELECT event_id, "timestamp", event_name, url FROM tracked
+WHERE CAST("timestamp" AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'""")
+ORACLES["ga4_enrich"] = f"""
+SELECT c.event_id, c.category, v.is_valid, a.value, e.engagement_time, d.device_category,
+  custom_dimension1, custom_dimension2, custom_dimension3, custom_metric1, custom_metric2, custom_metric3,
+  u.user_type, u.user_tier, t.gclid
+FROM ({ORACLES["ga4_category"]}) c JOIN ({ORACLES["ga4_valid"]}) v USING (event_id)
+  JOIN ({ORACLES["ga4_value"]}) a USING (event_id) JOIN ({ORACLES["ga4_engagement"]}) e USING (event_id)
+  JOIN ({ORACLES["ga4_device_category"]}) d USING (event_id) JOIN ({ORACLES["ga4_custom_dims"]}) USING (event_id)
+  JOIN ({ORACLES["ga4_custom_metrics"]}) USING (event_id) JOIN ({ORACLES["ga4_user_props"]}) u USING (event_id)
+  JOIN ({ORACLES["ga4_traffic_source"]}) t USING (event_id)"""
+
 # --- Ingest
 _AGENTS = ", ".join(f"'{a}'" for a in (
     "Mozilla/5.0 (iPhone; CPU iPhone OS 17_2 like Mac OS X) Version/17.2 Mobile Safari/604.1",
@@ -465,7 +489,8 @@ landed AS (
 merged_hits AS (
   SELECT *,
     CASE turn WHEN 0 THEN event_name WHEN 1 THEN event_name ELSE json_name END AS en,
-    url AS u_rl, referrer AS r, CASE WHEN turn = 2 THEN 'form' END AS et,
+    url AS u_rl, referrer AS r, CASE WHEN turn = 2 AND event_id % 47 <> 2 THEN 'form' END AS et,
+    CASE WHEN turn = 2 AND event_id % 43 = 2 THEN '0' END AS u,
     CASE turn WHEN 1 THEN '"{{\\"a\\":1}}"' WHEN 2 THEN json_p END AS p
   FROM landed
 ),
@@ -504,6 +529,10 @@ located AS (
   SELECT t.*, g.continent, g.country, substr(g.country, 1, 2) AS country_code, NULL::VARCHAR AS city
   FROM truncated t LEFT JOIN geo g ON t.ip = g.ip_mask
 )""")
+_EVENTS_OF_HITS = """
+SELECT event_id, received_at AS "timestamp", et1 AS event_type, en AS event_name, agent AS user_agent, url,
+  coalesce(r, '') AS referrer, client_id, h AS hash, u AS user_id, NULL::VARCHAR AS device_type,
+  NULL::VARCHAR AS device_brand, country FROM located"""
 add("ingest_merge", LANDED, "SELECT event_id, en, u_rl AS url, r, et, p FROM merged_hits")
 add("ingest_defaults", LANDED, """
 SELECT event_id, et1 AS et, agent AS ua, client_id AS c, h, coalesce(hash_cookie, h) AS h1, ip0 AS ch
@@ -518,30 +547,60 @@ add("salt_upkeep", b.TO_EVENTS, """
 SELECT DISTINCT CAST("timestamp" AS DATE) AS salt_date, CAST(36 AS BIGINT) AS salt_length FROM tracked
 WHERE CAST("timestamp" AS DATE) >= DATE '2024-01-10'""")
 add("geo_enrich", LANDED, "SELECT event_id, ip, continent, country, country_code, city FROM located")
-add("device_enrich", LANDED, r"""
-SELECT event_id,
-  ['iPhone','iPad','Samsung','Other','Mac','Spider','Other','Other'][event_id % 8 + 1] AS "type",
-  ['Apple','Apple','Samsung',NULL,'Apple',NULL,NULL,NULL][event_id % 8 + 1] AS brand,
-  ['iPhone','iPad',NULL,NULL,'Mac',NULL,NULL,NULL][event_id % 8 + 1] AS model,
-  ['Mobile Safari','Mobile Safari','Chrome','Edge','Safari','Other','Firefox','Other'][event_id % 8 + 1] AS browser,
-  ['17.2','16.6','120.0.6099.43','120.0.2210.61','17.1','0.0.0','121.0','0.0.0'][event_id % 8 + 1] AS browser_version,
-  ['iOS','iOS','Android','Windows','Mac OS X','Other','Linux','Other'][event_id % 8 + 1] AS os,
-  ['17.2','16.6','14','10.0','10.15.7','0.0.0','0.0.0','0.0.0'][event_id % 8 + 1] AS os_version,
-  event_id % 8 = 5 AS is_bot
-FROM landed""")
+_PARSED_AGENT = """
+parsed AS (
+  SELECT *, regexp_matches(lower(agent), 'bot|crawl|spider|slurp') AS bot,
+    regexp_extract(agent, '(iPad|iPhone|iPod|SM-|Samsung|Pixel|Macintosh)', 1) AS thing,
+    regexp_extract(agent, 'Version/([0-9.]+)', 1) AS safari, regexp_extract(agent, 'Chrome/([0-9.]+)', 1) AS chrome,
+    regexp_extract(agent, 'Edg/([0-9.]+)', 1) AS edge, regexp_extract(agent, 'Firefox/([0-9.]+)', 1) AS firefox,
+    regexp_extract(agent, 'Android ([0-9.]+)', 1) AS android, regexp_extract(agent, 'Windows NT ([0-9.]+)', 1) AS windows,
+    replace(regexp_extract(agent, 'OS ([0-9_]+) like Mac', 1), '_', '.') AS ios,
+    replace(regexp_extract(agent, 'Mac OS X ([0-9_]+)', 1), '_', '.') AS mac
+  FROM landed
+),
+device AS (
+  SELECT *, CASE WHEN bot THEN 'Spider' WHEN thing IN ('SM-', 'Samsung') THEN 'Samsung'
+      WHEN thing = 'Macintosh' THEN 'Mac' WHEN thing <> '' THEN thing ELSE 'Other' END AS "type",
+    CASE WHEN edge <> '' THEN 'Edge' WHEN firefox <> '' THEN 'Firefox' WHEN chrome <> '' THEN 'Chrome'
+      WHEN contains(agent, 'Safari/') THEN if(thing IN ('iPhone', 'iPad'), 'Mobile Safari', 'Safari')
+      ELSE 'Other' END AS browser,
+    CASE WHEN ios <> '' THEN 'iOS' WHEN android <> '' THEN 'Android' WHEN windows <> '' THEN 'Windows'
+      WHEN mac <> '' THEN 'Mac OS X' WHEN contains(agent, 'Linux') THEN 'Linux' ELSE 'Other' END AS os
+  FROM parsed
+)"""
+add("device_enrich", (*LANDED, _PARSED_AGENT), """
+SELECT event_id, "type",
+  CASE WHEN "type" = 'Samsung' THEN 'Samsung' WHEN "type" NOT IN ('Spider', 'Other') THEN 'Apple' END AS brand,
+  CASE WHEN "type" NOT IN ('Spider', 'Other', 'Samsung') THEN "type" END AS model,
+  browser, coalesce(nullif(CASE browser WHEN 'Edge' THEN edge WHEN 'Firefox' THEN firefox WHEN 'Chrome' THEN chrome
+    WHEN 'Other' THEN '' ELSE safari END, ''), '0.0.0') AS browser_version,
+  os, coalesce(nullif(CASE os WHEN 'iOS' THEN ios WHEN 'Android' THEN android WHEN 'Windows' THEN windows
+    WHEN 'Mac OS X' THEN mac ELSE '' END, ''), '0.0.0') AS os_version,
+  bot AS is_bot
+FROM device""")
 add("ingest_events", LANDED, """
 SELECT received_at AS "timestamp", et1 AS event_type, en AS event_name, coalesce(p, '{}') AS parameters,
-  agent AS user_agent, url, coalesce(r, '') AS referrer, client_id, h AS hash, NULL::VARCHAR AS user_id,
+  agent AS user_agent, url, coalesce(r, '') AS referrer, client_id, h AS hash, u AS user_id,
   client_id IS NOT NULL AS consent_given,
   ['iOS','iOS','Android','Windows','Mac OS X','Other','Linux','Other'][event_id % 8 + 1] AS os, ip_trunc, country
 FROM located""")
 add("consent_ledger", LANDED, """
 SELECT h AS hash, received_at AS decided_at, consent, consent AS has_id FROM hashed WHERE consent IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY h ORDER BY received_at DESC) = 1""")
+add("ingest_rejects", LANDED, """
+SELECT CAST(received_at AS DATE) AS date, 'no_hash' AS reason, count(*) AS events FROM landed
+WHERE received_at < TIMESTAMP '2024-01-10' GROUP BY 1""")
+add("ingest_salted", LANDED, """
+SELECT CAST(received_at AS DATE) AS date, count(*) AS events, count(DISTINCT ip0 || '|' || agent) AS visitors
+FROM defaulted GROUP BY 1""")
+ORACLES["ingest_stream"] = ORACLES["ingest_salted"]
+ORACLES["hits_to_sessions"] = f"""
+WITH tracked AS ({b.chain(*LANDED)} {_EVENTS_OF_HITS}), {",".join(b.TO_SESSIONS[1:])}
+SELECT client_id, hash, start_ts, end_ts, hits, pageviews, is_external FROM sessions"""
 add("invalid_hits", LANDED, """
 SELECT event_id, concat_ws('; ',
-  CASE WHEN coalesce(en, '') = '' THEN 'Event name must be a non-empty string' END,
-  CASE WHEN turn = 1 OR (turn = 2 AND json_p = '"text"') THEN 'Parameters must be an object' END) AS reasons
+  CASE WHEN coalesce(en, '') = '' THEN 'event_name_missing' END,
+  CASE WHEN turn = 1 OR (turn = 2 AND json_p = '"text"') THEN 'parameters_no_object' END) AS reasons
 FROM merged_hits WHERE coalesce(en, '') = '' OR turn = 1 OR (turn = 2 AND json_p = '"text"')""")
 
 # --- Streams: blocks closed by the end of the stream
@@ -551,3 +610,10 @@ SELECT hash, block_start, max("timestamp") AS block_end, count(*) AS events,
 FROM placed GROUP BY hash, block_start
 HAVING max("timestamp") + INTERVAL 1800000999 MICROSECOND
   <= date_trunc('millisecond', (SELECT max("timestamp") FROM tracked)) - INTERVAL 10 MINUTE""")
+
+add("live_bursts", b.TO_EVENTS, """
+SELECT hash, date_trunc('hour', "timestamp") AS window_start,
+  date_trunc('hour', "timestamp") + INTERVAL 1 HOUR AS window_end, count(*) AS events
+FROM tracked GROUP BY 1, 2, 3
+HAVING count(*) > 1 AND date_trunc('hour', "timestamp") + INTERVAL 1 HOUR
+  <= date_trunc('millisecond', (SELECT max("timestamp") FROM tracked)) - INTERVAL 10 MINUTE""")

@@ -90,10 +90,20 @@ def test_event_ids(spark):
     df = events(spark, *rows).withColumnRenamed("event_id", "position")
     plain = event_ids.with_event_ids(df.drop("position")).select("event_id").collect()
     assert len({r.event_id for r in plain}) == 4
-    dealt = event_ids.with_event_ids(df, "position", ways=2)
-    again = event_ids.with_event_ids(df.repartition(3), "position", ways=2)
-    assert len(set(column(dealt, "event_id", "position"))) == 4
-    assert column(dealt, "event_id", "position") == column(again, "event_id", "position")
+    again = event_ids.with_event_ids(df.drop("position").repartition(3)).select("event_id").collect()
+    assert {r.event_id for r in plain} == {r.event_id for r in again}
+    placed = event_ids.with_event_ids(df, "position")
+    assert len(set(column(placed, "event_id", "position"))) == 4
+
+
+def test_event_ids_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(event_ids, "STEP", 7)
+    df = events(spark, {}, {"url": "b"}).drop("event_id")
+    for _ in range(6):
+        df = df.union(df)
+    named = event_ids.with_event_ids(df)
+    assert named.count() == 128 and named.select("event_id").distinct().count() == 128
+    assert named.drop("event_id").exceptAll(df).isEmpty()
 
 
 NEWS = "https://example.com/?utm_source=news&utm_medium=email&utm_campaign=c1"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from datetime import date, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 from build import at, column, events
 from footfall import schema
 from footfall.functions.ids import plain_hash
-from footfall.operators.event_ids import with_event_ids
 from footfall.plans import quality, reports
 from footfall.plans.sessionated import events_sessionated
 from footfall.sources import dimensions, hits, incremental, models, staging
@@ -133,13 +133,20 @@ def raw(spark, *rows):
 def test_events_table(spark, tmp_path):
     path = str(tmp_path / "events")
     tables.append_events(raw(spark, {}, {"timestamp": at(24 * 60)}), path)
-    tables.append_events(raw(spark, {"hash": "h2"}), path)
-    assert tables.read_events(spark, path).count() == 3
+    for _ in range(2):  # a repeated write of one batch replaces itself
+        tables.append_events(raw(spark, {"hash": "h2"}), path, "again")
+    found = tables.read_events(spark, path)
+    assert found.count() == 3 and found.select("event_id").distinct().count() == 3
     day = tables.read_events(spark, path, date(2024, 3, 2), date(2024, 3, 2))
     assert day.count() == 1
     assert "PartitionFilters: [isnotnull(event_date" in day._jdf.queryExecution().toString()
+
+
+def test_whole_days_are_replaced(spark, tmp_path):
+    path = str(tmp_path / "derived")
+    tables.overwrite_days(tables.with_day(raw(spark, {}, {"timestamp": at(24 * 60)})), path)
     tables.overwrite_days(tables.with_day(raw(spark, {"hash": "new"})), path)
-    assert sorted(r.hash for r in tables.read_events(spark, path).collect()) == ["h", "new"]
+    assert sorted(r.hash for r in spark.read.parquet(path).collect()) == ["h", "new"]
 
 
 def test_retention_of_a_table(spark):
@@ -163,15 +170,27 @@ def test_incremental_refresh(spark, tmp_path):
     path = str(tmp_path / "days")
     rows = [{"timestamp": at(60 * 7 * i), "client_id": f"c{i % 3}"} for i in range(30)]
     table = events(spark, *rows)
-    incremental.refresh_days(table.filter(F.col("timestamp") < at(60 * 80)), path)
-    incremental.refresh_days(table, path)
-    incremental.refresh_days(table, path)  # repeating changes nothing
+    known = (F.col("timestamp") < at(60 * 80)) & (F.to_date("timestamp") != date(2024, 3, 3))
+    incremental.refresh_days(table.filter(known), path)
+    for _ in range(2):  # repeating changes nothing; 3 March comes late
+        incremental.refresh_days(table, path, table.filter(~known))
     found = incremental.users_from_days(incremental.read_days(spark, path))
     full = table.groupBy("client_id", "user_id").agg(
         F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
         F.count_distinct(F.to_date("timestamp")).alias("days_active"),
     )
     assert found.exceptAll(full).isEmpty() and full.exceptAll(found).isEmpty()
+    nothing = table.limit(0)
+    assert incremental.touched_days(nothing, 3) == []
+    incremental.refresh_sessionated(table, str(tmp_path / "none"), nothing)
+    assert not (tmp_path / "none").exists()
+
+
+def test_staged_tables_are_removed(spark):
+    with staging.staging_run(spark) as folder:
+        kept = staging.stage(spark.range(3), "numbers")
+        assert kept.count() == 3 and folder in kept.inputFiles()[0]
+    assert not Path(folder).exists()
 
 
 def test_staging_needs_a_shared_folder(spark):
@@ -197,23 +216,64 @@ def test_hits_stream_equals_batch(spark, salts, tmp_path):
     rows = [
         {"received_at": at(i), "remote_addr": f"1.2.3.{i}", "json": {"en": f"e{i}", "p": {"n": i}}} for i in range(6)
     ]
-    source, out = str(tmp_path / "hits"), str(tmp_path / "events")
+    source, out, known = (str(tmp_path / n) for n in ("hits", "events", "salts"))
     landed(spark, *rows[:3]).write.json(source)
+    salts.write.parquet(known)
 
     def run():
         stream = jobs.read_hits(spark, source, files_per_batch=1)
-        jobs.ingest(stream, salts, out, str(tmp_path / "checkpoint")).awaitTermination()
+        jobs.ingest(stream, known, out, str(tmp_path / "checkpoint")).awaitTermination()
 
     run()
     landed(spark, *rows[3:]).write.mode("append").json(source)
     run()
     run()  # nothing new, nothing twice
-    found = tables.read_events(spark, out).drop("event_date")
+    found = tables.read_events(spark, out).drop("event_date", "event_id")
     batch = hits.process_hits(landed(spark, *rows), salts)
     assert found.count() == 6
     assert found.exceptAll(batch).isEmpty()
 
 
+def test_a_new_day_gets_a_salt(spark, tmp_path):
+    source, out, known = (str(tmp_path / n) for n in ("hits", "events", "salts"))
+    for day in range(3):
+        rows = [{"received_at": at(60 * 24 * day + i), "json": {"en": "e"}} for i in range(2)]
+        landed(spark, *rows).write.mode("append").json(source)
+        stream = jobs.read_hits(spark, source)
+        jobs.ingest(stream, known, out, str(tmp_path / "checkpoint")).awaitTermination()
+    found = tables.read_events(spark, out)
+    assert hits.rejected_events(found).isEmpty()
+    assert found.select("hash").distinct().count() == 3  # one visitor, three days
+    assert dimensions.read_salts(spark, known).count() == 3
+
+
+def test_doubled_dimensions_do_not_double_hits(spark, salts):
+    geo = spark.createDataFrame([("1.2.3.4", "Europe", "France", "FR", "", None)] * 2, schema.GEO)
+    rows = hits.process_hits(landed(spark, {"json": {"en": "a"}}), salts.union(salts), geo)
+    assert rows.count() == 1
+
+
+def test_hits_without_salt_are_reported(spark, salts):
+    rows = [{"received_at": at(60 * 24 * 9), "json": {"en": "a"}}, {"json": {"en": "b"}}, {"received_at": None}]
+    lost = hits.rejected_events(hits.process_hits(landed(spark, *rows), salts)).collect()
+    assert sorted(r.reason for r in lost) == ["no_hash", "no_time"]
+
+
+def test_false_and_zero_count_as_not_given(spark, salts):
+    bodies = [
+        {"en": "a", "c": False, "u": 0}, {"en": "a", "c": 0, "h": False, "et": 0}, {"en": "a", "c": 0.0, "ua": None},
+        {"en": "a", "c": "false", "h": "0"}, {"en": "a", "c": "0", "et": "0"},
+    ]
+    rows = [hits.process_hits(landed(spark, {"json": b}), salts).first() for b in bodies]
+    assert [r.client_id for r in rows] == [None, None, None, "false", "0"]
+    assert [r.consent_given for r in rows] == [False, False, False, True, True]
+    assert [r.event_type for r in rows] == ["event"] * 4 + ["0"]
+    assert rows[0].hash == rows[1].hash and rows[3].hash == "0" and rows[0].user_id == "0"
+    form = landed(spark, {"form": {"en": "a", "c": "0", "et": "false"}})
+    row = hits.process_hits(form, salts).first()
+    assert (row.client_id, row.event_type) == ("0", "false")
+
+
 def test_sessions_stream_equals_batch(spark, tmp_path):
     path, out = str(tmp_path / "raw"), str(tmp_path / "es")
     rows = [
@@ -231,7 +291,7 @@ def test_sessions_stream_equals_batch(spark, tmp_path):
     run()
     tables.append_events(raw(spark, late), path)
     run()
-    batch = events_sessionated(with_event_ids(tables.read_events(spark, path).drop("event_date")), parameters=False)
+    batch = events_sessionated(tables.read_events(spark, path).drop("event_date"), parameters=False)
     found = spark.read.parquet(out)
     assert found.count() == 41
     assert found.select(*ids).exceptAll(batch.select(*ids)).isEmpty()
