@@ -388,7 +388,7 @@ def clients(spark, sf_dir):
 
 @query
 def first_last_utm(spark, sf_dir):
-    return rollup.clients(session_table(spark, sf_dir)).select(
+    return rollup.roll_up(session_table(spark, sf_dir), "client_id", paths=False).select(
         "client_id", *fields("first_utm", UTM, "first_"), *fields("last_utm", UTM, "last_")
     )
 

@@ -2,21 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
-
-# --- Fixed values -----------------------------------------------------------
-# These must equal the reference's for equal results.
-INTERNAL_REFERRERS = r"paddle\.com|stripe\.com|accounts\.google\."
-BOT_PATTERN = (
-    "[Bb]ot|[sS]ite|measure|Adwords|censys|jsdom|python|http"
-    "|[Tt]ask|[Tt]est|[Hh]eadless|[Ss]pider"
-)
-CLICK_ID_PARAMETERS = ("gclid", "fbclid", "wbraid", "gbraid", "tblci", "li_fat_id")
-PAGE_CLEANUP = r"(https?://[^/?#]+|#tblci[^&#]+$)"
-REQUEST_PAGEVIEW_PATTERN = r"(?:https?://[^/]+$|/$|\.html$|/[^/\.]+$)"
-LEGACY_ID_CUTOFF = "2023-10-08"
-# ----------------------------------------------------------------------------
-
+from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Rule:
@@ -41,6 +27,15 @@ class Metric:
     once: bool = False
 
 
+# --- Fixed values -----------------------------------------------------------
+# These must equal the reference's for equal results.
+INTERNAL_REFERRERS = r"paddle\.com|stripe\.com|accounts\.google\."
+BOT_PATTERN = "[Bb]ot|[sS]ite|measure|Adwords|censys|jsdom|python|http|[Tt]ask|[Tt]est|[Hh]eadless|[Ss]pider"
+CLICK_ID_PARAMETERS = ("gclid", "fbclid", "wbraid", "gbraid", "tblci", "li_fat_id")
+PAGE_CLEANUP = r"(https?://[^/?#]+|#tblci[^&#]+$)"
+REQUEST_PAGEVIEW_PATTERN = r"(?:https?://[^/]+$|/$|\.html$|/[^/\.]+$)"
+LEGACY_ID_CUTOFF = "2023-10-08"
+
 UTM_RULES = (
     Rule("clid.parameter IN ('gclid', 'wbraid', 'gbraid')", "'google'", "'cpc'"),
     Rule("clid.parameter = 'fbclid'", "'facebook'"),
@@ -64,6 +59,7 @@ SESSION_METRICS = (
         once=True,
     ),
 )
+# ----------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
@@ -89,21 +85,13 @@ class Config:
     # Physical layout; none of these changes a result.
     bin_seconds: int = 1800  # visitor timeline slice; must not exceed the gap
     session_bin_seconds: int = 3600  # client timeline slice for session scans
-    split_rows: int = 1_000_000  # a slice with more rows is split over lanes
-    max_lanes: int = 16  # with more lanes than this, slices are cut to a second
 
     def __post_init__(self) -> None:
         if self.bin_seconds * 1000 > self.gap_ms:
             raise ValueError("bin_seconds must not exceed the inactivity gap")
-        if min(
-            self.bin_seconds, self.session_bin_seconds, self.split_rows, self.max_lanes
-        ) < 1:
+        if min(self.bin_seconds, self.session_bin_seconds) < 1:
             raise ValueError("layout settings must be positive")
 
-    def finer(self) -> Config:
-        """The same with slices of one second."""
-        return replace(self, bin_seconds=1)
-
     @property
     def click_id_pattern(self) -> str:
         return "|".join(self.click_ids)

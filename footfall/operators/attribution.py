@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall import schema
 from footfall.config import DEFAULT, Config
 from footfall.functions import urls
 from footfall.functions.ids import digest_id
-from footfall.operators import identity, timeline
+from footfall.operators import carry, identity, timeline
 
 BLOCK = ["client_id", "block_start"]
 SOURCE_FIELDS = (
@@ -156,78 +156,25 @@ def source_payload() -> Column:
     )
 
 
-def source_markers(active: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Rows that tell each slice of a (client, block) which source is in force.
-
-    Per slice there is one entry row (``at`` NULL), holding the last source of
-    earlier slices or else the block's first source, and one row per instant
-    with a source inside the slice.  The window over slices is short: a block has at most one
-    row per slice.
-    """
-    sources = ext_sources(source_candidates(activity_views(active)), cfg).select(
-        *BLOCK,
-        timeline.slice_start(F.col("timestamp"), cfg.bin_seconds).alias("slice"),
-        source_payload().alias("source"),
-        "first_source",
-    )
-    keys = [*BLOCK, "slice"]
-    before = (
-        Window.partitionBy(*BLOCK)
-        .orderBy("slice")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    entries = (
-        active.select(*keys, "splits")
-        .unionByName(sources, allowMissingColumns=True)
-        .groupBy(*keys)
-        .agg(
-            F.max("splits").alias("splits"),
-            F.max("source").alias("last_source"),
-            F.max(F.when(F.col("first_source"), F.col("source"))).alias("first_source"),
-        )
-        .withColumn(
-            "entry",
-            F.coalesce(
-                F.last("last_source", ignorenulls=True).over(before),
-                F.max("first_source").over(Window.partitionBy(*BLOCK)),
-            ),
-        )
-    )
-    at_entry = entries.filter(F.col("entry").isNotNull()).select(
-        *keys, "splits", F.lit(None).cast("timestamp").alias("at"), F.col("entry").alias("source")
-    )
-    instants = sources.groupBy(*keys, F.col("source.timestamp").alias("at")).agg(
-        F.max("source").alias("source")
+def block_sources(placed: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The sources of each (client, block): timestamp, source, first_source."""
+    return ext_sources(source_candidates(activity_views(placed)), cfg).select(
+        *BLOCK, "timestamp", source_payload().alias("source"), "first_source"
     )
-    inside = timeline.with_splits(instants, active, keys).select(*keys, "splits", "at", "source")
-    return timeline.per_lane(at_entry.unionByName(inside)).drop("splits")
 
 
-def with_sources(merged: DataFrame, markers: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Add ``source``, the latest source at or before each event, else the first.
+def with_sources(asked: DataFrame, sources: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Add ``source``: the latest at or before ``timestamp``, else the block's first.
 
-    Markers and events meet in one shuffle by (client, block, slice, lane); a
-    marker sorts before the events of its instant, and the running last marker
-    is the event's source.
+    ``asked`` has a narrow row for each instant, ``sources`` is a written table.
     """
-    keys = [*BLOCK, "slice", "lane"]
-    rows = (
-        timeline.with_slices(merged, cfg)
-        .withColumn("lane", timeline.lane(F.col("event_id"), F.col("splits")))
-        .drop("splits")
-        .withColumns({"at": F.col("timestamp"), "is_event": F.lit(True)})
-        .unionByName(markers.withColumn("is_event", F.lit(False)), allowMissingColumns=True)
-    )
-    running = (
-        Window.partitionBy(*keys)
-        .orderBy(F.col("at").asc_nulls_first(), "is_event", F.col("source.event_id"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        rows.withColumn("source", F.last("source", ignorenulls=True).over(running))
-        .filter("is_event")
-        .drop("slice", "lane", "at", "is_event")
+    starts = sources.groupBy(*BLOCK, F.unix_micros("timestamp").alias("us")).agg(
+        F.max("source").alias("value")
     )
+    first = sources.filter("first_source").groupBy(*BLOCK).agg(F.max("source").alias("value"))
+    rows = asked.withColumn("us", F.unix_micros("timestamp"))
+    found = carry.in_force(rows, starts, BLOCK, cfg.bin_seconds, default=first)
+    return found.withColumnRenamed("value", "source").drop("us")
 
 
 def session_columns() -> dict[str, Column]:

@@ -57,9 +57,6 @@ def with_legacy_ids(found: DataFrame, active: DataFrame, cfg: Config = DEFAULT)
     collected.  Blocks that start after the cutoff are not looked at.
     ``active`` should be a written table, since it is read more than once.
     """
-    # One look at the written table spares all tables without old events.
-    if active.filter(is_legacy(F.col("first_ts"), cfg)).isEmpty():
-        return found.withColumn("legacy_id", F.col("first_id"))
     old = found.filter(is_legacy(F.col("block_start"), cfg))
     second = (
         ids_per_block(active, old)
@@ -149,41 +146,16 @@ def repaired_ids(active: DataFrame, found: DataFrame, cfg: Config = DEFAULT) ->
     )
 
 
-def next_ids(
-    active: DataFrame, found: DataFrame, cfg: Config = DEFAULT
-) -> tuple[DataFrame, DataFrame]:
-    """First sightings of client ids, and what each slice can see ahead.
+def sightings(active: DataFrame) -> DataFrame:
+    """When each visitor's client ids were first seen: hash, us, value.
 
-    The first frame has one row per instant with a sighting (hash, slice,
-    seen_at, seen_id); the second adds to ``found`` the block's next sighting after the slice, as
-    ``ahead_id``.
+    Of several at one instant the smallest counts.
     """
-    sightings = (
+    first = (
         active.filter(F.col("client_id").isNotNull())
         .groupBy("hash", "client_id")
         .agg(F.min("first_ts").alias("seen_at"))
-        .select(
-            "hash",
-            timeline.slice_start(F.col("seen_at"), cfg.bin_seconds).alias("slice"),
-            "seen_at",
-            F.col("client_id").alias("seen_id"),
-        )
-    )
-    sightings = sightings.groupBy("hash", "slice", "seen_at").agg(
-        F.min("seen_id").alias("seen_id")
-    )
-    per_slice = sightings.groupBy("hash", "slice").agg(
-        F.min(F.struct("seen_at", "seen_id"))["seen_id"].alias("seen_id")
-    )
-    # Descending order makes "the next one" a running value.
-    later = (
-        Window.partitionBy("hash", "block_start")
-        .orderBy(F.desc("slice"))
-        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    ahead = (
-        found.join(per_slice, ["hash", "slice"], "left")
-        .withColumn("ahead_id", F.last("seen_id", ignorenulls=True).over(later))
-        .drop("seen_id")
+    return first.groupBy("hash", F.unix_micros("seen_at").alias("us")).agg(
+        F.min("client_id").alias("value")
     )
-    return sightings, ahead

@@ -2,51 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.config import DEFAULT, Config
-from footfall.operators.timeline import slice_start
+from footfall.operators import carry
 
 
 def with_donor(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Add ``donor``, the client's latest external session strictly before.
 
-    The scan has two levels: a window inside each (client, slice), and one over
-    the client's slices, one short row each, for what earlier slices hold.  A
-    client with any share of the sessions is thus spread over its slices.
+    Found by client and instant, on narrow rows; the clock bounds every window, so a
+    client may have any share of the sessions.  ``rows`` should be a written table.
     """
-    donor = F.when(
-        F.col("is_external"), F.struct("start_ts", "session_id", "hash", "utm", "clid")
-    )
-    rows = rows.withColumns(
-        {
-            "slice": slice_start(F.col("start_ts"), cfg.session_bin_seconds),
-            "start_us": F.unix_micros("start_ts"),
-            "own": donor,
-        }
-    )
-    earlier = (
-        Window.partitionBy("client_id")
-        .orderBy("slice")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = (
-        rows.groupBy("client_id", "slice")
-        .agg(F.max("own").alias("last"))
-        .withColumn("carried", F.last("last", ignorenulls=True).over(earlier))
-        .drop("last")
-    )
-    before = (
-        Window.partitionBy("client_id", "slice")
-        .orderBy("start_us")
-        .rangeBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        rows.join(carried, ["client_id", "slice"])
-        .withColumn("donor", F.coalesce(F.max("own").over(before), "carried"))
-        .drop("slice", "start_us", "own", "carried")
+    us = F.unix_micros("start_ts")
+    donor = F.struct("start_ts", "session_id", "hash", "utm", "clid")
+    donors = (
+        rows.filter("is_external")
+        .groupBy("client_id", us.alias("us"))
+        .agg(F.max(donor).alias("value"))
     )
+    # strictly before an instant is at or before the microsecond ahead of it
+    asked = rows.select("client_id", (us - 1).alias("us")).distinct()
+    found = carry.in_force(asked, donors, ["client_id"], cfg.session_bin_seconds)
+    found = found.select("client_id", "us", F.col("value").alias("donor"))
+    return rows.withColumn("us", us - 1).join(found, ["client_id", "us"]).drop("us")
 
 
 def attribute(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

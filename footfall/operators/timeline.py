@@ -55,8 +55,7 @@ def activity(
 def spans(active: DataFrame, cfg: Config = DEFAULT, summed: tuple[str, ...] = ()) -> DataFrame:
     """Block of each (hash, slice): ``block_start``, ``block_end``.
 
-    ``pause_ms`` is the pause before the slice's first event.  ``splits`` says
-    over how many tasks the events of an overfull slice should be dealt.  Where
+    ``pause_ms`` is the pause before the slice's first event.  Where
     ``active`` is kept per ``client_id``, ``first_id`` is the block's first
     client id and ``sole_id`` its only one, if there is just one.  Counts named
     in ``summed`` are kept per slice.
@@ -92,7 +91,6 @@ def spans(active: DataFrame, cfg: Config = DEFAULT, summed: tuple[str, ...] = ()
             F.last(F.when(F.col("opens"), F.col("first_ts")), ignorenulls=True).over(running),
         )
         .withColumn("block_end", F.max("last_ts").over(in_block))
-        .withColumn("splits", F.ceil(F.col("n") / F.lit(cfg.split_rows)).cast("int"))
     )
     if with_ids:
         low, high = F.min("low_id").over(in_block), F.max("high_id").over(in_block)
@@ -157,37 +155,6 @@ def block_summary(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     )
 
 
-def is_overfull(found: DataFrame, cfg: Config = DEFAULT) -> bool:
-    """Whether slices should be cut finer; ``found`` is a written table.
-
-    What all lanes of a slice need to know is copied to each.  Slices of a
-    second hold at most a million instants, so there the copies never outnumber
-    the events.
-    """
-    return cfg.bin_seconds > 1 and not found.filter(F.col("splits") > cfg.max_lanes).isEmpty()
-
-
-def lane(event_id: Column, splits: Column) -> Column:
-    """Which of its slice's tasks an event goes to."""
-    return F.when(splits > 1, F.pmod(F.xxhash64(event_id), splits)).otherwise(0).cast("int")
-
-
-def with_splits(rows: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
-    """Add the ``splits`` of each row's slice.
-
-    Only overfull slices are looked up.  There is at most one for every
-    ``split_rows`` events, so that side of the join is small.
-    """
-    crowded = (
-        placed.filter("splits > 1").groupBy(*keys).agg(F.max("splits").alias("crowd"))
-    )
-    return (
-        rows.join(crowded, keys, "left")
-        .withColumn("splits", F.coalesce("crowd", F.lit(1)))
-        .drop("crowd")
-    )
-
-
-def per_lane(rows: DataFrame) -> DataFrame:
-    """One copy of each row for every lane of its slice (column ``splits``)."""
-    return rows.withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
+def instants(events: DataFrame, *keys: str) -> DataFrame:
+    """The different times of each key, narrow and combined on the map side."""
+    return events.select(*keys, "timestamp").distinct()

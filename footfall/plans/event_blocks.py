@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.config import DEFAULT, Config
-from footfall.operators import identity, timeline
+from footfall.operators import carry, identity, timeline
 from footfall.sources.staging import stage
 
-COLUMNS = ("block_end", "splits", "sole_id", "fixed_id", "ahead_id")
+def block_facts(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Per (hash, timestamp): the block's end and ids, and the next id ahead.
 
-
-def _timeline(events: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
-    """What each slice knows of its block, written down, and the id sightings."""
+    A function of visitor and time, so it is worked out on one narrow row for each.
+    """
     active = stage(timeline.activity(events, cfg, ("client_id",)), "activity")
     found = timeline.spans(active, cfg)
     fixed = identity.repaired_ids(active, found, cfg)
-    sightings, ahead = identity.next_ids(active, found, cfg)
-    known = ahead.join(fixed, ["hash", "block_start"], "left")
-    return stage(known.select("hash", "slice", *COLUMNS), "spans"), sightings
+    slices = found.join(fixed, ["hash", "block_start"], "left").select(
+        "hash", "slice", "block_start", "block_end", "sole_id", "fixed_id"
+    )
+    slices = stage(slices, "spans")
+
+    def placed(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.join(slices.select("hash", "slice", "block_start", *columns), ["hash", "slice"])
+
+    asked = timeline.with_slices(timeline.instants(events, "hash"), cfg)
+    asked = placed(asked, "block_end", "sole_id", "fixed_id").drop("slice")
+    bin_us = cfg.bin_seconds * carry.SECOND
+    seen = identity.sightings(active).withColumn(
+        "slice", F.col("us") - F.pmod("us", F.lit(bin_us))
+    )
+    return carry.in_force(
+        asked.withColumn("us", F.unix_micros("timestamp")),
+        placed(seen),
+        ["hash", "block_start"],
+        cfg.bin_seconds,
+        ahead=True,
+    ).select(
+        "hash", "timestamp", "block_end", "sole_id", "fixed_id", F.col("value").alias("upcoming")
+    )
 
 
 def backfilled(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -28,42 +48,18 @@ def backfilled(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     ``tracked_client_id`` is what was collected.  ``pass1`` adds the next id
     first seen later in the block, ``pass2`` the block's only id or else the
     visitor hash, and ``pass3`` overrides with the repaired id, if any.
-    """
-    found, sightings = _timeline(events, cfg)
-    if timeline.is_overfull(found, cfg):
-        cfg = cfg.finer()
-        found, sightings = _timeline(events, cfg)
 
-    placed = timeline.with_slices(
-        timeline.with_blocks(events, cfg, COLUMNS, found), cfg
-    ).withColumns(
-        {
-            "lane": timeline.lane(F.col("event_id"), F.col("splits")),
-            "seen_at": F.col("timestamp"),
-            "is_event": F.lit(True),
-        }
-    )
-    keys = ["hash", "slice", "lane"]
-    markers = timeline.per_lane(
-        timeline.with_splits(sightings, found, ["hash", "slice"])
-    ).withColumn("is_event", F.lit(False))
-    # Backwards in time, the latest sighting passed is the next one ahead.
-    backwards = (
-        Window.partitionBy(*keys)
-        .orderBy(F.desc("seen_at"), "is_event", F.desc("seen_id"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    upcoming = F.coalesce(F.last("seen_id", ignorenulls=True).over(backwards), "ahead_id")
+    The events move once, to meet the facts of their instant.  That side has one
+    row per key, so the adaptive skew join can split any hot key.
+    """
     return (
-        placed.unionByName(markers.drop("splits"), allowMissingColumns=True)
-        .withColumn("upcoming", upcoming)
-        .filter("is_event")
-        .withColumnRenamed("client_id", "tracked_client_id")
+        events.withColumnRenamed("client_id", "tracked_client_id")
+        .join(block_facts(events, cfg), ["hash", "timestamp"])
         .withColumn("pass1", F.coalesce("tracked_client_id", "upcoming"))
         .withColumn("pass2", F.coalesce("pass1", "sole_id", "hash"))
         .withColumn("pass3", F.coalesce("fixed_id", "pass2"))
         .withColumn("cookiebot_fix", F.col("fixed_id").isNotNull().cast("int"))
-        .drop("slice", "lane", "seen_at", "seen_id", "is_event", "upcoming", *COLUMNS[1:])
+        .drop("sole_id", "fixed_id", "upcoming")
     )
 
 

@@ -39,13 +39,19 @@ def _sorted(condition: Column, *values: Column) -> Column:
 
 
 def roll_up(
-    sessions: DataFrame, key: str, cfg: Config = DEFAULT, utm_lists: bool = False
+    sessions: DataFrame,
+    key: str,
+    cfg: Config = DEFAULT,
+    utm_lists: bool = False,
+    paths: bool = True,
 ) -> DataFrame:
     """Per ``key``: span, first and last utm, path, session count, metrics.
 
     Ordered values are gathered in two steps, per (key, slice) and then over
     slices, so only the finished path of a key has to fit one row.  With
     ``utm_lists`` the external sources and their times come as two arrays.
+    Without both nothing is gathered: every aggregate combines on the map side,
+    whatever share of the sessions a key has (``touchpoints`` gives the same as rows).
     """
     metrics = [m.name for m in cfg.session_metrics]
     order = F.struct("start_ts", "session_id", "utm")
@@ -57,6 +63,8 @@ def roll_up(
         }
     )
     lists = [_sorted(known, F.col("utm")).alias("sources")] if utm_lists else []
+    if paths:
+        lists.append(_sorted(F.col("is_external"), F.col("touchpoint")).alias("steps"))
     sliced = (
         rows.groupBy(key, "slice")
         .agg(
@@ -64,18 +72,15 @@ def roll_up(
             F.max("end_ts").alias("end_ts"),
             F.min(order).alias("first"),
             F.max(order).alias("last"),
-            _sorted(F.col("is_external"), F.col("touchpoint")).alias("steps"),
             *lists,
             F.count(F.lit(1)).alias("sessions"),
             *[F.sum(m).alias(m) for m in metrics],
             F.min("no_client_id").alias("no_client_id"),
         )
-        .withColumn(
-            "path",
-            F.array_join(F.transform("steps", lambda s: s["touchpoint"]), PATH_SEPARATOR),
-        )
-        .drop("steps")
     )
+    if paths:
+        steps = F.transform("steps", lambda s: s["touchpoint"])
+        sliced = sliced.withColumn("path", F.array_join(steps, PATH_SEPARATOR)).drop("steps")
 
     def in_order(column: str, condition: Column) -> Column:
         parts = F.array_sort(F.collect_list(F.when(condition, F.struct("slice", column))))
@@ -83,14 +88,14 @@ def roll_up(
 
     has_path = F.col("path") != ""
     lists = [in_order("sources", F.size("sources") > 0).alias("sources")] if utm_lists else []
+    if paths:
+        whole = F.array_join(in_order("path", has_path), PATH_SEPARATOR)
+        lists.append(F.nullif(whole, F.lit("")).alias("touchpoints"))
     out = sliced.groupBy(key).agg(
         F.min("start_ts").alias("first_session_ts"),
         F.max("end_ts").alias("last_session_ts"),
         F.min("first")["utm"].alias("first_utm"),
         F.max("last")["utm"].alias("last_utm"),
-        F.nullif(F.array_join(in_order("path", has_path), PATH_SEPARATOR), F.lit("")).alias(
-            "touchpoints"
-        ),
         *lists,
         F.sum("sessions").alias("sessions"),
         *[

@@ -11,7 +11,7 @@ from footfall.functions.device import flag_bots
 from footfall.operators import attribution, identity, timeline
 from footfall.sources.staging import stage
 
-BLOCK_COLUMNS = ("block_start", "first_id", "legacy_id", "splits")
+BLOCK_COLUMNS = ("block_start", "first_id", "legacy_id")
 
 
 def event_columns(cfg: Config = DEFAULT) -> dict[str, Column]:
@@ -27,11 +27,28 @@ def event_columns(cfg: Config = DEFAULT) -> dict[str, Column]:
     }
 
 
-def _timeline(events: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
-    """The activity table and the block of each slice, both written down."""
+def visit_facts(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Per (hash, own client id, timestamp): block, merged client and source.
+
+    All that an event takes from its visitor's other events is a function of these
+    three, so it is worked out on one narrow row for each.
+    """
     active = stage(attribution.source_activity(events, cfg), "activity")
     found = identity.with_legacy_ids(timeline.spans(active, cfg), active, cfg)
-    return active, stage(found.select("hash", "slice", *BLOCK_COLUMNS), "spans")
+    found = stage(found.select("hash", "slice", *BLOCK_COLUMNS), "spans")
+    placed = active.join(found, ["hash", "slice"]).withColumns(
+        identity.merge_client_id(cfg, F.col("legacy"))
+    )
+    sources = stage(attribution.block_sources(placed, cfg), "sources")
+    asked = (
+        timeline.with_blocks(
+            timeline.instants(events, "hash", "client_id"), cfg, BLOCK_COLUMNS, found
+        )
+        .withColumn("own_id", F.col("client_id"))
+        .withColumns(identity.merge_client_id(cfg))
+        .drop("first_id", "legacy_id")
+    )
+    return attribution.with_sources(asked, sources, cfg)
 
 
 def events_sessionated(
@@ -39,29 +56,26 @@ def events_sessionated(
 ) -> DataFrame:
     """Every event with its block, merged client, session and traffic source.
 
-    ``events`` is the raw table plus ``event_id``.  The raw table is read twice:
-    narrowly for the activity table, from which blocks, identities and sources
-    follow, and once in full to attach them.  Columns that depend on one event
-    alone come last, so they are never shuffled and cost nothing if not used.
-    ``parameters`` adds the parsed e-commerce structs.
+    ``events`` is the raw table plus ``event_id``.  The wide rows move once, to meet
+    the facts of their visit; that side has one row per key, so the adaptive skew join
+    can split any hot key.  Columns that depend on one event alone come last, so they
+    are never shuffled and cost nothing if not used.  ``parameters`` adds the parsed
+    e-commerce structs.
     """
-    active, found = _timeline(events, cfg)
-    if timeline.is_overfull(found, cfg):
-        cfg = cfg.finer()
-        active, found = _timeline(events, cfg)
-    placed = (
-        active.join(found, ["hash", "slice"])
-        .withColumns(identity.merge_client_id(cfg, F.col("legacy")))
+    facts = visit_facts(events, cfg).withColumnsRenamed(
+        {"hash": "_hash", "timestamp": "_timestamp"}
+    )
+    same = (
+        (F.col("hash") == F.col("_hash"))
+        & F.col("tracked_id").eqNullSafe(F.col("own_id"))
+        & (F.col("timestamp") == F.col("_timestamp"))
     )
-    markers = attribution.source_markers(placed, cfg)
     merged = (
-        timeline.with_blocks(events, cfg, BLOCK_COLUMNS, found)
-        .withColumns(identity.merge_client_id(cfg))
-        .drop("first_id", "legacy_id")
+        events.withColumnRenamed("client_id", "tracked_id")
+        .join(facts, same)
+        .drop("_hash", "_timestamp", "own_id", "tracked_id")
     )
-    out = (
-        attribution.with_sources(merged, markers, cfg)
-        .withColumns({**event_columns(cfg), **attribution.session_columns()})
-        .drop("source", "block_start")
+    out = merged.withColumns({**event_columns(cfg), **attribution.session_columns()}).drop(
+        "source", "block_start"
     )
     return ga4.with_parameters(out) if parameters else out

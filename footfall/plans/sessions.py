@@ -9,7 +9,7 @@ from footfall.config import DEFAULT, Config
 from footfall.operators import lookback
 from footfall.sources.staging import stage
 
-# Taken from the session's first event; constant in it, or any value will do.
+# Taken from the session's first event; mostly constant in it.
 FROM_FIRST = (
     "user_agent",
     "device",
@@ -24,30 +24,48 @@ FROM_FIRST = (
 )
 
 
-def metric_columns(cfg: Config = DEFAULT) -> list[Column]:
+def metric_counts(cfg: Config = DEFAULT) -> list[Column]:
     """Configured conditional counts over events."""
+    return [F.count_if(F.expr(m.condition)).alias(m.name) for m in cfg.session_metrics]
+
+
+def metric_totals(cfg: Config = DEFAULT) -> list[Column]:
+    """The same added up; those that count once at most are 0 or 1."""
     out = []
     for metric in cfg.session_metrics:
-        hits = F.count_if(F.expr(metric.condition))
+        total = F.sum(metric.name)
         if metric.once:
-            hits = F.when(hits > 0, 1).otherwise(0).cast("long")
-        out.append(hits.alias(metric.name))
+            total = F.when(total > 0, 1).otherwise(0).cast("long")
+        out.append(total.alias(metric.name))
     return out
 
 
 def session_rows(sessionated: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """One row per (session, client, hash), before attribution and filters."""
-    first = F.min(F.struct("timestamp", "event_id", *FROM_FIRST)).alias("first")
+    """One row per (session, client, hash), before attribution and filters.
+
+    The events are reduced by all that is taken from the first of them, which is
+    mostly constant, with fixed-width values only, so they are hashed and not
+    sorted.  Where it does vary, the earliest counts, and at one instant the smallest.
+    """
+    key = ["session_id", "client_id", "hash"]
+    us = F.unix_micros("timestamp")
+    counted = sessionated.groupBy(*key, *FROM_FIRST).agg(
+        F.min(us).alias("start_us"),
+        F.max(us).alias("end_us"),
+        F.count_if(F.col("event_name") == "pageview").alias("pageviews"),
+        F.count_if(F.col("event_type") == "event").alias("events"),
+        F.count(F.lit(1)).alias("hits"),
+        *metric_counts(cfg),
+    )
+    first = F.min(F.struct("start_us", *FROM_FIRST)).alias("first")
     return (
-        sessionated.groupBy("session_id", "client_id", "hash")
+        counted.groupBy(*key)
         .agg(
-            F.min("timestamp").alias("start_ts"),
-            F.max("timestamp").alias("end_ts"),
+            F.timestamp_micros(F.min("start_us")).alias("start_ts"),
+            F.timestamp_micros(F.max("end_us")).alias("end_ts"),
             first,
-            F.count_if(F.col("event_name") == "pageview").alias("pageviews"),
-            F.count_if(F.col("event_type") == "event").alias("events"),
-            F.count(F.lit(1)).alias("hits"),
-            *metric_columns(cfg),
+            *[F.sum(c).alias(c) for c in ("pageviews", "events", "hits")],
+            *metric_totals(cfg),
         )
         .withColumns({name: F.col("first")[name] for name in FROM_FIRST})
         .withColumnsRenamed({"is_ext_session": "is_external", "is_stub_session": "is_stub"})
