@@ -12,6 +12,9 @@ from footfall.config import DEFAULT, Config
 DOMAIN = r"^(?:\w+://)?(?:[^:/?]+\.)*([^:/?]+\.[^:/?]+)"
 HOST = r"https?://([^/?#]+)"
 UTM_FIELDS = ("source", "medium", "campaign", "content", "term", "id")
+CAMPAIGN_TAGS = "utm_[a-z]+"
+QUERY_LEFT_EMPTY = r"(\?$|\?&)"
+QUERY_BEFORE_FRAGMENT = r"\?#"
 # ----------------------------------------------------------------------------
 
 
@@ -75,10 +78,10 @@ def utm(url: Column) -> Column:
 
 def page_location(url: Column, cfg: Config = DEFAULT) -> Column:
     """The url without host, campaign tags and click ids; other parameters stay."""
-    tags = f"(utm_[a-z]+|{cfg.click_id_pattern})=[^&#]*&?"
+    tags = f"({CAMPAIGN_TAGS}|{cfg.click_id_pattern})=[^&#]*&?"
     path = F.regexp_replace(url, cfg.page_cleanup, "")
     out = path
-    for pattern, replacement in ((tags, ""), (r"(\?$|\?&)", ""), (r"\?#", "#")):
+    for pattern, replacement in ((tags, ""), (QUERY_LEFT_EMPTY, ""), (QUERY_BEFORE_FRAGMENT, "#")):
         out = F.regexp_replace(out, pattern, replacement)
     # Without these characters none of the later patterns can match.
     return F.when(url.contains("?") | url.contains("="), out).otherwise(path)

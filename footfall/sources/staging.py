@@ -49,10 +49,10 @@ def staging_run(spark: SparkSession) -> Iterator[str]:
         remove(spark, folder)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` below the shared folder and return it as read from there."""
     spark = df.sparkSession
     run = _RUN.get()
     path = f"{run}/{uuid.uuid4().hex}/{name}" if run else f"{new_folder(spark)}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

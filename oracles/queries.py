@@ -208,57 +208,125 @@ FROM (
 )""")
 
 # --- Parameters
+# --- Fixed values: names and kinds of fields, event names, currencies -------
 _ITEM = (
-    "currency value:DOUBLE item_id item_name item_brand item_category item_category2 item_category3"
-    " item_category4 item_category5 price:DOUBLE quantity:BIGINT item_variant item_list_id item_list_name"
-    " item_list_index:BIGINT"
+    ("currency", "VARCHAR"),
+    ("value", "DOUBLE"),
+    ("item_id", "VARCHAR"),
+    ("item_name", "VARCHAR"),
+    ("item_brand", "VARCHAR"),
+    ("item_category", "VARCHAR"),
+    ("item_category2", "VARCHAR"),
+    ("item_category3", "VARCHAR"),
+    ("item_category4", "VARCHAR"),
+    ("item_category5", "VARCHAR"),
+    ("price", "DOUBLE"),
+    ("quantity", "BIGINT"),
+    ("item_variant", "VARCHAR"),
+    ("item_list_id", "VARCHAR"),
+    ("item_list_name", "VARCHAR"),
+    ("item_list_index", "BIGINT"),
 )
-for key, (names, spec) in {
-    "ga4_purchase": ("'purchase'", "currency value:DOUBLE transaction_id coupon shipping:DOUBLE tax:DOUBLE"
-                     " affiliation shipping_tier payment_type"),
+_ITEMS = (
+    ("item_id", "VARCHAR"),
+    ("item_name", "VARCHAR"),
+    ("item_brand", "VARCHAR"),
+    ("item_variant", "VARCHAR"),
+    ("item_category", "VARCHAR"),
+    ("item_category2", "VARCHAR"),
+    ("item_category3", "VARCHAR"),
+    ("item_category4", "VARCHAR"),
+    ("item_category5", "VARCHAR"),
+    ("price", "DOUBLE"),
+    ("quantity", "BIGINT"),
+    ("item_revenue", "DOUBLE"),
+    ("item_refund", "DOUBLE"),
+    ("coupon", "VARCHAR"),
+    ("affiliation", "VARCHAR"),
+    ("location_id", "VARCHAR"),
+    ("item_list_id", "VARCHAR"),
+    ("item_list_name", "VARCHAR"),
+    ("item_list_index", "BIGINT"),
+    ("promotion_id", "VARCHAR"),
+    ("promotion_name", "VARCHAR"),
+    ("creative_name", "VARCHAR"),
+    ("creative_slot", "VARCHAR"),
+)
+_PURCHASE = (
+    ("currency", "VARCHAR"),
+    ("value", "DOUBLE"),
+    ("transaction_id", "VARCHAR"),
+    ("coupon", "VARCHAR"),
+    ("shipping", "DOUBLE"),
+    ("tax", "DOUBLE"),
+    ("affiliation", "VARCHAR"),
+    ("shipping_tier", "VARCHAR"),
+    ("payment_type", "VARCHAR"),
+)
+_CHECKOUT = (
+    ("currency", "VARCHAR"),
+    ("value", "DOUBLE"),
+    ("coupon", "VARCHAR"),
+    ("shipping_tier", "VARCHAR"),
+    ("payment_type", "VARCHAR"),
+)
+_LEAD = (
+    ("currency", "VARCHAR"),
+    ("value", "DOUBLE"),
+)
+_PAGE = (
+    ("page_title", "VARCHAR"),
+    ("page_location", "VARCHAR"),
+    ("page_referrer", "VARCHAR"),
+)
+_VIDEO = (
+    ("video_title", "VARCHAR"),
+    ("video_duration", "VARCHAR"),
+    ("video_percent", "VARCHAR"),
+    ("video_url", "VARCHAR"),
+    ("video_provider", "VARCHAR"),
+)
+_STRUCTS = {
+    "ga4_purchase": ("'purchase'", _PURCHASE),
     "ga4_view_item": ("'view_item'", _ITEM),
     "ga4_add_to_cart": ("'add_to_cart'", _ITEM),
-    "ga4_begin_checkout": ("'begin_checkout'", "currency value:DOUBLE coupon shipping_tier payment_type"),
-    "ga4_sign_up": ("'sign_up'", "method"),
-    "ga4_login": ("'login'", "method"),
-    "ga4_generate_lead": ("'generate_lead'", "currency value:DOUBLE"),
-    "ga4_page_view": ("'page_view'", "page_title page_location page_referrer"),
-    "ga4_scroll": ("'scroll'", "percent_scrolled:DOUBLE"),
-    "ga4_video": ("'video_start','video_progress','video_complete'",
-                  "video_title video_duration video_percent video_url video_provider"),
-}.items():
-    columns = ", ".join(
-        f"{js(name, cast or 'VARCHAR')} AS {name}" for name, _, cast in (f.partition(":") for f in spec.split())
-    )
+    "ga4_begin_checkout": ("'begin_checkout'", _CHECKOUT),
+    "ga4_sign_up": ("'sign_up'", (("method", "VARCHAR"),)),
+    "ga4_login": ("'login'", (("method", "VARCHAR"),)),
+    "ga4_generate_lead": ("'generate_lead'", _LEAD),
+    "ga4_page_view": ("'page_view'", _PAGE),
+    "ga4_scroll": ("'scroll'", (("percent_scrolled", "DOUBLE"),)),
+    "ga4_video": ("'video_start','video_progress','video_complete'", _VIDEO),
+}
+_ITEM_EVENTS = "'purchase','view_item_list','view_cart'"
+_CURRENCIES = "('USD','EUR','GBP','CAD','AUD','JPY','CNY','INR','BRL','MXN')"
+_VALID_EVENTS = "'purchase','view_item','add_to_cart','begin_checkout'"
+_ECOMMERCE = """'purchase','view_item','add_to_cart','begin_checkout','view_cart','remove_from_cart',
+    'view_item_list','add_to_wishlist','view_promotion','select_promotion'"""
+_ENGAGEMENT = """'page_view','scroll','video_start','video_progress','video_complete','file_download',
+    'form_start','form_submit'"""
+_LIFECYCLE = "'sign_up','login','logout','generate_lead','join_group','share','search'"
+# ----------------------------------------------------------------------------
+for key, (names, fields) in _STRUCTS.items():
+    columns = ", ".join(f"{js(name, kind)} AS {name}" for name, kind in fields)
     add(key, b.TO_EVENTS, f"SELECT event_id, event_name, {columns} FROM tracked WHERE event_name IN ({names})")
 
-_ITEMS = (
-    "item_id item_name item_brand item_variant item_category item_category2 item_category3 item_category4"
-    " item_category5 price:DOUBLE quantity:BIGINT item_revenue:DOUBLE item_refund:DOUBLE coupon affiliation"
-    " location_id item_list_id item_list_name item_list_index:BIGINT promotion_id promotion_name creative_name"
-    " creative_slot"
-)
-_item_cols = ", ".join(
-    f"{js(name, cast or 'VARCHAR', 'item')} AS {name}" for name, _, cast in (f.partition(":") for f in _ITEMS.split())
-)
+_item_cols = ", ".join(f"{js(name, kind, 'item')} AS {name}" for name, kind in _ITEMS)
 add("ga4_items", b.TO_EVENTS, f"""
 SELECT event_id, "position", {_item_cols} FROM (
   SELECT event_id, unnest(items) AS item, unnest(range(len(items))) AS "position" FROM (
     SELECT event_id, CAST(json_extract(parameters, '$.items') AS JSON[]) AS items FROM tracked
-    WHERE event_name IN ('purchase','view_item_list','view_cart')))""")
+    WHERE event_name IN ({_ITEM_EVENTS})))""")
 
-_CURRENCIES = "('USD','EUR','GBP','CAD','AUD','JPY','CNY','INR','BRL','MXN')"
 add("ga4_currency", b.TO_EVENTS, f"""
 SELECT event_id, CASE WHEN {js('currency')} IN {_CURRENCIES} THEN {js('currency')} ELSE 'EUR' END AS currency
 FROM tracked""")
-add("ga4_category", b.TO_EVENTS, """
+add("ga4_category", b.TO_EVENTS, f"""
 SELECT event_id, CASE
   WHEN event_name IS NULL THEN 'other'
-  WHEN event_name IN ('purchase','view_item','add_to_cart','begin_checkout','view_cart','remove_from_cart',
-    'view_item_list','add_to_wishlist','view_promotion','select_promotion') THEN 'ecommerce'
-  WHEN event_name IN ('page_view','scroll','video_start','video_progress','video_complete','file_download',
-    'form_start','form_submit') THEN 'engagement'
-  WHEN event_name IN ('sign_up','login','logout','generate_lead','join_group','share','search') THEN 'user_lifecycle'
+  WHEN event_name IN ({_ECOMMERCE}) THEN 'ecommerce'
+  WHEN event_name IN ({_ENGAGEMENT}) THEN 'engagement'
+  WHEN event_name IN ({_LIFECYCLE}) THEN 'user_lifecycle'
   ELSE 'custom' END AS category FROM tracked""")
 
 RICH = (b.ADAPTER, r"""
@@ -285,7 +353,7 @@ def scalar(path: str) -> str:
 
 
 add("ga4_valid", RICH, f"""
-SELECT event_id, CASE WHEN event_name IN ('purchase','view_item','add_to_cart','begin_checkout') THEN
+SELECT event_id, CASE WHEN event_name IN ({_VALID_EVENTS}) THEN
     CASE WHEN {scalar('currency')} IS NULL THEN FALSE WHEN {scalar('value')} IS NULL THEN FALSE
          WHEN CAST({scalar('value')} AS DOUBLE) <= 0 THEN FALSE ELSE TRUE END
   ELSE TRUE END AS is_valid FROM rich""")

@@ -1,24 +1,15 @@
-"""Registered queries against their SQL on the smallest tables.
-
-A cross-section runs by default; set ALL_QUERIES=1 to run every one.
-"""
+"""Registered queries against their SQL on the smallest tables."""
 
 from __future__ import annotations
 
-import os
-
 import pytest
 
 import __spark_entry__ as entry
+from catalog.queries import QUERIES
 from compare import compare, connect
+from oracles.queries import ORACLES
 
 SF_DIR = "/root/testdata/sf0.001"
-SOME = (
-    "blocks", "event_ids", "legacy_client_ids", "ext_sources", "events_sessionated", "users",
-    "daily_performance", "ga4_items", "ga4_user_props", "daily_kpis", "session_summary",
-    "ingest_events", "device_enrich", "live_sessions",
-)
-WANTED = entry.queries() if os.environ.get("ALL_QUERIES") else SOME
 
 
 @pytest.fixture(scope="module")
@@ -27,14 +18,15 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", list(WANTED))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    rows, problems = compare(entry.queries()[name](spark, SF_DIR), con, entry.oracle_sql()[name])
+    rows, problems = compare(entry.queries()[name](spark, SF_DIR), con, ORACLES[name])
     assert rows > 0 and not problems
