@@ -1,32 +1,24 @@
-"""The given tables, and the shared folder for intermediate ones."""
+"""The given tables, intermediate ones, and column names."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from footfall.sources import staging
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; the warehouse where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return root.rstrip("/")
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table that later steps read more than once, and read it from there.
 
-    The lineage ends at the written files, which every executor and the driver see.
+    It goes to the shared folder, where the lineage ends; a ``staging_run`` around the
+    caller removes it at its end.
     """
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/llm-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return staging.stage(df, name, "zstd")
 
 
 def free_name(df: DataFrame, name: str) -> str:
