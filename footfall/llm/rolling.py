@@ -7,6 +7,8 @@ import numpy as np
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Powers made at once at least.
+LEAST = 5 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -30,7 +32,8 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) <= n:
-            self.up, self.down = _powers(BASE, 2 * n), _powers(INVERSE, 2 * n)
+            n = max(n, LEAST)
+            self.up, self.down = _powers(BASE, n), _powers(INVERSE, n)
         return self.up, self.down
 
 

@@ -257,36 +257,54 @@ def _look_up(table: pa.Table, buckets: int) -> pa.Table:
     return _table(dealt(merged(runs), "doc", buckets), marks, buckets, "runs")
 
 
-def _texts(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Texts of a bucket, their ids sorted, the starts in the joined bytes, and the order."""
-    ids = _ids(table.column("doc_id").combine_chunks())
-    texts = [zstandard.ZstdDecompressor().decompress(z) for z in table.column("text").to_pylist()]
-    order = np.argsort(ids, kind="stable")
-    texts = [texts[i] for i in order]
-    starts = np.cumsum([0] + [len(t) for t in texts])
-    return texts, ids[order], starts, order
-
+def _batched(docs: pa.Table) -> Iterator[tuple[pa.Table, list[bytes], np.ndarray, np.ndarray]]:
+    """A bucket's documents by id, some megabytes at a time: rows, texts, ids, starts.
 
-def _places(rows: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return starts[np.searchsorted(ids, rows["doc"])] + rows["start"]
+    ``starts`` are those of the texts in their joined bytes, and the end.
+    """
+    ids = _ids(docs.column("doc_id").combine_chunks())
+    order = np.argsort(ids, kind="stable")
+    docs, ids = docs.take(pa.array(order)), ids[order]
+    press, column = zstandard.ZstdDecompressor(), docs.column("text")
+    texts, size, first = [], 0, 0
+    for at in range(1, docs.num_rows + 1):
+        texts.append(press.decompress(column[at - 1].as_py()))
+        size += len(texts[-1])
+        # rows of one id stay together
+        whole = at == docs.num_rows or ids[at] != ids[at - 1]
+        if at == docs.num_rows or (size >= BATCH_BYTES and whole):
+            starts = np.cumsum([0] + [len(t) for t in texts])
+            yield docs.slice(first, at - first), texts, ids[first:at], starts
+            texts, size, first = [], 0, at
+
+
+def _own(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The rows, sorted by document, of the documents ``ids``."""
+    return rows[
+        np.searchsorted(rows["doc"], ids[0]) : np.searchsorted(rows["doc"], ids[-1], side="right")
+    ]
 
 
-def _name_strings(docs: pa.Table, found: pa.Table, buckets: int) -> pa.Table:
-    """Names of the strings in the runs left in a bucket of documents."""
-    runs = joined(found.column("runs"), MARKS) if found.num_rows else np.empty(0, MARKS)
-    if not len(runs):
-        return _batches([], [], [], "names")
-    texts, ids, starts, _ = _texts(docs)
-    place = _places(runs, ids, starts)
+def _names(runs: np.ndarray, texts: list[bytes], ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    place = starts[np.searchsorted(ids, runs["doc"])] + runs["start"]
     n = (runs["end"] - runs["start"]).astype(np.int64)
     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    rolling = Rolling(np.frombuffer(b"".join(texts), np.uint8))
     at = np.repeat(place, n) + step
     rows = np.empty(len(at), NAMES)
-    rows["name"] = rolling.of(at, at + LENGTH)
+    rows["name"] = Rolling(np.frombuffer(b"".join(texts), np.uint8)).of(at, at + LENGTH)
     rows["doc"] = np.repeat(runs["doc"], n)
     rows["start"] = np.repeat(runs["start"], n) + step
-    rows, again = repeats(rows, ("name",))
+    return rows
+
+
+def _name_strings(docs: pa.Table, found: pa.Table, buckets: int) -> pa.Table:
+    """Names of the strings in the runs left in a bucket of documents."""
+    if not found.num_rows:
+        return _batches([], [], [], "names")
+    runs = merged(joined(found.column("runs"), MARKS))
+    docs = docs.filter(pa.array(np.isin(_ids(docs.column("doc_id").combine_chunks()), runs["doc"])))
+    named = [_names(_own(runs, ids), texts, ids, starts) for _, texts, ids, starts in _batched(docs)]
+    rows, again = repeats(np.concatenate(named), ("name",))
     return _table(dealt(rows[~again], "name", buckets), marks_of(rows[again]), buckets, "names")
 
 
@@ -298,9 +316,30 @@ def _compare_names(table: pa.Table, buckets: int) -> pa.Table:
 
 def _cut(docs: pa.Table, found: pa.Table) -> pa.Table:
     """The documents of a bucket without the marked bytes."""
-    texts, ids, starts, order = _texts(docs)
+    marks = merged(joined(found.column("marks"), MARKS)) if found.num_rows else np.empty(0, MARKS)
+    parts = [
+        _cut_batch(rows, texts, ids, starts, _own(marks, ids))
+        for rows, texts, ids, starts in _batched(docs)
+    ]
+    return pa.concat_tables(parts) if parts else _kept(docs.slice(0, 0), [], [], [], [])
+
+
+def _kept(rows: pa.Table, n_bytes, n_removed, n_spans, kept) -> pa.Table:
+    return pa.table(
+        {
+            "doc_id": rows.column("doc_id"),
+            "n_bytes": pa.array(n_bytes, pa.int64()),
+            "n_removed": pa.array(n_removed, pa.int64()),
+            "n_spans": pa.array(n_spans, pa.int64()),
+            "kept": pa.array(kept, pa.binary()),
+        }
+    )
+
+
+def _cut_batch(
+    rows: pa.Table, texts: list[bytes], ids: np.ndarray, starts: np.ndarray, marks: np.ndarray
+) -> pa.Table:
     data = np.frombuffer(b"".join(texts), np.uint8)
-    marks = joined(found.column("marks"), MARKS) if found.num_rows else np.empty(0, MARKS)
     # a mark holds for every row of its document
     begin = np.searchsorted(ids, marks["doc"], side="left")
     copies = np.searchsorted(ids, marks["doc"], side="right") - begin
@@ -321,15 +360,7 @@ def _cut(docs: pa.Table, found: pa.Table) -> pa.Table:
         data[s:e][~gone[s:e]].tobytes() if n else text
         for text, s, e, n in zip(texts, starts[:-1], starts[1:], n_removed, strict=True)
     ]
-    return pa.table(
-        {
-            "doc_id": docs.column("doc_id").combine_chunks().take(pa.array(order)),
-            "n_bytes": pa.array(np.diff(starts), pa.int64()),
-            "n_removed": pa.array(n_removed, pa.int64()),
-            "n_spans": pa.array(n_spans, pa.int64()),
-            "kept": pa.array(kept, pa.binary()),
-        }
-    )
+    return _kept(rows, np.diff(starts), n_removed, n_spans, kept)
 
 
 def _squeezed(docs: DataFrame, buckets: int) -> DataFrame:
@@ -350,11 +381,12 @@ def _squeezed(docs: DataFrame, buckets: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept (bytes).
 
-    ``buckets`` bounds what one task holds: about the corpus over their number.
+    ``buckets`` bounds what one task holds: about the corpus over their number.  Each
+    bucket sends at most one row to each other, so more of them mean more small rows.
     """
     docs = docs.select("doc_id", "text")
     if buckets is None:
-        buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = sample_documents(docs, buckets).groupBy("bucket").applyInArrow(
         lambda t: _look_up(t, buckets), "bucket long, runs binary, marks binary"
