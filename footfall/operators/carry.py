@@ -31,7 +31,7 @@ def in_force(
     """Add ``value`` to ``asked``: the latest of ``values`` at or before its ``us``.
 
     Both have ``keys`` and ``us`` (epoch microseconds); ``values`` has at most one row
-    per key and instant.  ``ahead`` looks the other way: the first value at or after.
+    per key and instant.  ``asked`` is read twice, so it should be a written table.  ``ahead`` looks the other way: the first value at or after.
     ``default`` (keys, ``value``) is taken where there is none.
     """
     rows = asked.withColumn("_asked", F.lit(True)).unionByName(

@@ -27,12 +27,13 @@ def block_facts(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
     asked = timeline.with_slices(timeline.instants(events, "hash"), cfg)
     asked = placed(asked, "block_end", "sole_id", "fixed_id").drop("slice")
+    asked = stage(asked.withColumn("us", F.unix_micros("timestamp")), "instants")
     bin_us = cfg.bin_seconds * carry.SECOND
     seen = identity.sightings(active).withColumn(
         "slice", F.col("us") - F.pmod("us", F.lit(bin_us))
     )
     return carry.in_force(
-        asked.withColumn("us", F.unix_micros("timestamp")),
+        asked,
         placed(seen),
         ["hash", "block_start"],
         cfg.bin_seconds,

@@ -48,7 +48,7 @@ def visit_facts(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         .withColumns(identity.merge_client_id(cfg))
         .drop("first_id", "legacy_id")
     )
-    return attribution.with_sources(asked, sources, cfg)
+    return attribution.with_sources(stage(asked, "instants"), sources, cfg)
 
 
 def events_sessionated(
