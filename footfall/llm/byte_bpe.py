@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding.
 
 Each pre-token is merged by a rank queue: one bucket per merge rank holds the places
-(in a linked list of parts) where that merge is possible, and a bitmap of three
-levels over the ranks gives the next one by find-first-set.  Entries that a
+(in a linked list of parts) where that merge is possible, and a bitmap of two levels
+over the ranks gives the next one by find-first-set.  Entries that a
 neighbouring merge has made stale are skipped.  A pre-token of n bytes takes
 O(n log n) however long it is.
 
@@ -27,50 +27,11 @@ from footfall.llm.pretokens import CutUnsafe, Words, splitter
 
 #: Bytes of output after which a batch is handed over.
 BATCH_BYTES = 4 << 20
-#: Words and pre-tokens remembered by one worker.
-REMEMBERED = 400_000
-
-
-class RankQueue:
-    """Places by merge rank, lowest rank first, leftmost place first."""
-
-    def __init__(self, n_ranks: int):
-        words = (n_ranks >> 6) + 1
-        self.low = [0] * words
-        self.mid = [0] * ((words >> 6) + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, place: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, place)
-            return
-        self.buckets[rank] = [place]
-        word = rank >> 6
-        if not self.low[word]:
-            group = word >> 6
-            if not self.mid[group]:
-                self.top |= 1 << group
-            self.mid[group] |= 1 << (word & 63)
-        self.low[word] |= 1 << (rank & 63)
-
-    def pop(self) -> tuple[int, int]:
-        group = (self.top & -self.top).bit_length() - 1
-        bits = self.mid[group]
-        word = (group << 6) + (bits & -bits).bit_length() - 1
-        bits = self.low[word]
-        rank = (word << 6) + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        place = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] &= bits - 1
-            if not self.low[word]:
-                self.mid[group] &= ~(1 << (word & 63))
-                if not self.mid[group]:
-                    self.top &= ~(1 << group)
-        return rank, place
+#: Words and other pre-tokens remembered by one worker.
+REMEMBERED, OTHERS = 800_000, 100_000
+#: Ranks by word of the lower bitmap.
+WORD_BITS = 8
+WORD_MASK = (1 << WORD_BITS) - 1
 
 
 class Codec:
@@ -81,62 +42,99 @@ class Codec:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.queue = RankQueue(len(self.tokens))
+        #: Bit r of the words tells that rank r has a bucket; all zero between merges.
+        self.low = [0] * ((len(self.tokens) >> WORD_BITS) + 1)
         self.split = splitter(pattern)
         self.seen: dict[str, bytes] = {}
-        self.words = Words(self.encode_whole, REMEMBERED)
+        self.words = Words(self.word, REMEMBERED)
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        ranks, queue, n = self.ranks, self.queue, len(piece)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        pair: list[int | None] = [None] * n
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                queue.push(rank, i)
-        while queue.top:
-            rank, i = queue.pop()
+        """The ids of one pre-token.
+
+        ``buckets`` hold the places of each rank as a heap, so the leftmost comes first;
+        bit w of ``top`` tells that word w of the bitmap of ranks is not zero.
+        """
+        rank_of, low, n = self.ranks.get, self.low, len(piece)
+        buckets: dict[int, list[int]] = {}
+        top = 0
+        pair = [rank_of(piece[i : i + 2]) for i in range(n - 1)]
+        for i, rank in enumerate(pair):
+            if rank in buckets:
+                buckets[rank].append(i)  # places rise, so the list is a heap
+            elif rank is not None:
+                buckets[rank] = [i]
+                word = rank >> WORD_BITS
+                top |= 1 << word
+                low[word] |= 1 << (rank & WORD_MASK)
+        pair.append(None)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = low[word]
+            rank = (word << WORD_BITS) + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                bits &= bits - 1
+                low[word] = bits
+                if not bits:
+                    top &= top - 1
             if pair[i] != rank:
-                continue
+                continue  # stale: a neighbouring merge has changed this pair
             gone = after[i]
             end = after[i] = after[gone]
-            pair[gone] = pair[i] = None
+            left = before[i]
+            pair[gone] = None
             if end < n:
                 before[end] = i
-                rank = ranks.get(piece[i : after[end]])
-                if rank is not None:
-                    pair[i] = rank
-                    queue.push(rank, i)
-            left = before[i]
+                pair[i] = rank_of(piece[i : after[end]])
+            else:
+                pair[i] = None
             if left >= 0:
-                rank = pair[left] = ranks.get(piece[left:end])
-                if rank is not None:
-                    queue.push(rank, left)
+                pair[left] = rank_of(piece[left:end])
+            for place in (i, left) if left >= 0 else (i,):
+                rank = pair[place]
+                if rank in buckets:
+                    heappush(buckets[rank], place)
+                elif rank is not None:
+                    buckets[rank] = [place]
+                    word = rank >> WORD_BITS
+                    top |= 1 << word
+                    low[word] |= 1 << (rank & WORD_MASK)
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i : after[i]]])
-            i = after[i]
+            end = after[i]
+            ids.append(rank_of(piece[i:end]))
+            i = end
         return ids
 
     def pre_token(self, text: str) -> bytes:
+        word = text[1:]
+        if text[:1] == " " and word.isalpha():
+            return self.words[word]
         found = self.seen.get(text)
         if found is None:
-            piece = text.encode()
-            rank = self.ranks.get(piece)
-            ids = self.merge(piece) if rank is None else [rank]
-            found = struct.pack(f"<{len(ids)}I", *ids)
+            found = self.fresh(text)
             if len(text) <= 64:
-                if len(self.seen) >= REMEMBERED:
+                if len(self.seen) >= OTHERS:
                     self.seen.clear()
                 self.seen[text] = found
         return found
 
+    def fresh(self, text: str) -> bytes:
+        piece = text.encode()
+        rank = self.ranks.get(piece)
+        ids = self.merge(piece) if rank is None else [rank]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def word(self, text: str) -> bytes:
+        """A word with the space before it."""
+        return self.fresh(text) if text[1:].isalpha() else self.encode_whole(text)
+
     def encode_whole(self, text: str) -> bytes:
-        if text[:1] == " " and text[1:].isalpha():
-            return self.pre_token(text)
         return b"".join(map(self.pre_token, self.split(text)))
 
     def encode(self, text: str) -> bytes:

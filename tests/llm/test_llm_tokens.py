@@ -13,7 +13,7 @@ from llm_tables import documents
 from tokenizers import Tokenizer
 
 from footfall.llm import fst_tokens
-from footfall.llm.byte_bpe import Codec, RankQueue, encode_texts
+from footfall.llm.byte_bpe import Codec, encode_texts
 from footfall.llm.fst_tokens import Counter, count_tokens
 from footfall.llm.token_queries import RANKS, VOCABULARY
 
@@ -52,13 +52,13 @@ def mixtures(n: int, longest: int, seed: int = 5):
         yield "".join(draw.choices(PIECES, k=draw.randint(0, longest)))
 
 
-def test_queue_gives_lowest_rank_then_leftmost():
-    queue, draw = RankQueue(50_256), random.Random(1)
-    pairs = [(draw.randrange(50_256), draw.randrange(1000)) for _ in range(3000)] * 2
-    for pair in pairs:
-        queue.push(*pair)
-    assert [queue.pop() for _ in pairs] == sorted(pairs)
-    assert not queue.top and not any(queue.low) and not any(queue.mid)
+def test_merges_of_many_ties(codec, reference):
+    draw = random.Random(1)
+    for letters in ("a", "ab", "aab ", "thein", "\x00\xff"):
+        for n in (1, 2, 3, 50, 999):
+            piece = "".join(draw.choices(letters, k=n)).encode()
+            assert codec.merge(piece) == reference._encode_single_piece(piece)
+            assert not any(codec.low)
 
 
 def test_encoding_is_that_of_the_library(codec, reference):
