@@ -105,11 +105,21 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def samples(texts: list[bytes], ids: np.ndarray) -> np.ndarray:
-    """The runs of strings that share a sample."""
+def windows(text: bytes) -> Iterator[tuple[int, bytes]]:
+    """Places and pieces of a text that hold each of its strings once."""
+    yield 0, text[:BATCH_BYTES]
+    step = BATCH_BYTES - (LENGTH - 1)
+    for at in range(step, len(text) - (LENGTH - 1), step):
+        yield at, text[at : at + BATCH_BYTES]
+
+
+def samples(texts: list[bytes], ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The runs of strings that share a sample; ``places`` are the texts' in their documents."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < LENGTH:
         return np.empty(0, SAMPLES)
+    if len(data) > 1 << PLACE_BITS:
+        raise ValueError(f"{len(data)} bytes at once, more than {PLACE_BITS} bits can place")
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes)
     rolling = Rolling(data)
@@ -136,7 +146,7 @@ def samples(texts: list[bytes], ids: np.ndarray) -> np.ndarray:
     rows["rank"] = mixed(rolling.of(start, stop + LENGTH) + shape)
     owner = np.searchsorted(ends, start, side="right")
     rows["doc"] = ids[owner]
-    rows["start"] = start - (ends - sizes)[owner]
+    rows["start"] = start - (ends - sizes)[owner] + places[owner]
     rows["n"] = stop - start + 1
     return rows
 
@@ -220,13 +230,19 @@ def sample_documents(docs: DataFrame, buckets: int) -> DataFrame:
 
         for batch in batches:
             ids = _ids(batch.column(0))
-            texts, start, size = [], 0, 0
-            for at, text in enumerate(batch.column(1), 1):
-                texts.append((text.as_py() or "").encode())
-                size += len(texts[-1])
-                if size >= BATCH_BYTES or at == batch.num_rows:
-                    held.append(samples(texts, ids[start:at]))
-                    texts, start, size = [], at, 0
+            texts, owner, places, size = [], [], [], 0
+            for at, text in enumerate(batch.column(1)):
+                # a long text in windows, so that what is sampled at once stays small
+                for place, piece in windows((text.as_py() or "").encode()):
+                    texts.append(piece)
+                    owner.append(at)
+                    places.append(place)
+                    size += len(piece)
+                    if size >= BATCH_BYTES:
+                        held.append(samples(texts, ids[owner], np.array(places)))
+                        texts, owner, places, size = [], [], [], 0
+            if texts:
+                held.append(samples(texts, ids[owner], np.array(places)))
             if sum(map(len, held)) > 1_000_000:
                 yield from flush()
         if held:

@@ -76,6 +76,27 @@ def test_long_texts_of_one_period(spark):
     assert rows[6].n_removed == 99_999 and bytes(rows[6].kept) == b"x"
 
 
+def test_repeat_far_into_a_long_text(spark):
+    draw = np.random.default_rng(5)
+    letters = lambda n: draw.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    passage = letters(400)
+    long = letters((1 << suffix_dedup.PLACE_BITS) + 1000) + passage + letters(1000)
+    rows = [(1, long), (2, letters(200) + passage + letters(200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in remove_repeats(docs, 2).select("doc_id", "n_bytes", "n_removed").collect()}
+    assert [(got[i].n_bytes, got[i].n_removed) for i in (1, 2)] == [(len(long), 0), (800, 400)]
+
+
+def test_windows_hold_each_string_once():
+    size, step = suffix_dedup.BATCH_BYTES, suffix_dedup.BATCH_BYTES - (LENGTH - 1)
+    for n in (0, LENGTH, size - 1, size, size + 1, size + step, size + step + 1):
+        found = list(suffix_dedup.windows(bytes(n)))
+        assert all(len(piece) <= size for _, piece in found)
+        starts = [(at, at + max(len(piece) - LENGTH + 1, 0)) for at, piece in found]
+        assert starts[0][0] == 0 and starts[-1][1] == max(n - LENGTH + 1, 0)
+        assert all(a[1] == b[0] for a, b in zip(starts, starts[1:], strict=False))
+
+
 def test_empty_table(spark):
     assert remove_repeats(documents(spark)[0].limit(0), 3).count() == 0
 
