@@ -4,8 +4,9 @@ Finds test items of which at least ``THRESHOLD`` of the distinct word shingles a
 document, however long that is.  Items are partitioned by their number of shingles, in
 powers of two.  Of each item, the shingles with the smallest hashes are its probes: as
 many as make sure, for the largest size of the partition, that a document with enough
-of the item's shingles has at least one of them.  So no document is missed, and only
-documents with a probe are candidates.  Candidates are verified by exact containment.
+of the item's shingles has at least one of them.  So no document is missed.  All
+shingles are joined and counted at once, an exact inverted join; the probes only mark the
+pairs counted, and drop none that reaches the threshold.
 
 Documents and items meet by the 64-bit hashes of their shingles in one join; the items'
 side is broadcast only if its counted rows are few enough, else both are shuffled.
