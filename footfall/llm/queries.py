@@ -7,6 +7,7 @@ from footfall.llm import (
     dedup_queries,
     language_queries,
     leak_queries,
+    negative_queries,
     quality_queries,
     secret_queries,
     suffix_queries,
@@ -19,6 +20,7 @@ MODULES = (
     dedup_queries,
     language_queries,
     leak_queries,
+    negative_queries,
     quality_queries,
     secret_queries,
     suffix_queries,
