@@ -9,6 +9,7 @@ from footfall.llm import (
     leak_queries,
     negative_queries,
     quality_queries,
+    run_queries,
     secret_queries,
     suffix_queries,
     token_queries,
@@ -22,6 +23,7 @@ MODULES = (
     leak_queries,
     negative_queries,
     quality_queries,
+    run_queries,
     secret_queries,
     suffix_queries,
     token_queries,

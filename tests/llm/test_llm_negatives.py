@@ -83,10 +83,10 @@ def test_query(spark, sf_dir):
 
 def test_query_leaves_odd_vectors_out(spark, tmp_path):
     numbers = [[1.0, 0.5], [0.9, 0.6], [0.8, 0.1], None, [None, 1.0], [float("nan"), 1.0], [float("-inf"), 1.0]]
-    rows = [(50 * i, v, 1) for i, v in enumerate(numbers)] + [(9, [0.75, 0.25], 2), (8, [0.5, 0.5], None)]
+    rows = [(50 * i, v, 1) for i, v in enumerate(numbers, 1)] + [(9, [0.75, 0.25], 2), (8, [0.5, 0.5], None)]
     folder = str(tmp_path)
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(
         f"{folder}/embeddings.parquet"
     )
     got = entry.queries()["op13_hard_negatives"](spark, folder).collect()
-    assert {r.anchor_id for r in got} == {0, 50, 100} and {r.negative_id for r in got} == {9}
+    assert {r.anchor_id for r in got} == {50, 100, 150} and {r.negative_id for r in got} == {9}
