@@ -10,6 +10,7 @@ from footfall.llm import (
     negative_queries,
     quality_queries,
     run_queries,
+    search_queries,
     secret_queries,
     suffix_queries,
     token_queries,
@@ -24,6 +25,7 @@ MODULES = (
     negative_queries,
     quality_queries,
     run_queries,
+    search_queries,
     secret_queries,
     suffix_queries,
     token_queries,
