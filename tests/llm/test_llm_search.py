@@ -73,7 +73,7 @@ def test_recall_of_a_graph_with_a_dense_group():
 def test_odd_rows(spark):
     draw = np.random.default_rng(1)
     vectors = {i: draw.integers(-5, 6, 6).astype(float).tolist() for i in range(200)}
-    vectors |= {1000 + i: vectors[3] for i in range(120)} | {-20: [7.0, 7.0, 7.0], 2020: [1e300, 0.0, 0.0, 0.0, 0.0, 0.0]}
+    vectors |= {1000 + i: vectors[3] for i in range(120)} | {-20: [7.0, 7.0, 7.0], 2020: [90.0, 0.0, 0.0, 0.0, 0.0, 0.0]}
     vectors = {i: v for i, v in vectors.items() if any(v)}
     odd = [(5020, None), (5040, []), (5060, [0.0, -0.0]), (5080, [1.0, None]), (5100, [float("nan"), 1.0])]
     odd += [(5120, [float("inf"), 1.0]), (None, [1.0, 2.0]), (40, vectors[40]), (40, vectors[40])]
