@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +23,8 @@ from footfall.plans import event_blocks, performance, quality, reports, rollup
 from footfall.plans import sessions as session_models
 from footfall.plans.sessionated import events_sessionated
 from footfall.sources import dimensions, events, hits, incremental, models
-from footfall.sources.staging import new_folder, stage
+from footfall.sources.once import names
+from footfall.sources.staging import new_folder, remove, stage
 from footfall.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -747,16 +748,27 @@ def sessionated_incremental(spark, sf_dir):
 
 @query
 def events_append(spark, sf_dir):
-    """Two appends to the raw table; the second one repeated under its name."""
+    """Two appends to the raw table; the second one repeated under its name.
+
+    The second has every row twice, and is dealt out anew before it is repeated.
+    ``kept`` are the ids that were there before the repeat.
+    """
     path = new_folder(spark)
     rows = tracked(spark, sf_dir).drop("event_id")
     odd = F.pmod(F.xxhash64("hash", "timestamp"), F.lit(2)) == 1
     events.append_events(rows.filter(odd), path)
-    for _ in range(2):
-        events.append_events(rows.filter(~odd), path, "second")
-    found = events.read_events(spark, path)
+    second = rows.filter(~odd).unionByName(rows.filter(~odd))
+    events.append_events(second, path, "second")
+    before = stage(events.read_events(spark, path).select(events.ID), "ids_before")
+    events.append_events(second.repartition(7, "url"), path, "second")
+    found = events.read_events(spark, path).join(
+        before.select(events.ID, F.lit(1).alias("was")), events.ID, "left"
+    )
+    copies = F.when(odd, 1).otherwise(2)
     return found.groupBy(col(events.PARTITION).alias("date"), "event_name").agg(
-        F.count(F.lit(1)).alias("events"), F.count_distinct(events.ID).alias("ids")
+        F.sum(1 / copies).cast("long").alias("events"),
+        (F.count_distinct(events.ID) - F.count(F.lit(1))).alias("ids_lacking"),
+        (F.count(F.lit(1)) - F.count("was")).alias("ids_changed"),
     )
 
 
@@ -832,12 +844,19 @@ def salt_retention(spark, sf_dir):
 
 @query
 def salt_upkeep(spark, sf_dir):
-    """Days with events from 10 January on that still lack a salt."""
-    rows = tracked(spark, sf_dir)
-    known = fixtures.salts(rows).filter(col("salt_date") < "2024-01-10")
+    """Days with events from 10 January on and their salts, made on the way.
+
+    Some days have one, the rest is made by one job, asked for again by another, and what
+    is older is deleted.
+    """
+    rows, path = tracked(spark, sf_dir), new_folder(spark)
     days = rows.select(F.to_date("timestamp").alias("salt_date"))
-    made = dimensions.missing_salts(known, days)
-    return made.select("salt_date", F.length("salt").cast("long").alias("salt_length"))
+    dimensions.ensured_salts(spark, path, days.filter(F.dayofmonth("salt_date") % 3 == 0))
+    first = stage(dimensions.ensured_salts(spark, path, days), "salts_read")
+    again = dimensions.ensured_salts(spark, path, days)
+    dimensions.purge_salts(spark, path, datetime(2024, 1, 11, 6))
+    left = dimensions.read_salts(spark, path).join(again.join(first, ["salt_date", "salt"]), ["salt_date", "salt"])
+    return left.select("salt_date", F.length("salt").cast("long").alias("salt_length"))
 
 
 @query
@@ -941,16 +960,29 @@ def live_bursts(spark, sf_dir):
 
 @query
 def ingest_stream(spark, sf_dir):
-    """Landed files to the raw table, with salts made on the way."""
+    """Landed files to the raw table, with salts made on the way.
+
+    The job is started again as if it had been killed after the write of its last
+    micro-batch, before the commit.  ``ids_kept`` are the ids that stay.
+    """
     root = new_folder(spark)
     landed(spark, sf_dir)[0].drop("event_id").write.json(f"{root}/hits")
-    stream = jobs.read_hits(spark, f"{root}/hits", files_per_batch=4)
-    jobs.ingest(
-        stream, f"{root}/salts", f"{root}/raw", f"{root}/checkpoint", fixtures.geo(spark, sf_dir)
-    ).awaitTermination()
-    done = events.read_events(spark, f"{root}/raw")
+
+    def run() -> DataFrame:
+        stream = jobs.read_hits(spark, f"{root}/hits", files_per_batch=4)
+        jobs.ingest(
+            stream, f"{root}/salts", f"{root}/raw", f"{root}/checkpoint", fixtures.geo(spark, sf_dir)
+        ).awaitTermination()
+        return events.read_events(spark, f"{root}/raw")
+
+    before = stage(run().select(events.ID, F.lit(1).alias("was")), "ids_before")
+    last = max(names(spark, f"{root}/checkpoint/commits"), key=int)
+    remove(spark, f"{root}/checkpoint/commits/{last}")
+    done = run().join(before, events.ID, "left")
     return done.groupBy(F.to_date("timestamp").alias("date")).agg(
-        F.count(F.lit(1)).alias("events"), F.count_distinct("hash").alias("visitors")
+        F.count(F.lit(1)).alias("events"),
+        F.count_distinct("hash").alias("visitors"),
+        F.count_distinct(F.when(col("was") == 1, col(events.ID))).alias("ids_kept"),
     )
 
 

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from datetime import date, datetime, timedelta
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall import schema
+from footfall.sources.once import file_system, names, put_once
 
+SALT_FILE = ".salt.parquet"
+SALT_DAY = re.compile(r"\d{4}-\d{2}-\d{2}" + re.escape(SALT_FILE))
 GEO_FIELDS = ("continent", "country", "country_code", "city")
 
 
@@ -47,14 +55,36 @@ def with_salt(hits: DataFrame, salts: DataFrame, at: str = "received_at") -> Dat
 def ensured_salts(spark: SparkSession, path: str, days: DataFrame) -> DataFrame:
     """The salts on file at ``path``, after adding those that ``days`` still lacks.
 
-    New salts are written before anything reads them.  Where two jobs add one for the
-    same day, both then read the smaller.
+    Each day's salt is a file of its own, made once: where two jobs want one for the same
+    day, the later one finds the earlier one's and uses that.  What is read here never
+    changes afterwards.  Nothing is written where no day is missing.
     """
-    known = read_salts(spark, path)
-    missing_salts(known, days).write.mode("append").parquet(path)
+    for row in missing_salts(read_salts(spark, path), days).collect():
+        put_once(spark, f"{path}/{row.salt_date}{SALT_FILE}", _salt_file(row.salt_date, row.salt))
     return read_salts(spark, path)
 
 
+def _salt_file(day: date, salt: str) -> bytes:
+    columns = [pa.array([day], pa.date32()), pa.array([salt], pa.string())]
+    out = pa.BufferOutputStream()
+    pq.write_table(pa.table(columns, schema.SALTS.names), out)
+    return out.getvalue().to_pybytes()
+
+
+def purge_salts(spark: SparkSession, path: str, as_of: datetime) -> list[date]:
+    """Delete the salts of days before the one 24 hours before ``as_of`` (UTC).
+
+    Returns the days deleted.  Hits of these days can then not be hashed any more.
+    """
+    cutoff = (as_of - timedelta(hours=24)).date()
+    days = [n.removesuffix(SALT_FILE) for n in names(spark, path) if SALT_DAY.fullmatch(n)]
+    old = [day for day in map(date.fromisoformat, days) if day < cutoff]
+    for day in old:
+        target, fs = file_system(spark, f"{path}/{day}{SALT_FILE}")
+        fs.delete(target, False)
+    return old
+
+
 def read_salts(spark: SparkSession, path: str) -> DataFrame:
     """Salts on file; none before the first are written."""
     try:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from footfall import schema
+from footfall.operators.event_ids import with_batch_ids
 
 PARTITION = "event_date"
 #: Which write a row came with; a repeated write replaces its own rows only.
@@ -59,14 +60,15 @@ def _sized(table: DataFrame, column: str) -> DataFrame:
 def append_events(events: DataFrame, path: str, batch: str | None = None) -> None:
     """Append processed events, with ids of their own.
 
-    A failed write raises and leaves no rows.  A write with the name of an earlier
-    ``batch`` replaces that batch in the days it has rows for, so a repeated one
-    changes nothing but the ids.
+    A failed write raises and leaves no rows.  Ids follow from the batch's name and the
+    rows' content, unless the rows bring their own.  A write with the name of an earlier
+    ``batch`` replaces that batch in the days it has rows for, so a repeated one changes
+    nothing: what was derived from the first still joins.
     """
-    rows = with_day(events)
-    ids = F.col(ID).cast("string") if ID in rows.columns else F.uuid()
-    rows = rows.withColumn(ID, ids)
     batch = batch or uuid.uuid4().hex
+    given = ID in events.columns
+    rows = events.withColumn(ID, F.col(ID).cast("string")) if given else with_batch_ids(events, batch, ID)
+    rows = with_day(rows)
     (
         _sized(rows.withColumn(BATCH, F.lit(batch)), PARTITION)
         .write.mode("overwrite")

@@ -515,7 +515,9 @@ ORACLES["published_views"] = ORACLES["published_tables"] = ORACLES["daily_kpis"]
 for _key in ("sessionated_incremental", "sessionated_stream"):
     add(_key, b.TO_SESSIONATED, "SELECT event_id, client_id, block_id, session_id FROM sessionated")
 add("events_append", b.TO_EVENTS, """
-SELECT CAST("timestamp" AS DATE) AS date, event_name, count(*) AS events, count(*) AS ids FROM tracked GROUP BY 1, 2""")
+SELECT CAST("timestamp" AS DATE) AS date, event_name, count(*) AS events, CAST(0 AS BIGINT) AS ids_lacking,
+  CAST(0 AS BIGINT) AS ids_changed
+FROM tracked GROUP BY 1, 2""")
 add("events_days", b.TO_EVENTS, """
 SELECT event_id, "timestamp", event_name, url FROM tracked
 WHERE CAST("timestamp" AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'""")
@@ -646,12 +648,11 @@ SELECT event_id, "type",
     WHEN 'Mac OS X' THEN mac ELSE '' END, ''), '0.0.0') AS os_version,
   bot AS is_bot
 FROM device""")
-add("ingest_events", LANDED, """
-SELECT received_at AS "timestamp", et1 AS event_type, en AS event_name, coalesce(p, '{}') AS parameters,
-  agent AS user_agent, url, coalesce(r, '') AS referrer, client_id, h AS hash, u AS user_id,
-  client_id IS NOT NULL AS consent_given,
-  ['iOS','iOS','Android','Windows','Mac OS X','Other','Linux','Other'][event_id % 8 + 1] AS os, ip_trunc, country
-FROM located""")
+add("ingest_events", (*LANDED, _PARSED_AGENT), """
+SELECT l.received_at AS "timestamp", et1 AS event_type, en AS event_name, coalesce(p, '{}') AS parameters,
+  l.agent AS user_agent, l.url, coalesce(r, '') AS referrer, l.client_id, h AS hash, u AS user_id,
+  l.client_id IS NOT NULL AS consent_given, os, ip_trunc, country
+FROM located l JOIN device d ON d.event_id = l.event_id""")
 add("consent_ledger", LANDED, """
 SELECT h AS hash, received_at AS decided_at, consent, consent AS has_id FROM hashed WHERE consent IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY h ORDER BY received_at DESC) = 1""")
@@ -661,7 +662,10 @@ WHERE received_at < TIMESTAMP '2024-01-10' GROUP BY 1""")
 add("ingest_salted", LANDED, """
 SELECT CAST(received_at AS DATE) AS date, count(*) AS events, count(DISTINCT ip0 || '|' || agent) AS visitors
 FROM defaulted GROUP BY 1""")
-ORACLES["ingest_stream"] = ORACLES["ingest_salted"]
+add("ingest_stream", LANDED, """
+SELECT CAST(received_at AS DATE) AS date, count(*) AS events, count(DISTINCT ip0 || '|' || agent) AS visitors,
+  count(*) AS ids_kept
+FROM defaulted GROUP BY 1""")
 ORACLES["hits_to_sessions"] = f"""
 WITH tracked AS ({b.chain(*LANDED)} {_EVENTS_OF_HITS}), {",".join(b.TO_SESSIONS[1:])}
 SELECT client_id, hash, start_ts, end_ts, hits, pageviews, is_external FROM sessions"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 from pathlib import Path
 
 import pytest
@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from build import at, column, events
 from footfall import schema
 from footfall.functions.ids import plain_hash
+from footfall.operators import event_ids
 from footfall.plans import quality, reports
 from footfall.plans.sessionated import events_sessionated
-from footfall.sources import dimensions, hits, incremental, models, staging
+from footfall.sources import dimensions, hits, incremental, models, once, staging
 from footfall.sources import events as tables
 from footfall.streaming import jobs
 
@@ -126,6 +127,64 @@ def test_salts(spark, salts):
     assert [r.salt for r in kept] == ["two"]
 
 
+def test_a_salt_is_made_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "salts")
+    days = spark.createDataFrame([(date(2024, 3, d),) for d in (1, 1, 2, 3)] + [(None,)], "salt_date date")
+    put, other = dimensions.put_once, {}
+
+    def interleaved(session, target, content):
+        """Another job makes all salts between this one's look and its write."""
+        monkeypatch.setattr(dimensions, "put_once", put)
+        if not other:
+            rows = dimensions.ensured_salts(spark, path, days.filter("salt_date <= '2024-03-02'")).collect()
+            other.update({r.salt_date: r.salt for r in rows})
+        return put(session, target, content)
+
+    monkeypatch.setattr(dimensions, "put_once", interleaved)
+    found = {r.salt_date: r.salt for r in dimensions.ensured_salts(spark, path, days).collect()}
+    assert len(found) == 3 and len(other) == 2 and found.items() >= other.items()
+    files = once.names(spark, path)
+    assert len(files) == 3
+    again = dimensions.ensured_salts(spark, path, days).collect()
+    assert {r.salt_date: r.salt for r in again} == found and once.names(spark, path) == files
+    assert dimensions.purge_salts(spark, path, datetime(2024, 3, 4, 1)) == [date(2024, 3, 1), date(2024, 3, 2)]
+    assert [r.salt_date for r in dimensions.read_salts(spark, path).collect()] == [date(2024, 3, 3)]
+    assert not list((tmp_path / "salts").glob(".*"))
+
+
+@pytest.mark.parametrize("way", ["_link", "_rename"])
+def test_a_file_is_made_once(spark, tmp_path, monkeypatch, way):
+    monkeypatch.setattr(once, "_link", getattr(once, way))
+    path = str(tmp_path / "folder" / "file")
+    assert once.names(spark, str(tmp_path / "folder")) == []
+    assert once.put_once(spark, path, b"one") and not once.put_once(spark, path, b"two")
+    # a rival comes between the look and the last step
+    real = once.file_system
+
+    def blind(session, target):
+        found, fs = real(session, target)
+        return found, type("Blind", (), {"exists": lambda *_: False, "create": fs.create, "delete": fs.delete})()
+
+    monkeypatch.setattr(once, "file_system", blind)
+    assert not once.put_once(spark, path, b"three")
+    assert (tmp_path / "folder" / "file").read_bytes() == b"one"
+
+
+def test_ids_of_a_batch_stay(spark, tmp_path):
+    path = str(tmp_path / "events")
+    rows = raw(spark, *[{"hash": None if i == 3 else "h", "timestamp": at(i % 4, microseconds=i % 2)} for i in range(12)])
+    ids = []
+    for given in (rows, rows.repartition(5), rows.orderBy(F.desc("timestamp"))):
+        tables.append_events(given, path, "one")
+        found = tables.read_events(spark, path)
+        ids.append(sorted((r.event_id, r.timestamp) for r in found.collect()))
+    assert ids[0] == ids[1] == ids[2] and len({i for i, _ in ids[0]}) == 12 and None not in dict(ids[0])
+    tables.append_events(rows, path, "two")
+    assert tables.read_events(spark, path).select("event_id").distinct().count() == 24
+    one, two = (event_ids.with_batch_ids(rows.limit(1), b).first().event_id for b in ("a", "b"))
+    assert one != two
+
+
 def raw(spark, *rows):
     return events(spark, *rows).drop("event_id")
 
