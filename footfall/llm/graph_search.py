@@ -10,7 +10,9 @@ shard is searched for every query.
 Scores are products in double precision, added up from the first component to the last.
 Rows that share an id count as one: the one with the smallest vector.  Rows without an id,
 or whose vector is null, zero or holds a null or a number that is not finite, take no part.
-Shorter vectors count as filled up with zeros.  Empty tables give no rows.
+Shorter vectors count as filled up with zeros.  Empty tables give no rows.  Graphs and
+searches work in single precision: where some vectors of a shard are many thousand times
+as long as others, the short ones cannot be told apart well and are found less often.
 """
 
 from __future__ import annotations

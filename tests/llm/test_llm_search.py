@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pytest
 
@@ -12,11 +15,16 @@ from footfall.llm.vamana import ALPHA, beam_search, build_graph, lifted, pruned
 SCHEMA = "vec_id long, embedding array<double>, id string, vector int, shard int, score string"
 
 
+def product(a, b) -> float:
+    """From the first component to the last; sum() would round otherwise."""
+    return reduce(add, [x * y for x, y in zip(a, b)])
+
+
 def brute(vectors: dict, queries, k: int) -> dict:
     """The ``k`` nearest others of each query, as (id, score)."""
     out = {}
     for q in queries:
-        score = {i: sum(a * b for a, b in zip(vectors[q], v)) for i, v in vectors.items() if i != q}
+        score = {i: product(vectors[q], v) for i, v in vectors.items() if i != q}
         out[q] = sorted(score.items(), key=lambda s: (-s[1], s[0]))[:k]
     return out
 
@@ -101,4 +109,4 @@ def test_query(spark, sf_dir):
         assert recall(found, want) >= 0.97
         for q, rows in found.items():
             assert rows == sorted(rows, key=lambda r: (-r[1], r[0]))
-            assert all(s == sum(a * b for a, b in zip(vectors[q], vectors[i])) for i, s in rows)
+            assert all(s == product(vectors[q], vectors[i]) for i, s in rows)
