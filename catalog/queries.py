@@ -379,24 +379,28 @@ ROLLUP = (
 )
 
 
+def _visits(spark, sf_dir) -> DataFrame:
+    return stage(session_table(spark, sf_dir), "sessions")
+
+
 @query
 def clients(spark, sf_dir):
     return shown(
-        rollup.clients(session_table(spark, sf_dir)),
+        rollup.clients(_visits(spark, sf_dir), paths=True),
         "client_id", *ROLLUP, *fields("first_utm", UTM, "first_"), *fields("last_utm", UTM, "last_"),
     )
 
 
 @query
 def first_last_utm(spark, sf_dir):
-    return rollup.roll_up(session_table(spark, sf_dir), "client_id", paths=False).select(
+    return rollup.roll_up(session_table(spark, sf_dir), "client_id").select(
         "client_id", *fields("first_utm", UTM, "first_"), *fields("last_utm", UTM, "last_")
     )
 
 
 @query
 def touchpoints(spark, sf_dir):
-    return rollup.clients(session_table(spark, sf_dir)).select("client_id", "touchpoints")
+    return rollup.clients(_visits(spark, sf_dir), paths=True).select("client_id", "touchpoints")
 
 
 @query
@@ -404,36 +408,50 @@ def touchpoint_rows(spark, sf_dir):
     return shown(rollup.touchpoints(session_table(spark, sf_dir)))
 
 
-def _users(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+@query
+def touchpoint_segments(spark, sf_dir):
+    """Paths of clients in segments of three sessions."""
+    return rollup.touchpoint_segments(session_table(spark, sf_dir), size=3)
+
+
+def _users(spark, sf_dir) -> tuple[DataFrame, rollup.Owners]:
     rows = sessionated_table(spark, sf_dir)
     found = stage(session_models.sessions(rows), "sessions")
-    return found, rollup.user_map(rows, found)
+    return found, rollup.owners(rows, found)
 
 
 @query
 def user_map(spark, sf_dir):
-    return _users(spark, sf_dir)[1]
+    found, whose = _users(spark, sf_dir)
+    return rollup.user_map(whose, found)
 
 
 @query
 def users(spark, sf_dir):
     return shown(
-        rollup.user_roll_up(*_users(spark, sf_dir)),
+        rollup.users(*_users(spark, sf_dir), paths=True),
         "user_id", *ROLLUP, *fields("first_utm", UTM, "first_"), *fields("last_utm", UTM, "last_"),
-        F.coalesce(F.size("ext_utm_list"), F.lit(0)).cast("long").alias("ext_sources"),
+        "ext_sources",
     )
 
 
+@query
+def user_path_segments(spark, sf_dir):
+    """Paths of users in segments of three sessions."""
+    found, whose = _users(spark, sf_dir)
+    return rollup.user_touchpoints(found, whose, size=3).filter(col("user_id").isNotNull())
+
+
 @query
 def user_utm_lists(spark, sf_dir):
-    rows = rollup.user_roll_up(*_users(spark, sf_dir))
-    both = F.posexplode(F.arrays_zip("ext_utm_list", "utm_ts_list"))
+    """The entries of the users' source lists, from segments of three."""
+    rows = rollup.user_sources(*_users(spark, sf_dir), size=3).filter(col("user_id").isNotNull())
     return shown(
-        rows.select("user_id", both.alias("position", "entry")).select(
+        rows.select("user_id", F.explode("steps").alias("entry")).select(
             "user_id",
-            col("position").cast("long").alias("position"),
-            *[col(f"entry.ext_utm_list.{f}").alias(f) for f in UTM],
-            col("entry.utm_ts_list").alias("start_ts"),
+            col("entry.position").alias("position"),
+            *[col(f"entry.utm.{f}").alias(f) for f in UTM],
+            col("entry.start_ts").alias("start_ts"),
         )
     )
 

@@ -175,11 +175,26 @@ add("touchpoints", TO_CLIENTS, "SELECT client_id, touchpoints FROM rolled")
 add("touchpoint_rows", b.TO_SESSIONS, """
 SELECT client_id, start_ts, session_id, coalesce(utm.source, '') || '/' || coalesce(utm.medium, '') || ':'
   || coalesce(utm.campaign, '') AS touchpoint FROM sessions WHERE is_external""")
+
+
+def segments(key: str, source: str) -> str:
+    return f"""
+SELECT {key}, segment, count(*) AS sessions, string_agg(touchpoint, ' > ' ORDER BY start_ts, session_id) AS path
+FROM (
+  SELECT {key}, start_ts, session_id, coalesce(utm.source, '') || '/' || coalesce(utm.medium, '') || ':'
+      || coalesce(utm.campaign, '') AS touchpoint,
+    (row_number() OVER (PARTITION BY {key} ORDER BY start_ts, session_id) - 1) // 3 AS segment
+  FROM {source} WHERE is_external
+) GROUP BY 1, 2"""
+
+
+add("touchpoint_segments", b.TO_SESSIONS, segments("client_id", "sessions"))
 add("user_map", b.TO_USERS, "SELECT session_id, user_id FROM user_map")
 _MAPPED = (*b.TO_USERS, """
 mapped AS (SELECT s.*, u.user_id FROM sessions s JOIN user_map u USING (session_id) WHERE u.user_id IS NOT NULL)""")
 add("users", (*_MAPPED, roll_up("user_id", "mapped")),
     f"SELECT user_id, {_ROLLED}, {_ENDS}, ext_sources FROM rolled")
+add("user_path_segments", _MAPPED, segments("user_id", "mapped"))
 add("user_utm_lists", _MAPPED, f"""
 SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY start_ts, session_id) - 1 AS "position",
   {flat('utm', _UTM)}, start_ts

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from dataclasses import replace
 from datetime import datetime, timedelta
 
@@ -211,20 +212,61 @@ def test_paths_and_users(spark):
         parameters=False,
     )
     found = sessions.sessions(es)
-    clients = {r.client_id: r for r in rollup.clients(found).collect()}
+    clients = {r.client_id: r for r in rollup.clients(found, paths=True).collect()}
     assert clients["A"].touchpoints == "a/b:c > d/e:" and clients["A"].sessions == 3
     assert clients["x"].touchpoints is None and clients["x"].no_client_id
     assert (clients["A"].first_utm.source, clients["A"].last_utm.source) == ("a", "d")
 
-    mapping = rollup.user_map(es, found)
+    whose = rollup.owners(es, found)
+    mapping = rollup.user_map(whose, found)
     ids = {r.session_id for r in found.filter("client_id = 'A'").collect()}
     assert {r.session_id for r in mapping.filter("user_id = 'u1'").collect()} == ids
     assert mapping.filter("user_id IS NULL").count() == len(ids) + 1  # NULL users stay in the map
-    users = {r.user_id: r for r in rollup.user_roll_up(found, mapping).collect()}
+    users = {r.user_id: r for r in rollup.users(found, whose, paths=True).collect()}
     assert set(users) == {"u1", "u2"}
-    assert [u.source for u in users["u1"].ext_utm_list] == ["a", "d"]
-    assert users["u1"].utm_ts_list == [at(), at(60 * 24 * 41)]
-    assert users["u2"].ext_utm_list is None and users["u2"].sessions == 1
+    assert users["u1"].touchpoints == "a/b:c > d/e:" and users["u1"].sessions == 3
+    lists = {r.user_id: r.steps for r in rollup.user_sources(found, whose).collect()}
+    assert [s.utm.source for s in lists["u1"]] == ["a", "d"] and "u2" not in lists
+    assert [s.start_ts for s in lists["u1"]] == [at(), at(60 * 24 * 41)]
+    assert users["u2"].touchpoints is None and users["u2"].sessions == 1 and users["u2"].ext_sources == 0
+
+
+def visits(spark, *rows):
+    """Sessions by (client, session, minute, source); no source: not external."""
+    made = [
+        (c, s, at(m), at(m + 5), (source, "m", "c", None, None, None), source is not None, False, 1, 0)
+        for c, s, m, source in rows
+    ]
+    utm = "utm struct<source: string, medium: string, campaign: string, content: string, term: string, id: string>"
+    names = "client_id string, session_id string, start_ts timestamp, end_ts timestamp, " + utm
+    return spark.createDataFrame(made, names + ", is_external boolean, no_client_id boolean, logged_in long, activated long")
+
+
+def test_segments_of_a_long_path(spark):
+    draw = random.Random(4)
+    rows = [("hot", f"s{i:04}", draw.randint(0, 60 * 24 * 3), f"x{i}") for i in range(900)]
+    rows += [("hot", f"t{i}", draw.randint(0, 60 * 24), None) for i in range(50)] + [("one", "u", 3, "y"), ("no", "v", 3, None)]
+    found = visits(spark, *rows)
+    paths: dict = {}
+    for r in rollup.touchpoint_segments(found, size=64).orderBy("client_id", "segment").collect():
+        steps = r.path.split(" > ")
+        assert r.segment == len(paths.get(r.client_id, [])) // 64 and len(steps) == r.sessions <= 64
+        paths.setdefault(r.client_id, []).extend(steps)
+    want = [f"{x}/m:c" for _, _, x in sorted((m, s, x) for c, s, m, x in rows if c == "hot" and x)]
+    assert paths == {"hot": want, "one": ["y/m:c"]}
+
+
+def test_users_meet_states_not_sessions(spark):
+    """Ten users of a client with 2,000 sessions: ten rows meet the client's one state."""
+    found = visits(spark, *[("c", f"s{i}", i, "x") for i in range(2000)], ("d", "t", 5, "y"))
+    seen = [("s0", "c", f"u{i}", False) for i in range(10)] + [("t", "d", "u3", False), ("gone", "e", "u9", True)]
+    es = spark.createDataFrame(seen, "session_id string, client_id string, user_id string, no_client_id boolean")
+    whose = rollup.owners(es, found)
+    users = rollup.users(found, whose)
+    totals = {r.user_id: r.sessions for r in users.collect()}
+    assert totals == {f"u{i}": 2001 if i == 3 else 2000 for i in range(10)}
+    assert rollup.user_map(whose, found).count() == 20002
+    assert whose.by_client.count() == 11 and whose.by_session.count() == 1
 
 
 def test_every_event_has_one_session(spark):
