@@ -887,6 +887,17 @@ def geo_enrich(spark, sf_dir):
     return found.select("event_id", "ip", *dimensions.GEO_FIELDS)
 
 
+@query
+def geo_ranges(spark, sf_dir):
+    """Locations by the smallest network around an address."""
+    rows, _ = landed(spark, sf_dir)
+    done = rows.withColumn(
+        "ip", network.sanitize_ip(network.client_ip(col("headers"), col("remote_addr")))
+    )
+    found = dimensions.with_geo_ranges(done, fixtures.geo_networks(spark, sf_dir), "ip")
+    return found.select("event_id", "ip", "country", "country_code", "city")
+
+
 @query
 def device_enrich(spark, sf_dir):
     rows = landed(spark, sf_dir)[0].select(

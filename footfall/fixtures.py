@@ -236,6 +236,26 @@ def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def geo_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested networks: two large ones, those of nations inside, and single customers'."""
+    customer, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation"))
+    key = F.col("n_nationkey")
+    v4 = F.concat(F.lit("10.0."), _digits(key, 7), F.lit("."), (16 * F.pmod(key, F.lit(4))).cast("string"), F.lit("/28"))
+    v6 = F.concat(F.lit("2A02:3100:"), F.lower(F.hex(key + 0x1DA0)), F.lit("::/48"))
+    one = F.concat(F.lit("10.0."), _digits(F.col("c_custkey"), 7), F.lit("."), _digits(F.col("c_custkey"), 40))
+    own = customer.filter(F.col("c_custkey") % 3 == 0).select(one.alias("network"), F.lit("customer").alias("country"))
+    large = spark.range(1).select(F.explode(F.array(F.lit("10.0.0.0/13"), F.lit("2a02::/16"), F.lit("no/8"))).alias("network"))
+    rows = [nation.groupBy(n.alias("network")).agg(F.min("n_name").alias("country")) for n in (v4, v6)]
+    rows += [own.distinct(), large.withColumn("country", F.lit("wide"))]
+    found = rows[0]
+    for more in rows[1:]:
+        found = found.unionByName(more)
+    none = F.lit(None).cast("string")
+    return found.withColumns(
+        {"continent": none, "country_code": F.substring("country", 1, 2), "city": F.lit(""), "updated_at": none.cast("timestamp")}
+    )
+
+
 def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An ad hierarchy, from parts."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")

@@ -44,3 +44,52 @@ def truncate_ip(ip: Column) -> Column:
     v6 = F.concat(F.array_join(F.slice(kept, 1, 4), ":"), F.lit("::"))
     v4 = F.concat(F.array_join(F.slice(F.split(ip, r"\.", -1), 1, 3), "."), F.lit(".0"))
     return F.when(ip == "", F.lit("")).when(ip.contains(":"), v6).otherwise(v4)
+
+
+def _hex_groups(text: Column) -> Column:
+    """Groups between colons as four hex digits each; an empty text has none."""
+    groups = F.filter(F.split(text, ":", -1), lambda g: g != "")
+    return F.transform(groups, lambda g: F.lpad(F.lower(g), 4, "0"))
+
+
+def _v4_hex(text: Column) -> Column:
+    """Dotted text as eight hex digits."""
+    parts = F.transform(F.split(text, r"\.", -1), lambda p: F.lpad(F.lower(F.hex(p.cast("int"))), 2, "0"))
+    return F.array_join(parts, "")
+
+
+def ip_hex(ip: Column) -> Column:
+    """An address as 32 hex digits; IPv4 as mapped (::ffff:a.b.c.d), NULL if it is none."""
+    dotted = r"((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.(?!$)|$)){4}"
+    tail = F.regexp_extract(ip, r"([0-9.]+)$", 1)
+    mixed = ip.contains(":") & ip.contains(".")
+    v4 = F.when(tail.rlike(f"^{dotted}$"), _v4_hex(tail))
+    last = F.concat(F.substring(v4, 1, 4), F.lit(":"), F.substring(v4, 5, 4))
+    v6 = F.when(mixed, F.concat(F.regexp_replace(ip, r"[0-9.]+$", ""), last)).otherwise(ip)
+    gap = v6.contains("::")
+    head = _hex_groups(F.substring_index(v6, "::", 1))
+    rest = F.when(gap, _hex_groups(F.regexp_replace(v6, "^.*?::", ""))).otherwise(F.array().cast("array<string>"))
+    zeros = F.array_repeat(F.lit("0000"), F.greatest(8 - F.size(head) - F.size(rest), F.lit(0)))
+    whole = F.array_join(F.concat(head, zeros, rest), "")
+    # one gap at most, and no single colon at an end
+    plain = r"^(([0-9A-Fa-f]{1,4}:)*[0-9A-Fa-f]{1,4})?(::(([0-9A-Fa-f]{1,4}:)*[0-9A-Fa-f]{1,4})?)?$"
+    fits = v6.rlike(plain) & (F.size(head) + F.size(rest) <= F.when(gap, 7).otherwise(8))
+    fits &= F.length(whole) == 32
+    v4_only = F.when(ip.rlike(f"^{dotted}$"), F.concat(F.lit("0" * 20 + "ffff"), _v4_hex(ip)))
+    return F.when(ip.contains(":"), F.when(fits, whole)).otherwise(v4_only)
+
+
+def ip_halves(ip: Column) -> tuple[Column, Column]:
+    """The 128 bits of an address as two longs, high and low."""
+    digits = ip_hex(ip)
+    half = lambda start: F.conv(F.substring(digits, start, 16), 16, -10).cast("long")
+    return half(1), half(17)
+
+
+def masked(half: Column, bits: Column) -> Column:
+    """The first ``bits`` of a long, which may be below 0 or above 64; the rest zero."""
+    kept = F.least(F.greatest(bits, F.lit(0)), F.lit(64))
+    mask = F.when(kept == 0, F.lit(0).cast("long")).otherwise(
+        F.call_function("shiftleft", F.lit(-1).cast("long"), (64 - kept).cast("int"))
+    )
+    return half.bitwiseAND(mask)

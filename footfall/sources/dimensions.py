@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall import schema
+from footfall.functions import network
 from footfall.sources.once import file_system, names, put_once
+from footfall.sources.staging import stage
 
 SALT_FILE = ".salt.parquet"
 SALT_DAY = re.compile(r"\d{4}-\d{2}-\d{2}" + re.escape(SALT_FILE))
@@ -107,3 +109,40 @@ def with_geo(hits: DataFrame, geo: DataFrame | None, ip: str) -> DataFrame:
     known = geo.groupBy(F.col("ip_mask").alias(ip)).agg(latest)
     fields = [F.nullif(F.col(f"latest.{f}"), F.lit("")).alias(f) for f in GEO_FIELDS]
     return hits.join(known.select(ip, *fields), ip, "left")
+
+
+def network_prefixes(networks: DataFrame) -> DataFrame:
+    """One row per network: bits (of 128), high, low, and its latest location fields.
+
+    ``network`` is an address and a length, such as 10.0.0.0/8 or 2001:db8::/32; an address
+    alone is a network of one.  Rows that are neither are left out.
+    """
+    address = F.substring_index("network", "/", 1)
+    given = F.regexp_extract("network", r"/([0-9]{1,3})$", 1)
+    most = F.when(address.contains(":"), 128).otherwise(32)
+    length = F.when(F.col("network").contains("/"), F.nullif(given, F.lit("")).cast("int")).otherwise(most)
+    high, low = network.ip_halves(address)
+    rows = networks.withColumns({"bits": length + 128 - most, "high": high, "low": low})
+    rows = rows.filter((length <= most) & F.col("high").isNotNull())
+    rows = rows.withColumns({h: network.masked(F.col(h), F.col("bits") - b) for h, b in (("high", 0), ("low", 64))})
+    latest = F.max(F.struct("updated_at", *GEO_FIELDS)).alias("latest")
+    return rows.groupBy("bits", "high", "low").agg(latest)
+
+
+def with_geo_ranges(hits: DataFrame, networks: DataFrame, ip: str) -> DataFrame:
+    """Add the location fields of the smallest network that an address lies in, else NULL.
+
+    A longest-prefix match by equality: each different address is cut to every prefix
+    length that the table has, at most 129, and these meet the networks; the longest that
+    is found counts.  No side is compared by range, and a hot address is one row.
+    """
+    known = stage(network_prefixes(networks), "geo_prefixes")
+    lengths = known.agg(F.sort_array(F.collect_set("bits"))).first()[0]
+    high, low = network.ip_halves(F.col(ip))
+    seen = hits.select(ip).distinct().withColumns({"high": high, "low": low}).filter("high IS NOT NULL")
+    cut = seen.withColumn("bits", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")))
+    cut = cut.withColumns({h: network.masked(F.col(h), F.col("bits") - b) for h, b in (("high", 0), ("low", 64))})
+    met = cut.join(known, ["bits", "high", "low"])
+    found = met.groupBy(ip).agg(F.max(F.struct("bits", "latest")).alias("found"))
+    fields = [F.nullif(F.col(f"found.latest.{f}"), F.lit("")).alias(f) for f in GEO_FIELDS]
+    return hits.join(found.select(ip, *fields), ip, "left")

@@ -632,6 +632,31 @@ add("salt_upkeep", b.TO_EVENTS, """
 SELECT DISTINCT CAST("timestamp" AS DATE) AS salt_date, CAST(36 AS BIGINT) AS salt_length FROM tracked
 WHERE CAST("timestamp" AS DATE) >= DATE '2024-01-10'""")
 add("geo_enrich", LANDED, "SELECT event_id, ip, continent, country, country_code, city FROM located")
+add("geo_ranges", (*LANDED, """
+networks AS (
+  SELECT DISTINCT 1 AS family, (10 << 24) + ((c_custkey % 7) << 8) + c_custkey % 40 AS first,
+    (10 << 24) + ((c_custkey % 7) << 8) + c_custkey % 40 AS last, 'customer' AS country
+  FROM customer WHERE c_custkey % 3 = 0
+  UNION ALL
+  SELECT 1, (10 << 24) + ((n_nationkey % 7) << 8) + 16 * (n_nationkey % 4) AS first,
+    (10 << 24) + ((n_nationkey % 7) << 8) + 16 * (n_nationkey % 4) + 15, min(n_name)
+  FROM nation GROUP BY 2, 3
+  UNION ALL SELECT 1, 10 << 24, (10 << 24) + (1 << 19) - 1, 'wide'
+  UNION ALL SELECT 2, (0x2a023100 * 65536 + 0x1da0 + n_nationkey) * 65536,
+    (0x2a023100 * 65536 + 0x1da0 + n_nationkey) * 65536 + 65535, n_name FROM nation
+  UNION ALL SELECT 2, 0x2a02 * (1::HUGEINT << 48), (0x2a03 * (1::HUGEINT << 48)) - 1, 'wide'
+),
+-- the highest 64 bits of the only address of the second kind that hits have
+placed AS (
+  SELECT event_id, ip, if(contains(ip, ':'), 2, 1) AS family,
+    CASE WHEN contains(ip, ':') THEN 0x2a023100::HUGEINT * 4294967296 + 0x1da81d00
+      ELSE CAST(split_part(ip, '.', 1) AS HUGEINT) * 16777216 + CAST(split_part(ip, '.', 2) AS HUGEINT) * 65536
+        + CAST(split_part(ip, '.', 3) AS HUGEINT) * 256 + CAST(split_part(ip, '.', 4) AS HUGEINT) END AS number
+  FROM located
+)"""), """
+SELECT event_id, ip, country, substr(country, 1, 2) AS country_code, NULL::VARCHAR AS city
+FROM placed p LEFT JOIN networks n ON p.family = n.family AND p.number BETWEEN n.first AND n.last
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY n.last - n.first) = 1""")
 _PARSED_AGENT = """
 parsed AS (
   SELECT *, regexp_matches(lower(agent), 'bot|crawl|spider|slurp') AS bot,

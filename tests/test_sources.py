@@ -306,6 +306,27 @@ def test_a_new_day_gets_a_salt(spark, tmp_path):
     assert dimensions.read_salts(spark, known).count() == 3
 
 
+def test_networks(spark):
+    rows = [("10.0.0.0/8", "a"), ("10.1.0.0/16", "b"), ("10.1.2.3", "c"), ("2001:DB8::/32", "d"), ("2001:db8:0:1::/64", "e"),
+            ("2001:db8::1", "f"), ("bad/8", "x"), ("10.0.0.0/33", "x"), ("1.2.3.4/", "x"), ("::ffff:9.9.0.0/112", "g"),
+            ("10.1.255.255/16", "b"), ("8.0.0.0/5", "h")]
+    made = [(n, None, c, c, "", None) for n, c in rows] + [("10.1.0.0/16", None, "old", "o", "", datetime(2020, 1, 1))]
+    made.append(("10.1.0.0/16", None, "new", "n", "", datetime(2024, 1, 1)))
+    kinds = "network string, continent string, country string, country_code string, city string, updated_at timestamp"
+    networks = spark.createDataFrame(made, kinds)
+    want = {
+        "10.2.3.4": "a", "10.1.9.9": "new", "10.1.2.3": "c", "::ffff:10.1.2.3": "c", "0:0:0:0:0:FFFF:10.1.2.3": "c",
+        "2001:db8:5::": "d", "2001:0db8:0000:0001:0000:0000:0000:0007": "e", "2001:db8:0:0::1": "f", "9.9.1.2": "g", "9.8.1.2": "h",
+        "9.9.0.7": "g", "16.0.0.0": None, "": None, "1.2.3": None, "1.2.3.256": None, "1::2::3": None, ":1": None,
+        "1:2:3:4:5:6:7": None, "1:2:3:4:5:6:7:8:9": None, "::": None, "10.1.2.3 ": None, None: None, "12345::": None,
+    }
+    hits_ = spark.createDataFrame([(ip,) for ip in [*want, "10.2.3.4"]], "ip string")
+    found = dimensions.with_geo_ranges(hits_, networks, "ip").collect()
+    assert len(found) == len(want) + 1 and {r.ip: r.country for r in found} == want
+    none = dimensions.with_geo_ranges(hits_, networks.limit(0), "ip").collect()
+    assert len(none) == len(want) + 1 and not any(r.country for r in none)
+
+
 def test_doubled_dimensions_do_not_double_hits(spark, salts):
     geo = spark.createDataFrame([("1.2.3.4", "Europe", "France", "FR", "", None)] * 2, schema.GEO)
     rows = hits.process_hits(landed(spark, {"json": {"en": "a"}}), salts.union(salts), geo)
