@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- Fixed values -----------------------------------------------------------
@@ -58,32 +58,36 @@ def _v4_hex(text: Column) -> Column:
     return F.array_join(parts, "")
 
 
-def ip_hex(ip: Column) -> Column:
-    """An address as 32 hex digits; IPv4 as mapped (::ffff:a.b.c.d), NULL if it is none."""
-    dotted = r"((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.(?!$)|$)){4}"
-    tail = F.regexp_extract(ip, r"([0-9.]+)$", 1)
-    mixed = ip.contains(":") & ip.contains(".")
-    v4 = F.when(tail.rlike(f"^{dotted}$"), _v4_hex(tail))
-    last = F.concat(F.substring(v4, 1, 4), F.lit(":"), F.substring(v4, 5, 4))
-    v6 = F.when(mixed, F.concat(F.regexp_replace(ip, r"[0-9.]+$", ""), last)).otherwise(ip)
-    gap = v6.contains("::")
-    head = _hex_groups(F.substring_index(v6, "::", 1))
-    rest = F.when(gap, _hex_groups(F.regexp_replace(v6, "^.*?::", ""))).otherwise(F.array().cast("array<string>"))
-    zeros = F.array_repeat(F.lit("0000"), F.greatest(8 - F.size(head) - F.size(rest), F.lit(0)))
-    whole = F.array_join(F.concat(head, zeros, rest), "")
-    # one gap at most, and no single colon at an end
-    plain = r"^(([0-9A-Fa-f]{1,4}:)*[0-9A-Fa-f]{1,4})?(::(([0-9A-Fa-f]{1,4}:)*[0-9A-Fa-f]{1,4})?)?$"
-    fits = v6.rlike(plain) & (F.size(head) + F.size(rest) <= F.when(gap, 7).otherwise(8))
-    fits &= F.length(whole) == 32
-    v4_only = F.when(ip.rlike(f"^{dotted}$"), F.concat(F.lit("0" * 20 + "ffff"), _v4_hex(ip)))
-    return F.when(ip.contains(":"), F.when(fits, whole)).otherwise(v4_only)
-
-
-def ip_halves(ip: Column) -> tuple[Column, Column]:
-    """The 128 bits of an address as two longs, high and low."""
-    digits = ip_hex(ip)
-    half = lambda start: F.conv(F.substring(digits, start, 16), 16, -10).cast("long")
-    return half(1), half(17)
+def with_ip_halves(rows: DataFrame, ip: Column) -> DataFrame:
+    """Add the 128 bits of an address as two longs, ``high`` and ``low``.
+
+    IPv4 counts as mapped (::ffff:a.b.c.d); both are NULL if the text is no address.
+    """
+    byte = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    dotted = rf"{byte}(\.{byte}){{3}}"
+    one = "[0-9A-Fa-f]{1,4}"
+    some = f"({one}(:{one})*)?"
+    text, v4, v6 = F.col("_text"), F.col("_v4"), F.col("_v6")
+    head, rest, gap = F.col("_head"), F.col("_rest"), v6.contains("::")
+    # the last two groups may be written as IPv4
+    as_groups = F.concat(F.substring(v4, 1, 4), F.lit(":"), F.substring(v4, 5, 4))
+    cut = F.regexp_replace(text, r"[0-9.]+$", "")
+    after = F.when(gap, _hex_groups(F.regexp_replace(v6, "^.*?::", "")))
+    groups = F.size(head) + F.size(rest)
+    zeros = F.array_repeat(F.lit("0000"), 8 - groups)
+    whole = F.when(v6.rlike(f"^{some}(::{some})?$") & F.when(gap, groups <= 7).otherwise(groups == 8), F.concat(head, zeros, rest))
+    mapped = F.when(v4.isNotNull(), F.concat(F.lit("0" * 20 + "ffff"), v4))
+    half = lambda start: F.conv(F.substring("_digits", start, 16), 16, -10).cast("long")
+    return (
+        rows.withColumn("_text", ip)
+        .withColumn("_v4", F.when(text.rlike(rf"^(.*:)?{dotted}$"), _v4_hex(F.substring_index(text, ":", -1))))
+        .withColumn("_v6", F.when(text.contains(":"), F.when(v4.isNull(), text).otherwise(F.concat(cut, as_groups))))
+        .withColumn("_head", _hex_groups(F.substring_index(v6, "::", 1)))
+        .withColumn("_rest", F.coalesce(after, F.array().cast("array<string>")))
+        .withColumn("_digits", F.when(v6.isNotNull(), F.array_join(whole, "")).otherwise(mapped))
+        .withColumns({"high": half(1), "low": half(17)})
+        .drop("_text", "_v4", "_v6", "_head", "_rest", "_digits")
+    )
 
 
 def masked(half: Column, bits: Column) -> Column:

@@ -121,8 +121,7 @@ def network_prefixes(networks: DataFrame) -> DataFrame:
     given = F.regexp_extract("network", r"/([0-9]{1,3})$", 1)
     most = F.when(address.contains(":"), 128).otherwise(32)
     length = F.when(F.col("network").contains("/"), F.nullif(given, F.lit("")).cast("int")).otherwise(most)
-    high, low = network.ip_halves(address)
-    rows = networks.withColumns({"bits": length + 128 - most, "high": high, "low": low})
+    rows = network.with_ip_halves(networks, address).withColumn("bits", length + 128 - most)
     rows = rows.filter((length <= most) & F.col("high").isNotNull())
     rows = rows.withColumns({h: network.masked(F.col(h), F.col("bits") - b) for h, b in (("high", 0), ("low", 64))})
     latest = F.max(F.struct("updated_at", *GEO_FIELDS)).alias("latest")
@@ -138,8 +137,7 @@ def with_geo_ranges(hits: DataFrame, networks: DataFrame, ip: str) -> DataFrame:
     """
     known = stage(network_prefixes(networks), "geo_prefixes")
     lengths = known.agg(F.sort_array(F.collect_set("bits"))).first()[0]
-    high, low = network.ip_halves(F.col(ip))
-    seen = hits.select(ip).distinct().withColumns({"high": high, "low": low}).filter("high IS NOT NULL")
+    seen = network.with_ip_halves(hits.select(ip).distinct(), F.col(ip)).filter("high IS NOT NULL")
     cut = seen.withColumn("bits", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")))
     cut = cut.withColumns({h: network.masked(F.col(h), F.col("bits") - b) for h, b in (("high", 0), ("low", 64))})
     met = cut.join(known, ["bits", "high", "low"])

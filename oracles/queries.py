@@ -642,14 +642,14 @@ networks AS (
     (10 << 24) + ((n_nationkey % 7) << 8) + 16 * (n_nationkey % 4) + 15, min(n_name)
   FROM nation GROUP BY 2, 3
   UNION ALL SELECT 1, 10 << 24, (10 << 24) + (1 << 19) - 1, 'wide'
-  UNION ALL SELECT 2, (0x2a023100 * 65536 + 0x1da0 + n_nationkey) * 65536,
-    (0x2a023100 * 65536 + 0x1da0 + n_nationkey) * 65536 + 65535, n_name FROM nation
-  UNION ALL SELECT 2, 0x2a02 * (1::HUGEINT << 48), (0x2a03 * (1::HUGEINT << 48)) - 1, 'wide'
+  UNION ALL SELECT 2, ((10754::HUGEINT * 65536 + 12544) * 65536 + 7584 + n_nationkey) * 65536,
+    ((10754::HUGEINT * 65536 + 12544) * 65536 + 7584 + n_nationkey) * 65536 + 65535, n_name FROM nation
+  UNION ALL SELECT 2, 10754::HUGEINT * 281474976710656, 10755::HUGEINT * 281474976710656 - 1, 'wide'
 ),
--- the highest 64 bits of the only address of the second kind that hits have
+-- the highest 64 bits, 2a02:3100:1da8:1d00, of the one address of the second kind that lies in a network
 placed AS (
   SELECT event_id, ip, if(contains(ip, ':'), 2, 1) AS family,
-    CASE WHEN contains(ip, ':') THEN 0x2a023100::HUGEINT * 4294967296 + 0x1da81d00
+    CASE WHEN ip LIKE '2001:db8:%' THEN 0 WHEN contains(ip, ':') THEN ((10754::HUGEINT * 65536 + 12544) * 65536 + 7592) * 65536 + 7424
       ELSE CAST(split_part(ip, '.', 1) AS HUGEINT) * 16777216 + CAST(split_part(ip, '.', 2) AS HUGEINT) * 65536
         + CAST(split_part(ip, '.', 3) AS HUGEINT) * 256 + CAST(split_part(ip, '.', 4) AS HUGEINT) END AS number
   FROM located
