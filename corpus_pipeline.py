@@ -17,7 +17,8 @@ from footfall.llm.byte_bpe import encode_texts
 from footfall.llm.decontaminate import without_leaks
 from footfall.llm.quality_rules import keep_good, train
 from footfall.llm.secret_scan import redact_secrets
-from footfall.llm.tables import stage, table
+from footfall.llm.tables import table
+from footfall.sources.staging import new_folder, staging_run
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -62,7 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, folder = table(spark, sf_dir, "documents"), new_folder(spark)
     for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline_{name}")
+        path = f"{folder}/pipeline_{name}"
+        # what a stage writes on its way goes when its result is written
+        with staging_run(spark):
+            function(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
     return docs
