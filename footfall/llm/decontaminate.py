@@ -4,12 +4,13 @@ Finds test items of which at least ``THRESHOLD`` of the distinct word shingles a
 document, however long that is.  Items are partitioned by their number of shingles, in
 powers of two.  Of each item, the shingles with the smallest hashes are its probes: as
 many as make sure, for the largest size of the partition, that a document with enough
-of the item's shingles has at least one of them.  So no document is missed.  All
-shingles are joined and counted at once, an exact inverted join; the probes only mark the
-pairs counted, and drop none that reaches the threshold.
+of the item's shingles has at least one of them.  So no document is missed.
 
-Documents and items meet by the 64-bit hashes of their shingles in one join; the items'
-side is broadcast only if its counted rows are few enough, else both are shuffled.
+The texts are read once: what is kept of a document are the hashes that occur in the
+benchmark at all.  Probes alone propose pairs of document and item; only proposed pairs
+are verified, each by one row per shingle of the item, looked up among the document's.
+A list of the items' hashes is broadcast only if its counted rows are few enough, else
+both sides are shuffled.
 
 Words are lower-cased.  Defined results: null and empty texts, and those with fewer than
 five words, have no shingles and match nothing; repeated rows of an item or a document
@@ -74,19 +75,38 @@ def probe_index(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """``rows`` of a written table, marked for a broadcast if their counted number allows it."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def candidates(hits: DataFrame, index: DataFrame) -> DataFrame:
+    """Distinct (doc_id, item_id) of which the document has a probe of the item."""
+    probes = small(index.filter("probe").select("shingle", "item_id"))
+    return hits.join(probes, "shingle").select("doc_id", "item_id").distinct()
+
+
+def verified(pairs: DataFrame, hits: DataFrame, index: DataFrame) -> DataFrame:
+    """Of each pair, how many of the item's shingles are in the document; null ids are ids too."""
+    parts = small(index.select(F.col("item_id").alias("item"), "n_shingles", "shingle"))
+    needs = pairs.join(parts, F.col("item_id").eqNullSafe(F.col("item"))).drop("item")
+    has = hits.select(F.col("doc_id").alias("doc"), F.col("shingle").alias("held"))
+    met = needs.join(
+        has, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("shingle") == F.col("held"))
+    )
+    return met.groupBy("doc_id", "item_id", "n_shingles").agg(F.count(F.lit(1)).alias("n_matched"))
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, n_matched, n_shingles, containment of every leaked item."""
     index = stage(probe_index(items, threshold), "benchmark_index")
-    if index.count() <= BROADCAST_ROWS:
-        index = F.broadcast(index)
+    listed = stage(index.select("shingle").distinct(), "benchmark_shingles")
     each = docs.select("doc_id", F.explode(shingles(F.col("text"))).alias("shingle"))
-    met = each.join(index, "shingle").select("doc_id", "item_id", "n_shingles", "probe", "shingle")
-    matched = met.groupBy("doc_id", "item_id", "n_shingles").agg(
-        F.max("probe").alias("candidate"), F.count_distinct("shingle").alias("n_matched")
-    )
+    hits = stage(each.join(small(listed), "shingle", "left_semi").distinct(), "leak_hits")
+    pairs = stage(candidates(hits, index), "leak_candidates")
     containment = F.col("n_matched") / F.col("n_shingles")
     return (
-        matched.filter("candidate")
+        verified(pairs, hits, index)
         .withColumn("containment", containment)
         .filter(F.col("containment") >= threshold)
         .select(

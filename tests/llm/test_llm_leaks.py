@@ -8,7 +8,7 @@ from compare import compare, connect
 from llm_tables import documents
 
 from footfall.llm import decontaminate
-from footfall.llm.decontaminate import find_leaks, probe_index, without_leaks
+from footfall.llm.decontaminate import candidates, find_leaks, probe_index, without_leaks
 from footfall.llm.leak_queries import ORACLES, op9_decontamination
 
 
@@ -72,6 +72,31 @@ def test_probes_cannot_be_avoided(spark):
     assert all(r["count"] > r.n_shingles - -(-r.n_shingles * 4 // 5) for r in probes)
 
 
+def test_only_probes_propose(spark):
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(24))) for i in range(20)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    index = probe_index(benchmark)
+    rows = index.collect()
+    plain = [(r.item_id, r.shingle) for r in rows if not r.probe]
+    hits = spark.createDataFrame(plain, "doc_id long, shingle long")
+    assert plain and candidates(hits, index).count() == 0
+    one = {r.item_id: (r.item_id, r.shingle) for r in rows if r.probe}
+    hits = spark.createDataFrame([*plain, *one.values()], hits.schema)
+    assert {tuple(r) for r in candidates(hits, index).collect()} == {(i, i) for i, _ in items}
+
+
+def test_shared_passage(spark):
+    """A passage that half the documents and all items hold proposes no false leak."""
+    shared = " ".join(f"s{k}" for k in range(12))
+    items = [(i, shared + " " + " ".join(f"i{i}w{k}" for k in range(20))) for i in range(30)]
+    texts = [(i, shared + f" d{i} e{i} f{i} g{i} h{i}" if i % 2 else f"a{i} " * 9) for i in range(200)]
+    texts += [(1000 + i, "before " + items[i][1] + " after") for i in range(3)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_matched, r.n_shingles) for r in find_leaks(docs, benchmark).collect()}
+    assert got == leaks(texts, items) == {(1000 + i, i, 28, 28) for i in range(3)}
+
+
 def test_removal(spark):
     docs, texts, benchmark, items = made(spark)
     kept = without_leaks(docs, benchmark)
