@@ -22,7 +22,7 @@ from footfall.operators import attribution, event_ids, identity, lookback, timel
 from footfall.plans import event_blocks, performance, quality, reports, rollup
 from footfall.plans import sessions as session_models
 from footfall.plans.sessionated import events_sessionated
-from footfall.sources import dimensions, events, hits, incremental, models
+from footfall.sources import dimensions, events, hits, incremental, models, rollup_refresh
 from footfall.sources.once import names
 from footfall.sources.staging import new_folder, remove, stage
 from footfall.streaming import jobs
@@ -728,7 +728,7 @@ def users_incremental(spark, sf_dir):
     return shown(incremental.users_from_days(incremental.read_days(spark, path)))
 
 
-def _refreshed(spark, sf_dir) -> str:
+def _refreshed(spark, sf_dir, rollups: bool = False) -> str:
     """Folder of a raw table and what follows from it, after two refreshes."""
     root = new_folder(spark)
     for part in _parts(spark, sf_dir):
@@ -737,7 +737,11 @@ def _refreshed(spark, sf_dir) -> str:
         incremental.refresh_sessionated(raw, f"{root}/sessionated", part)
         done = spark.read.parquet(f"{root}/sessionated")
         incremental.refresh_sessions(done, f"{root}/sessions", part)
-        incremental.refresh_daily_kpis(done, f"{root}/kpis", part)
+        if rollups:
+            visits = spark.read.parquet(f"{root}/sessions")
+            rollup_refresh.refresh_rollups(done, visits, f"{root}/rollups", part)
+        else:
+            incremental.refresh_daily_kpis(done, f"{root}/kpis", part)
     return root
 
 
@@ -753,6 +757,29 @@ def daily_kpis_incremental(spark, sf_dir):
     return rounded(rows, "avg_session_duration")
 
 
+ROLLED_STATES = (*(c for c in ROLLUP if c != "touchpoints"), "ext_sources")
+
+
+@query
+def clients_incremental(spark, sf_dir):
+    """Clients from states by month, after two refreshes, the second with late rows."""
+    root = _refreshed(spark, sf_dir, rollups=True)
+    return shown(
+        rollup_refresh.refreshed_clients(spark, f"{root}/rollups"),
+        "client_id", *ROLLED_STATES, *fields("first_utm", UTM, "first_"), *fields("last_utm", UTM, "last_"),
+    )
+
+
+@query
+def users_model_incremental(spark, sf_dir):
+    """Users from states by month, after two refreshes, the second with late rows."""
+    root = _refreshed(spark, sf_dir, rollups=True)
+    return shown(
+        rollup_refresh.refreshed_users(spark, f"{root}/rollups"),
+        "user_id", *ROLLED_STATES, *fields("first_utm", UTM, "first_"), *fields("last_utm", UTM, "last_"),
+    )
+
+
 @query
 def sessionated_incremental(spark, sf_dir):
     rows = spark.read.parquet(f"{_refreshed(spark, sf_dir)}/sessionated")

@@ -18,7 +18,7 @@ from footfall.plans import reports
 from footfall.plans import sessions as session_models
 from footfall.plans.sessionated import events_sessionated
 from footfall.sources.events import PARTITION, overwrite_days, with_day
-from footfall.sources.staging import staging_run
+from footfall.sources.staging import remove, stage, staging_run
 
 KEYS = ["client_id", "user_id"]
 
@@ -34,12 +34,30 @@ def touched_days(arrived: DataFrame, margin: int = 0) -> list[date]:
     return sorted({day + shift for day in found for shift in around})
 
 
-def _on(rows: DataFrame, days: Sequence[date]) -> DataFrame:
+def on_days(rows: DataFrame, days: Sequence[date]) -> DataFrame:
     """Rows of some days; by the partition column, where there is one."""
     day: Column = F.col(PARTITION) if PARTITION in rows.columns else F.to_date("timestamp")
     return rows.filter(day.isin(list(days)))
 
 
+def replace_partitions(rows: DataFrame, path: str, column: str, values: Sequence[date]) -> None:
+    """Make the partitions ``values`` of ``path`` hold just ``rows``; one without rows goes.
+
+    One entry per partition is all that reaches the driver.
+    """
+    rows = stage(rows.filter(F.col(column).isin(list(values))), "replacement")
+    full = {row[0] for row in rows.select(column).distinct().collect()}
+    overwrite_days(rows, path, column)
+    for value in set(values) - full:
+        remove(rows.sparkSession, f"{path}/{column}={value}")
+
+
+def session_days(arrived: DataFrame, cfg: Config = DEFAULT, margin: int = 1) -> list[date]:
+    """The days of sessions that ``arrived`` can change: sources are lent for the lookback."""
+    ahead = range(cfg.client_lookback_days + 1)
+    return sorted({day + timedelta(days=n) for day in touched_days(arrived, margin) for n in ahead})
+
+
 def daily_activity(events: DataFrame) -> DataFrame:
     """Per day and (client, user): first and last time seen."""
     return events.groupBy(F.to_date("timestamp").alias("date"), *KEYS).agg(
@@ -63,7 +81,7 @@ def refresh_days(events: DataFrame, path: str, arrived: DataFrame | None = None)
     without it.
     """
     if arrived is not None:
-        events = _on(events, touched_days(arrived))
+        events = on_days(events, touched_days(arrived))
     overwrite_days(daily_activity(events), path, "date")
 
 
@@ -84,10 +102,10 @@ def refresh_sessionated(
     replaced = touched_days(arrived, margin_days)
     if not replaced:
         return
-    read = _on(events, touched_days(arrived, 2 * margin_days))
+    read = on_days(events, touched_days(arrived, 2 * margin_days))
     with staging_run(events.sparkSession):
         rows = with_day(events_sessionated(read.drop(PARTITION), cfg, parameters=False))
-        overwrite_days(_on(rows, replaced), path)
+        overwrite_days(on_days(rows, replaced), path)
 
 
 def refresh_daily_kpis(
@@ -99,7 +117,7 @@ def refresh_daily_kpis(
     """
     replaced = touched_days(arrived, margin_days)
     if replaced:
-        rows = reports.daily_kpis(_on(sessionated, touched_days(arrived, 2 * margin_days)))
+        rows = reports.daily_kpis(on_days(sessionated, touched_days(arrived, 2 * margin_days)))
         overwrite_days(rows.filter(F.col("date").isin(replaced)), path, "date")
 
 
@@ -115,17 +133,15 @@ def refresh_sessions(
     A session borrows its source from up to ``client_lookback_days`` before, so as
     many days after a new event are computed again, and as many before are read.
     """
-    near = touched_days(arrived, margin_days)
-    if not near:
+    replaced = session_days(arrived, cfg, margin_days)
+    if not replaced:
         return
-    ahead = range(cfg.client_lookback_days + 1)
-    replaced = sorted({day + timedelta(days=n) for day in near for n in ahead})
     back = range(-cfg.client_lookback_days - margin_days, margin_days + 1)
     read = sorted({day + timedelta(days=n) for day in replaced for n in back})
     with staging_run(sessionated.sparkSession):
-        found = session_models.sessions(_on(sessionated, read), cfg)
+        found = session_models.sessions(on_days(sessionated, read), cfg)
         rows = found.withColumn(PARTITION, F.to_date("start_ts"))
-        overwrite_days(rows.filter(F.col(PARTITION).isin(replaced)), path)
+        replace_partitions(rows, path, PARTITION, replaced)
 
 
 def read_days(spark: SparkSession, path: str) -> DataFrame:

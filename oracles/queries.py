@@ -525,6 +525,9 @@ SELECT client_id, user_id, min("timestamp") AS first_seen, max("timestamp") AS l
   count(DISTINCT CAST("timestamp" AS DATE)) AS days_active FROM tracked GROUP BY 1, 2""")
 
 ORACLES["sessions_incremental"] = ORACLES["sessions"]
+_STATES = f"{_ROLLED.replace('touchpoints, ', '')}, ext_sources, {_ENDS}"
+add("clients_incremental", TO_CLIENTS, f"SELECT client_id, {_STATES} FROM rolled")
+add("users_model_incremental", (*_MAPPED, roll_up("user_id", "mapped")), f"SELECT user_id, {_STATES} FROM rolled")
 ORACLES["daily_kpis_incremental"] = ORACLES["daily_kpis"]
 ORACLES["published_views"] = ORACLES["published_tables"] = ORACLES["daily_kpis"]
 for _key in ("sessionated_incremental", "sessionated_stream"):
