@@ -17,6 +17,8 @@ def op6_secret_scan(spark, sf_dir):
         F.sha2(joined(of(*BASE)), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+        F.array_join(F.transform("spans", lambda s: s["n_owners"].cast("string")), ",").alias("owners"),
+        F.array_join(F.transform("spans", lambda s: s["n_repos"].cast("string")), ",").alias("repos"),
     )
 
 

@@ -3,9 +3,11 @@
 Every text is scanned for assigned values, access key ids and long hexadecimal runs
 (the base kinds), and for other long tokens that mix letters and digits.  The hashes
 of all values found are aggregated over the corpus by distinct repositories and
-owners.  A value that few owners hold is taken as a live credential; one that many
-hold is a widely copied example.  Base spans are always reported; another token is
-reported (kind ``token``) where its value looks live and has enough entropy.
+owners.  A value is taken as a live credential if few owners hold it (``MAX_OWNERS``),
+each in few of its repositories (``MAX_REPOS`` on average); one that many owners hold, or
+that one owner repeats all over, is a widely copied example.  Base spans are always
+reported; another token is reported (kind ``token``) where its value looks live and has
+enough entropy.  Every span comes with both counts.
 
 An owner is a ``source``; a document stands for a repository where the table has none.
 
@@ -34,6 +36,8 @@ KINDS = ("assign", "access", "hex", "token")
 BASE = KINDS[:3]
 #: Owners up to which a value counts as owner-specific.
 MAX_OWNERS = 2
+#: Repositories of each owner up to which it counts as the owner's own, on average.
+MAX_REPOS = 10
 #: Bits a character of other tokens must have at least.
 MIN_ENTROPY = 3.0
 SPAN = "struct<kind:string,start:int,end:int,digest:long,entropy:double>"
@@ -137,12 +141,14 @@ def ownership(candidates: DataFrame) -> DataFrame:
     )
 
 
-def judged(candidates: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+def judged(
+    candidates: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS
+) -> DataFrame:
     """Of each row with candidates: its spans, each with ``live`` and ``reported``."""
     values = stage(ownership(candidates), "secret_ownership")
     each = candidates.select("row", F.posexplode("spans").alias("place", "span"))
     each = each.select("row", "place", "span", F.col("span.digest").alias("digest"))
-    live = F.col("n_owners") <= max_owners
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos * F.col("n_owners"))
     strong = F.col("span.entropy") >= MIN_ENTROPY
     span = F.struct(
         "place",
@@ -159,11 +165,15 @@ def judged(candidates: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
 
 
 def scan_secrets(
-    docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    owner_col: str = "source",
+    max_owners: int = MAX_OWNERS,
+    max_repos: int = MAX_REPOS,
 ) -> DataFrame:
     """One row per input row: the id and the reported spans, by start."""
     candidates = scan(docs, id_col, owner_col)
-    verdicts = judged(candidates, max_owners)
+    verdicts = judged(candidates, max_owners, max_repos)
     reported = F.filter(F.col("spans"), lambda s: s["reported"])
     none = F.array().cast(
         "array<struct<place:int,kind:string,start:int,end:int,n_owners:long,n_repos:long,"
@@ -200,11 +210,13 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["row", "text"])
 
 
-def redact_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+def redact_secrets(
+    docs: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS
+) -> DataFrame:
     """The documents with every reported span replaced by its kind in brackets."""
     row = free_name(docs, "_row")
     numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "secret_documents")
-    verdicts = judged(scan(numbered, row=F.col(row)), max_owners)
+    verdicts = judged(scan(numbered, row=F.col(row)), max_owners, max_repos)
     reported = F.filter(F.col("spans"), lambda s: s["reported"])
     spans = F.transform(reported, lambda s: F.struct(s["kind"], s["start"], s["end"]))
     at = free_name(numbered, "_spans")

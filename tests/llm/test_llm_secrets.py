@@ -63,6 +63,23 @@ def test_ownership(spark):
     assert not any(spans[i] for i in spans if i is None or i < 50)
 
 
+def test_each_count_decides(spark):
+    """A value of many owners is no live one, nor is one all over a single owner's texts."""
+    held = {"few": (1, 4), "by_owners": (3, 1), "by_repos": (1, 21), "spread": (2, 10), "over": (2, 11)}
+    rows = []
+    for name, (n_owners, each) in held.items():
+        value = f"{name}-Qz81wLx93kd0PmVb27Ty"
+        rows += [(f"{name}{o}", f"see {value}") for o in range(n_owners) for _ in range(each)]
+    rows = [(i, *row) for i, row in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = {}
+    for row in scan_secrets(docs).collect():
+        name = rows[row.doc_id][2].split("-")[0].removeprefix("see ")
+        found.setdefault(name, set()).add(len(row.spans))
+        assert all((s.n_owners, s.n_repos) == (held[name][0], held[name][0] * held[name][1]) for s in row.spans)
+    assert found == {"few": {1}, "by_owners": {0}, "by_repos": {0}, "spread": {1}, "over": {0}}
+
+
 def test_redaction(spark):
     docs, texts = owned(spark)
     clean = redact_secrets(docs)
