@@ -2,9 +2,11 @@
 
 Explicit rules (host and path prefix) come first; the longest that fits decides.  For
 other urls, FP-growth over the tokens of labelled urls gives combinations that go with
-bad labels; those with enough support and confidence are kept, without the ones that a
-shorter rule already covers.  Every kept rule is filed under its rarest token; a url
-looks up its tokens there and must hold all tokens of a rule.
+bad labels.  A rule needs enough support and confidence, a least number of bad urls, and a
+share of them so far above that of all labelled urls that chance does not explain it
+(``MIN_DEVIATIONS``).  A rule is left out if a part of its tokens is a rule of at least its
+confidence.  Every kept rule is filed under its rarest token; a url looks up its tokens
+there and must hold all tokens of a rule.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits
 no explicit rule and is allowed; repeated rows are judged each; without labelled urls
@@ -23,6 +25,10 @@ from pyspark.sql import functions as F
 from footfall.llm.tables import stage
 
 MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.8
+#: Bad urls that a rule needs at least.
+MIN_BAD = 10
+#: Standard deviations by which they exceed what the share of all urls lets expect.
+MIN_DEVIATIONS = 5.0
 BAD = "label:bad"
 
 
@@ -63,10 +69,26 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(plain, lambda x: F.length(x) > 2))
 
 
+def _covered(rules: DataFrame) -> DataFrame:
+    """Names of the rules of which a part is a rule of at least their confidence."""
+    part = rules.select(
+        F.col("rarest").alias("token"), F.col("tokens").alias("part"), F.col("confidence").alias("by_part")
+    )
+    each = rules.select("rule", "tokens", "confidence", F.explode("tokens").alias("token"))
+    held = each.join(part, "token").filter(
+        (F.size("part") < F.size("tokens"))
+        & (F.col("by_part") >= F.col("confidence"))
+        & (F.size(F.array_except("part", "tokens")) == 0)
+    )
+    return held.select("rule").distinct()
+
+
 def mine_rules(
     labelled: DataFrame,
     min_support: float = MIN_SUPPORT,
     min_confidence: float = MIN_CONFIDENCE,
+    min_bad: int = MIN_BAD,
+    min_deviations: float = MIN_DEVIATIONS,
 ) -> DataFrame:
     """Rules from ``tokens`` and ``bad``: rule, tokens, rarest, confidence, support."""
     spark = labelled.sparkSession
@@ -78,17 +100,27 @@ def mine_rules(
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(
         baskets
     )
-    rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).select(
-        F.array_sort("antecedent").alias("tokens"), "confidence", "support"
+    counts = baskets.agg(
+        F.count("items").alias("n"), F.count_if(F.array_contains("items", BAD)).alias("n_bad")
+    ).first()
+    share = counts["n_bad"] / max(counts["n"], 1)
+    n_bad = F.round(F.col("support") * counts["n"])
+    n_held = F.round(n_bad / F.col("confidence"))
+    excess = n_bad - share * n_held
+    stands_out = (n_bad >= min_bad) & (
+        excess >= min_deviations * F.sqrt(n_held * F.lit(share * (1 - share)))
     )
+    rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).filter(stands_out)
+    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     rules = stage(rules.withColumn("rule", F.array_join("tokens", " ")), "url_rules")
     single = model.freqItemsets.filter(F.size("items") == 1).select(
         F.col("items")[0].alias("token"), "freq"
     )
     filed = rules.select("rule", F.explode("tokens").alias("token")).join(single, "token")
     rarest = filed.groupBy("rule").agg(F.min(F.struct("freq", "token"))["token"].alias("rarest"))
-    pruned = rules.join(rarest, "rule").select("rule", "tokens", "rarest", "confidence", "support")
-    return stage(pruned, "url_rule_index")
+    index = rules.join(rarest, "rule").select("rule", "tokens", "rarest", "confidence", "support")
+    index = stage(index, "url_rule_index")
+    return stage(index.join(_covered(index), "rule", "left_anti"), "url_rules_kept")
 
 
 def matching(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -54,6 +54,49 @@ def test_explicit_rules(spark):
     assert filter_urls(pages(spark, []), none, RULES).count() == 0
 
 
+def all_rules(rows, min_support, min_confidence, min_bad, min_deviations):
+    """By counting all token sets: those that stand out, without what a part covers."""
+    found, n = {}, len(rows)
+    share = sum(bad for _, bad in rows) / n
+    letters = sorted({t for tokens, _ in rows for t in tokens})
+    for size in range(1, 6):
+        for items in itertools.combinations(letters, size):
+            has = [bad for tokens, bad in rows if set(items) <= set(tokens)]
+            if sum(has) >= max(min_support * n, min_bad, 1) and sum(has) >= min_confidence * len(has):
+                if sum(has) - share * len(has) >= min_deviations * (len(has) * share * (1 - share)) ** 0.5:
+                    found[items] = (round(sum(has) / len(has), 9), round(sum(has) / n, 9))
+    return {
+        items: figures
+        for items, figures in found.items()
+        if not any(set(p) < set(items) and found[p][0] >= figures[0] for p in found)
+    }
+
+
+def test_rules_that_stand_out(spark):
+    draw = random.Random(2)
+    rows = []
+    for _ in range(1500):
+        tokens = sorted({draw.choice("abcdefgh") for _ in range(5)})
+        chance = 0.97 if {"a", "b"} <= set(tokens) else 0.83 if "c" in tokens else 0.1
+        rows.append((tokens, draw.random() < chance))
+    labelled = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    for figures in ((0.02, 0.8, 10, 5.0), (0.005, 0.7, 10, 0.0), (0.005, 0.8, 100, 9.0)):
+        mined = {
+            tuple(r.tokens): (round(r.confidence, 9), round(r.support, 9))
+            for r in mine_rules(labelled, *figures).collect()
+        }
+        assert mined == all_rules(rows, *figures)
+        assert ("a", "b") in mined or figures[2] == 100
+
+
+def test_labels_by_chance_give_no_rules(spark):
+    draw = random.Random(3)
+    rows = [
+        (sorted({f"t{draw.randrange(40)}" for _ in range(6)}), draw.random() < 0.24) for _ in range(3000)
+    ]
+    assert mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).count() == 0
+
+
 def test_mined_rules_are_all_rules(spark):
     draw = random.Random(1)
     rows = []
@@ -64,14 +107,9 @@ def test_mined_rules_are_all_rules(spark):
     labelled = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
     mined = {
         tuple(r.tokens): (round(r.confidence, 9), round(r.support, 9))
-        for r in mine_rules(labelled, 0.02, 0.8).collect()
+        for r in mine_rules(labelled, 0.02, 0.8, 0, 0.0).collect()
     }
-    want = {}
-    for size in range(1, 5):
-        for items in itertools.combinations("abcdefg", size):
-            has = [bad for tokens, bad in rows if set(items) <= set(tokens)]
-            if sum(has) >= 0.02 * len(rows) and sum(has) >= 0.8 * len(has):
-                want[items] = (round(sum(has) / len(has), 9), round(sum(has) / len(rows), 9))
+    want = all_rules(rows, 0.02, 0.8, 0, 0.0)
     assert want and mined == want
 
 
