@@ -206,22 +206,37 @@ def fit_crf(sequences: list[tuple[np.ndarray, int]], rounds: int = 150, rate: fl
     return Crf(weights, moves)
 
 
+def train_lines(features: np.ndarray, digest: int) -> np.ndarray:
+    """All lines, or ``TRAIN_LINES`` of them in a row from a place that the digest draws."""
+    start = digest % max(len(features) - TRAIN_LINES + 1, 1)
+    return features[start : start + TRAIN_LINES]
+
+
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Crf:
-    """Fits on the ``limit`` labelled documents whose ids have the smallest hashes."""
+    """Fits on the ``limit`` labelled documents whose ids have the smallest hashes.
+
+    Labels without a document take no place.  Rows of equal id are taken by a hash of
+    their text.
+    """
     wanted = labels.filter(F.col("quality").isNotNull()).select("doc_id", "quality")
+    wanted = wanted.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(limit)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [read_lines(t or "").features[:TRAIN_LINES] for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array([f.tobytes() for f in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["quality", "features"])
+            found = [
+                train_lines(read_lines(t.as_py() or "").features, d).tobytes()
+                for t, d in zip(batch.column(3), batch.column(2).to_pylist(), strict=True)
+            ]
+            columns = [*batch.columns[:3], pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["place", "quality", "digest", "features"])
 
     sample = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
-    # the join may give repeated documents; the bound holds for what reaches the driver
-    rows = sample.select("quality", "text").limit(limit).mapInArrow(
-        features, "quality int, features binary"
+    sample = sample.select(
+        F.xxhash64("doc_id").alias("place"), "quality", F.xxhash64("text").alias("digest"), "text"
     )
+    rows = sample.mapInArrow(features, "place long, quality int, digest long, features binary")
+    rows = rows.orderBy("place", "quality", "digest").limit(limit)
     found = [(np.frombuffer(r.features).reshape(-1, N_FEATURES), r.quality) for r in rows.collect()]
     return fit_crf(sorted(found, key=lambda s: (s[1], s[0].tobytes())))
 

@@ -9,10 +9,12 @@ from collections import Counter
 
 import numpy as np
 from llm_tables import documents
+from pyspark.sql import functions as F
 
 from footfall.llm.quality_queries import op2_quality_rules
 from footfall.llm.quality_rules import (
-    DEFAULT, N_FEATURES, fit_crf, judge, judge_documents, keep_good, read_lines, train, viterbi,
+    DEFAULT, N_FEATURES, TRAIN_LINES, fit_crf, judge, judge_documents, keep_good, read_lines, train,
+    train_lines, viterbi,
 )
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,6 +95,25 @@ def test_training_without_labels(spark):
     assert train(docs.limit(0), labels) is DEFAULT
 
 
+def test_training_lines_come_from_anywhere():
+    lines = np.arange(2.0 * TRAIN_LINES + 1).reshape(-1, 1)
+    starts = {train_lines(lines, digest)[0, 0] for digest in range(-700, 700)}
+    assert starts == set(range(TRAIN_LINES + 2))
+    assert all(len(train_lines(lines, digest)) == TRAIN_LINES for digest in range(9))
+    assert (train_lines(lines[:5], 3) == lines[:5]).all()
+
+
+def test_training_takes_labelled_documents_only(spark):
+    """Labels without a document take no place, and the order of the rows does not matter."""
+    texts = ["plain words that go on and tell a story of some kind", "BUY $$$ NOW | | click # * &"]
+    rows = [(i, f"{texts[i % 2]} {i}\n" * 3) for i in range(40)] * 2
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(4000)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fits = [train(part, labels, limit=20) for part in (docs, docs.orderBy(F.desc("doc_id")).repartition(7))]
+    assert fits[0] is not DEFAULT
+    assert all((a == b).all() for a, b in zip(*map(tuple, fits), strict=True))
+
+
 def test_query(spark):
     sf_dir = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
