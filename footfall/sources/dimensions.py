@@ -59,11 +59,12 @@ def ensured_salts(spark: SparkSession, path: str, days: DataFrame) -> DataFrame:
 
     Each day's salt is a file of its own, made once: where two jobs want one for the same
     day, the later one finds the earlier one's and uses that.  What is read here never
-    changes afterwards.  Nothing is written where no day is missing.
+    changes afterwards: the rows, one for each day, are held, so that a purge takes none of
+    them from a job that began before.  Nothing is written where no day is missing.
     """
     for row in missing_salts(read_salts(spark, path), days).collect():
         put_once(spark, f"{path}/{row.salt_date}{SALT_FILE}", _salt_file(row.salt_date, row.salt))
-    return read_salts(spark, path)
+    return spark.createDataFrame(read_salts(spark, path).collect(), schema.SALTS)
 
 
 def _salt_file(day: date, salt: str) -> bytes:

@@ -152,6 +152,17 @@ def test_a_salt_is_made_once(spark, tmp_path, monkeypatch):
     assert not list((tmp_path / "salts").glob(".*"))
 
 
+def test_a_purge_leaves_salts_that_were_read(spark, tmp_path):
+    path = str(tmp_path / "salts")
+    days = spark.createDataFrame([(date(2024, 3, d),) for d in (1, 2, 3)], "salt_date date")
+    first = dimensions.ensured_salts(spark, path, days)
+    assert dimensions.purge_salts(spark, path, datetime(2024, 3, 4, 1)) == [date(2024, 3, 1), date(2024, 3, 2)]
+    assert first.count() == 3 and dimensions.read_salts(spark, path).count() == 1
+    again = {r.salt_date: r.salt for r in dimensions.ensured_salts(spark, path, days).collect()}
+    kept = {r.salt_date: r.salt for r in first.collect()}
+    assert [day for day in kept if kept[day] == again[day]] == [date(2024, 3, 3)]
+
+
 @pytest.mark.parametrize("way", ["_link", "_rename"])
 def test_a_file_is_made_once(spark, tmp_path, monkeypatch, way):
     monkeypatch.setattr(once, "_link", getattr(once, way))
