@@ -12,12 +12,13 @@ probability of their weighted Jaccard similarity.
 Texts that share a band of registers are candidates; equal texts are one node.  A pair is
 settled once it is known to be connected, verified by the exact overlap of its bags, or
 ruled out.  In a first round every text is paired with its bands' first and last text.
-Members of bands that are then still of several components go on to a second one: they meet
-by every two bands that they share, where members that are not similar hardly do, and each
-such group pairs all with a few pivots, drawn by hash for each group anew.  Of these pairs
-those are verified whose registers (a byte of each is kept) agree often enough.  The
-components of the verified links are the groups.  No step makes more than a bounded number
-of rows for each text.
+Bands whose members are then still of several components go on to a second one, in which
+all pairs of their members are compared by registers (a byte of each is kept), part of a
+band by part, and those of different components that agree often enough are verified: first
+each text's best, then, with what that did not connect, all.  The components of the verified
+links are the groups.  No pair that shares a band is left out.  Pairs are rows only where
+their registers agree; comparing them takes time with the square of the number of members
+of a band that the first round leaves in several components.
 
 Defined results: texts with no word (null ones too) are never near-duplicates; those
 with one to four words have that one run; repeated rows are equal texts; texts of equal
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.rolling import BASE, U, mixed
@@ -45,12 +46,10 @@ REGISTERS = 128
 #: 25 bands of 5 find a pair at similarity 0.8 with probability 0.99995.
 BANDS, BAND_ROWS = 25, 5
 BATCH_BYTES = 4 << 20
-#: Nodes of a group that all others of it are paired with in the second round.
-PIVOTS = 3
 #: Registers of 128 that agree at least; at similarity 0.8 fewer do with probability 2e-5.
 LEAST_EQUAL = 84
-#: Rows over which the pivots that a node meets are spread, so that a row stays small.
-PARTS = 8
+#: Nodes of a band, about, that are compared with as many others in one row.
+CHUNK = 256
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -236,73 +235,89 @@ def candidate_pairs(nodes: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def unsettled(nodes: DataFrame, ends: DataFrame, labels: DataFrame) -> DataFrame:
-    """Nodes with the bands in which they are no end and some others are not connected.
+    """The nodes of bands in which some are not connected: band, parts, node.
 
-    All pairs with an end are settled, so a band of three nodes is.
+    All pairs with an end are settled, so ends are left out, and a band of three nodes is.
+    ``parts`` is the number of parts of about ``CHUNK`` nodes that the band is cut into.
     """
     each = nodes.select("node", F.explode("bands").alias("band"))
     inner = each.join(ends.filter(F.col("n_nodes") > 3), "band").filter(
         (F.col("node") != F.col("first")) & (F.col("node") != F.col("last"))
     )
-    inner = inner.join(labels, "node").select("band", "node", "label")
+    parts = F.ceil(F.col("n_nodes") / CHUNK).alias("parts")
+    inner = stage(inner.join(labels, "node").select("band", parts, "node", "label"), "bag_inner")
+    return stage(_of_several(inner).drop("label"), "bag_unsettled")
+
+
+def _of_several(inner: DataFrame) -> DataFrame:
+    """The rows of bands with more than one label."""
     several = inner.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    several = several.filter(F.col("low") < F.col("high")).select("band")
-    found = inner.join(several, "band").groupBy("node", "label")
-    return stage(found.agg(F.collect_list("band").alias("bands")), "bag_unsettled")
+    return inner.join(several.filter(F.col("low") < F.col("high")).select("band"), "band", "left_semi")
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of a node and the pivots listed with it whose registers agree often enough."""
-    rows = lambda sketches: np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, REGISTERS)
-    for batch in batches:
-        met = batch.column("met")
-        owner = np.repeat(np.arange(len(met)), met.value_lengths().to_numpy())
-        pivots = met.flatten()
-        other = pivots.field("node").to_numpy()
-        own = rows(batch.column("sketch"))[owner]
-        fits = (own == rows(pivots.field("sketch"))).sum(axis=1) >= LEAST_EQUAL
-        node, other = batch.column("node").to_numpy()[owner[fits]], other[fits]
-        pairs = [pa.array(np.maximum(node, other)), pa.array(np.minimum(node, other))]
-        yield pa.RecordBatch.from_arrays(pairs, names=["a", "b"])
+def _agreeing(threshold: float, best: bool):
+    """The pairs of two parts' nodes (or of one part's) whose registers agree often enough.
+
+    Only those of different labels, and of weights whose ratio allows the similarity; with
+    ``best`` just one of each node, the one that agrees most.
+    """
+
+    def members(part: pa.Array) -> list[np.ndarray]:
+        sketch = np.frombuffer(b"".join(part.field("sketch").to_pylist()), np.uint8)
+        numbers = [part.field(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "total")]
+        return [*numbers, sketch.reshape(-1, REGISTERS)]
+
+    def pairs(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray]:
+        low, high = np.minimum.outer(a[2], b[2]), np.maximum.outer(a[2], b[2])
+        fits = (a[1][:, None] != b[1]) & (low >= threshold * high)
+        left, right = np.nonzero(np.triu(fits) if same else fits)
+        agree = np.zeros(len(left), np.int64)
+        for at in range(0, len(left), 1 << 15):
+            some = slice(at, at + (1 << 15))
+            agree[some] = np.count_nonzero(a[3][left[some]] == b[3][right[some]], axis=1)
+        kept = np.flatnonzero(agree >= LEAST_EQUAL)
+        if best:
+            kept = kept[np.lexsort((-agree[kept], left[kept]))]
+            kept = kept[np.unique(left[kept], return_index=True)[1]]
+        return a[0][left[kept]], b[0][right[kept]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for same, sides in zip(batch.column("same").to_pylist(), batch.column("sides"), strict=True):
+                found = [members(side.values) for side in sides.values]
+                if len(found) == 2 or same:
+                    one, other = pairs(found[0], found[-1], same)
+                    columns = [pa.array(np.maximum(one, other)), pa.array(np.minimum(one, other))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+    return run
 
 
 def second_pairs(
-    left: DataFrame, nodes: DataFrame, known: DataFrame, threshold: float, places: tuple[int, int]
+    left: DataFrame, nodes: DataFrame, labels: DataFrame, known: DataFrame, threshold: float, best: bool
 ) -> DataFrame:
-    """Pairs of different labels that share two bands, each with pivots of these two.
+    """All pairs of different labels that share a band and whose registers agree, but the known.
 
-    ``left`` are the nodes with the bands in which they are not settled, ``places`` the
-    first and last of the pivots taken.  A pair at similarity 0.8 shares fewer than two of
-    all bands with probability 0.0006.  The pivots carry their registers, so that a node's
-    pivots come to it as lists (of at most a few hundred in all) and most pairs end there.
+    A band's nodes are cut into parts by hash, and every two parts of a band, and each with
+    itself, are compared in one row, by their registers: as many rows as pairs of parts, of
+    bounded size each, and a band of any size is spread.  With ``best`` a node comes with
+    one other of each two parts at most.
     """
-    band = F.array_sort("bands")
-    with_later = lambda x, i: F.transform(
-        F.slice(band, i + 2, F.size(band)), lambda y: F.xxhash64(x, y)
+    inner = _of_several(left.join(labels, "node"))
+    part = F.pmod(F.xxhash64("node", "band"), F.col("parts"))
+    member = F.struct("node", "label", "total", "sketch")
+    cut = inner.join(nodes.select("node", "total", "sketch"), "node").groupBy(
+        "band", "parts", part.alias("part")
     )
-    left = left.join(nodes.select("node", "total"), "node")
-    keys = left.select(
-        "node", "label", "total", F.explode(F.flatten(F.transform(band, with_later))).alias("key")
+    cut = cut.agg(F.collect_list(member).alias("side"), F.min("label").alias("low"), F.max("label").alias("high"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    first, second = F.least("part", "other"), F.greatest("part", "other")
+    met = met.groupBy("band", first.alias("first"), second.alias("second")).agg(
+        F.collect_list("side").alias("sides"), F.min("low").alias("low"), F.max("high").alias("high")
     )
-    keys = stage(keys, "bag_keys")
-    several = keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    several = several.filter(F.col("low") < F.col("high")).select("key")
-    drawn = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node")
-    pivots = keys.withColumn("place", F.row_number().over(drawn)).filter(F.col("place") <= places[1])
-    pivots = pivots.filter(F.col("place") >= places[0])
-    # only the few pivots of a key, not all its members, meet the count of its labels
-    pivots = pivots.join(several, "key", "left_semi").join(nodes.select("node", "sketch"), "node")
-    pivots = pivots.select("key", *[F.col(c).alias(f"{c}_other") for c in ("node", "label", "total", "sketch")])
-    pivots = stage(pivots, "bag_pivots")
-    # the ratio of the weights bounds the similarity
-    low, high = F.least("total", "total_other"), F.greatest("total", "total_other")
-    apart = (F.col("label") != F.col("label_other")) & (low >= threshold * high)
-    pivot = F.struct(F.col("node_other").alias("node"), F.col("sketch_other").alias("sketch"))
-    part = F.pmod(F.xxhash64("node_other"), F.lit(PARTS))
-    met = keys.join(pivots, "key").filter(apart).select("node", part.alias("part"), pivot.alias("pivot"))
-    met = met.groupBy("node", "part").agg(F.collect_set("pivot").alias("met"))
-    met = met.join(nodes.select("node", "sketch"), "node").select("node", "sketch", "met")
-    pairs = met.mapInArrow(_agreeing, "a long, b long").distinct()
+    met = met.filter(F.col("low") < F.col("high"))
+    met = met.select((F.col("first") == F.col("second")).alias("same"), "sides")
+    pairs = met.mapInArrow(_agreeing(threshold, best), "a long, b long").distinct()
     return pairs.join(known, ["a", "b"], "left_anti")
 
 
@@ -399,14 +414,13 @@ def near_labels(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD)
     texts = stage(texts.dropDuplicates(["node"]), "bag_texts")
     labels = linked(pairs, texts, nodes.select("node", F.col("node").alias("label")), threshold)
     left = unsettled(nodes, ends, labels)
-    # what the first pivots connect need not meet the others
-    for places in ((1, 1), (2, PIVOTS)):
+    # what the best pairs connect need not meet the others
+    for best in (True, False):
         if left.isEmpty():
             break
-        more = stage(second_pairs(left, nodes, pairs, threshold, places), "bag_pairs_rest")
+        more = stage(second_pairs(left, nodes, labels, pairs, threshold, best), "bag_pairs_rest")
         if not more.isEmpty():
-            labels = linked(more, texts, labels, threshold)
-            left, pairs = left.drop("label").join(labels, "node"), pairs.union(more)
+            labels, pairs = linked(more, texts, labels, threshold), pairs.union(more)
     return labels
 
 

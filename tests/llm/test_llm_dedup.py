@@ -8,7 +8,9 @@ from collections import Counter
 
 import numpy as np
 from llm_tables import documents
+from pyspark.sql import functions as F
 
+from footfall.llm import bagminhash
 from footfall.llm.bagminhash import bag_of, bags, near_duplicates, one_of_each, overlap, signatures
 from footfall.llm.dedup_queries import op3_bagminhash
 
@@ -107,6 +109,18 @@ def test_pairs_among_texts_that_share_a_passage(spark):
     assert got == {i: lowest[group] for i, group in want.items()}
 
 
+def test_no_pair_of_a_full_band_is_left_out(spark):
+    """All texts share all bands; each is similar to one other."""
+    draw = random.Random(5)
+    passages = [[f"w{draw.randrange(10**12)}" for _ in range(60)] for _ in range(300)]
+    rows = [(i, " ".join([*passages[i % 300], f"own{i}"])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    nodes = bagminhash._nodes(bagminhash.sign(docs))
+    labels = bagminhash.near_labels(docs, nodes.withColumn("bands", F.array(F.lit(7).cast("long"), F.lit(8).cast("long"))))
+    found = nodes.join(labels, "node").groupBy("label").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    assert sorted(r.ids for r in found.collect()) == [[i, i + 300] for i in range(300)]
+
+
 def test_made_words_are_told_apart(spark):
     """Words whose sums of powers are equal whatever the base, modulo a power of two."""
     rows = []
