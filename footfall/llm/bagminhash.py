@@ -14,11 +14,10 @@ settled once it is known to be connected, verified by the exact overlap of its b
 ruled out.  In a first round every text is paired with its bands' first and last text.
 Bands whose members are then still of several components go on to a second one, in which
 all pairs of their members are compared by registers (a byte of each is kept), part of a
-band by part, and those of different components that agree often enough are verified: first
-each text's best, then, with what that did not connect, all.  The components of the verified
-links are the groups.  No pair that shares a band is left out.  Pairs are rows only where
-their registers agree; comparing them takes time with the square of the number of members
-of a band that the first round leaves in several components.
+band by part, and those of different components that agree often enough by their bags.  The
+components of the verified links are the groups.  No pair that shares a band is left out,
+and no step makes a row for each pair of a band; comparing them takes time with the square
+of the number of members of a band that the first round leaves in several components.
 
 Defined results: texts with no word (null ones too) are never near-duplicates; those
 with one to four words have that one run; repeated rows are equal texts; texts of equal
@@ -48,8 +47,8 @@ BANDS, BAND_ROWS = 25, 5
 BATCH_BYTES = 4 << 20
 #: Registers of 128 that agree at least; at similarity 0.8 fewer do with probability 2e-5.
 LEAST_EQUAL = 84
-#: Nodes of a band, about, that are compared with as many others in one row.
-CHUNK = 256
+#: Nodes and words of a band's part, about: a row holds two parts.
+CHUNK, CHUNK_WORDS = 1024, 200_000
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -235,90 +234,146 @@ def candidate_pairs(nodes: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def unsettled(nodes: DataFrame, ends: DataFrame, labels: DataFrame) -> DataFrame:
-    """The nodes of bands in which some are not connected: band, parts, node.
+    """The nodes of bands in which some are not connected: band, parts, node, label.
 
     All pairs with an end are settled, so ends are left out, and a band of three nodes is.
-    ``parts`` is the number of parts of about ``CHUNK`` nodes that the band is cut into.
+    A band is to be cut into ``parts``, of bounded numbers of nodes and of words.
     """
-    each = nodes.select("node", F.explode("bands").alias("band"))
+    each = nodes.select("node", "total", F.explode("bands").alias("band"))
     inner = each.join(ends.filter(F.col("n_nodes") > 3), "band").filter(
         (F.col("node") != F.col("first")) & (F.col("node") != F.col("last"))
     )
-    parts = F.ceil(F.col("n_nodes") / CHUNK).alias("parts")
-    inner = stage(inner.join(labels, "node").select("band", parts, "node", "label"), "bag_inner")
-    return stage(_of_several(inner).drop("label"), "bag_unsettled")
+    inner = stage(inner.join(labels, "node").select("band", "node", "label", "total"), "bag_inner")
+    size = F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("total") / CHUNK_WORDS)
+    several = inner.groupBy("band").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(size).alias("parts")
+    )
+    several = several.filter(F.col("low") < F.col("high")).select("band", "parts")
+    return inner.join(several, "band").select("band", "parts", "node", "label")
 
 
-def _of_several(inner: DataFrame) -> DataFrame:
-    """The rows of bands with more than one label."""
-    several = inner.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    return inner.join(several.filter(F.col("low") < F.col("high")).select("band"), "band", "left_semi")
+def _members(part: pa.Array) -> tuple[np.ndarray, ...]:
+    numbers = [part.field(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "total")]
+    sketch = np.frombuffer(b"".join(part.field("sketch").to_pylist()), np.uint8)
+    bands = part.field("bands").flatten().to_numpy(zero_copy_only=False)
+    return *numbers, sketch.reshape(-1, REGISTERS), bands.reshape(-1, BANDS)
 
 
-def _agreeing(threshold: float, best: bool):
-    """The pairs of two parts' nodes (or of one part's) whose registers agree often enough.
+def _agreeing(
+    a: tuple, b: tuple, band: int, same: bool, threshold: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs whose registers agree often enough, those that agree most first.
 
-    Only those of different labels, and of weights whose ratio allows the similarity; with
-    ``best`` just one of each node, the one that agrees most.
+    Only those of different labels, of weights whose ratio allows the similarity, and that
+    share no band before this one: there they are compared, or settled.
     """
-
-    def members(part: pa.Array) -> list[np.ndarray]:
-        sketch = np.frombuffer(b"".join(part.field("sketch").to_pylist()), np.uint8)
-        numbers = [part.field(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "total")]
-        return [*numbers, sketch.reshape(-1, REGISTERS)]
-
-    def pairs(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray]:
-        low, high = np.minimum.outer(a[2], b[2]), np.maximum.outer(a[2], b[2])
-        fits = (a[1][:, None] != b[1]) & (low >= threshold * high)
-        left, right = np.nonzero(np.triu(fits) if same else fits)
-        agree = np.zeros(len(left), np.int64)
-        for at in range(0, len(left), 1 << 15):
-            some = slice(at, at + (1 << 15))
-            agree[some] = np.count_nonzero(a[3][left[some]] == b[3][right[some]], axis=1)
-        kept = np.flatnonzero(agree >= LEAST_EQUAL)
-        if best:
-            kept = kept[np.lexsort((-agree[kept], left[kept]))]
-            kept = kept[np.unique(left[kept], return_index=True)[1]]
-        return a[0][left[kept]], b[0][right[kept]]
+    low, high = np.minimum.outer(a[2], b[2]), np.maximum.outer(a[2], b[2])
+    fits = (a[1][:, None] != b[1]) & (low >= threshold * high)
+    left, right = np.nonzero(np.triu(fits) if same else fits)
+    found = []
+    for at in range(0, len(left), 1 << 15):
+        x, y = left[at : at + (1 << 15)], right[at : at + (1 << 15)]
+        agree = np.count_nonzero(a[3][x] == b[3][y], axis=1)
+        near = np.flatnonzero(agree >= LEAST_EQUAL)
+        x, y, agree = x[near], y[near], agree[near]
+        shared = (a[4][x] == b[4][y]).argmax(axis=1)
+        here = a[4][x, shared] == band
+        found.append((x[here], y[here], agree[here]))
+    if not found:
+        return left, right
+    x, y, agree = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(-agree, kind="stable")
+    return x[order], y[order]
+
+
+def _shared_runs(sides: list[pa.Array], wanted: list[np.ndarray]) -> list[tuple[dict, np.ndarray]]:
+    """Of the wanted texts of each side, the runs that others of them have, and their weight.
+
+    Runs, themselves and not their hashes, are numbered; no other run takes part in an
+    overlap of two of these texts.
+    """
+    numbers: dict[tuple, int] = {}
+    bags = [{at: bag_of(side.field("text")[at].as_py().encode()) for at in places.tolist()}
+            for side, places in zip(sides, wanted, strict=True)]
+    holders = Counter(run for side in bags for bag in side.values() for run in bag)
+    out = []
+    for side, members in zip(bags, sides, strict=True):
+        kept, weight = {}, np.zeros(len(members), np.int64)
+        for at, bag in side.items():
+            kept[at] = {numbers.setdefault(r, len(numbers)): n for r, n in bag.items() if holders[r] > 1}
+            weight[at] = sum(kept[at].values())
+        out.append((kept, weight))
+    return out
+
+
+def _linking(threshold: float):
+    """Links among the members of two parts of a band, or of one, that connect their labels."""
+
+    def of(band: int, same: bool, sides: list[pa.Array]) -> list[tuple[int, int]]:
+        members, root, links = [_members(s) for s in sides], {}, []
+        a, b = members[0], members[-1]
+        x, y = _agreeing(a, b, band, same, threshold)
+        wanted = [np.unique(np.append(x, y))] if same else [np.unique(x), np.unique(y)]
+        runs = _shared_runs(sides, wanted)
+        (bags_a, shared_a), (bags_b, shared_b) = runs[0], runs[-1]
+        both = a[2][x] + b[2][y]
+        most = np.minimum(shared_a[x], shared_b[y])
+        near = most >= threshold * (both - most)
+        x, y, both = x[near].tolist(), y[near].tolist(), both[near].tolist()
+
+        def label(found: int) -> int:
+            while found in root:
+                found = root[found]
+            return found
+
+        for i, k, total in zip(x, y, both, strict=True):
+            one, other = label(int(a[1][i])), label(int(b[1][k]))
+            if one != other:
+                less, more = sorted((bags_a[i], bags_b[k]), key=len)
+                common = sum(min(n, more[r]) for r, n in less.items() if r in more)
+                if common / (total - common) >= threshold:
+                    root[max(one, other)] = min(one, other)
+                    links.append((int(a[0][i]), int(b[0][k])))
+        return links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for same, sides in zip(batch.column("same").to_pylist(), batch.column("sides"), strict=True):
-                found = [members(side.values) for side in sides.values]
-                if len(found) == 2 or same:
-                    one, other = pairs(found[0], found[-1], same)
-                    columns = [pa.array(np.maximum(one, other)), pa.array(np.minimum(one, other))]
+            numbers = zip(batch.column("band").to_pylist(), batch.column("same").to_pylist(), strict=True)
+            for (band, same), sides in zip(numbers, batch.column("sides"), strict=True):
+                found = [side.values for side in sides.values]
+                if same or len(found) == 2:
+                    links = np.array(of(band, same, found), np.int64).reshape(-1, 2)
+                    columns = [pa.array(links.max(axis=1)), pa.array(links.min(axis=1))]
                     yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
     return run
 
 
-def second_pairs(
-    left: DataFrame, nodes: DataFrame, labels: DataFrame, known: DataFrame, threshold: float, best: bool
-) -> DataFrame:
-    """All pairs of different labels that share a band and whose registers agree, but the known.
+def second_links(left: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links that connect what is similar among the nodes of the bands in ``left``.
 
     A band's nodes are cut into parts by hash, and every two parts of a band, and each with
-    itself, are compared in one row, by their registers: as many rows as pairs of parts, of
-    bounded size each, and a band of any size is spread.  With ``best`` a node comes with
-    one other of each two parts at most.
+    itself, meet in one row: as many rows as pairs of parts, of bounded size each, and a
+    band of any size is spread.  Each pair that shares a band is compared by registers once;
+    if they agree, and it is not connected yet in its row, by the exact overlap.
     """
-    inner = _of_several(left.join(labels, "node"))
     part = F.pmod(F.xxhash64("node", "band"), F.col("parts"))
-    member = F.struct("node", "label", "total", "sketch")
-    cut = inner.join(nodes.select("node", "total", "sketch"), "node").groupBy(
-        "band", "parts", part.alias("part")
+    member = F.struct("node", "label", "total", "sketch", "bands", "text")
+    cut = left.join(nodes.select("node", "total", "sketch", "bands"), "node").join(texts, "node")
+    cut = cut.groupBy("band", "parts", part.alias("part")).agg(
+        F.collect_list(member).alias("side"), F.min("label").alias("low"), F.max("label").alias("high")
     )
-    cut = cut.agg(F.collect_list(member).alias("side"), F.min("label").alias("low"), F.max("label").alias("high"))
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     first, second = F.least("part", "other"), F.greatest("part", "other")
     met = met.groupBy("band", first.alias("first"), second.alias("second")).agg(
         F.collect_list("side").alias("sides"), F.min("low").alias("low"), F.max("high").alias("high")
     )
     met = met.filter(F.col("low") < F.col("high"))
-    met = met.select((F.col("first") == F.col("second")).alias("same"), "sides")
-    pairs = met.mapInArrow(_agreeing(threshold, best), "a long, b long").distinct()
-    return pairs.join(known, ["a", "b"], "left_anti")
+    # small rows may be long work: they are not put together by their bytes
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(n, "band", "first", "second")
+    met = met.select("band", (F.col("first") == F.col("second")).alias("same"), "sides")
+    return met.mapInArrow(_linking(threshold), "a long, b long")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -414,14 +469,7 @@ def near_labels(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD)
     texts = stage(texts.dropDuplicates(["node"]), "bag_texts")
     labels = linked(pairs, texts, nodes.select("node", F.col("node").alias("label")), threshold)
     left = unsettled(nodes, ends, labels)
-    # what the best pairs connect need not meet the others
-    for best in (True, False):
-        if left.isEmpty():
-            break
-        more = stage(second_pairs(left, nodes, labels, pairs, threshold, best), "bag_pairs_rest")
-        if not more.isEmpty():
-            labels, pairs = linked(more, texts, labels, threshold), pairs.union(more)
-    return labels
+    return connected(labels, stage(second_links(left, nodes, texts, threshold), "bag_links_second"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -116,7 +116,8 @@ def test_no_pair_of_a_full_band_is_left_out(spark):
     rows = [(i, " ".join([*passages[i % 300], f"own{i}"])) for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     nodes = bagminhash._nodes(bagminhash.sign(docs))
-    labels = bagminhash.near_labels(docs, nodes.withColumn("bands", F.array(F.lit(7).cast("long"), F.lit(8).cast("long"))))
+    full = F.sequence(F.lit(1).cast("long"), F.lit(bagminhash.BANDS).cast("long"))
+    labels = bagminhash.near_labels(docs, nodes.withColumn("bands", full))
     found = nodes.join(labels, "node").groupBy("label").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
     assert sorted(r.ids for r in found.collect()) == [[i, i + 300] for i in range(300)]
 
