@@ -9,7 +9,7 @@ from footfall import schema
 from footfall.config import DEFAULT, Config
 from footfall.functions import urls
 from footfall.functions.ids import digest_id
-from footfall.operators import carry, identity, timeline
+from footfall.operators import carry, timeline
 
 BLOCK = ["client_id", "block_start"]
 SOURCE_FIELDS = (
@@ -54,21 +54,23 @@ def is_signalled() -> Column:
 
 
 def source_activity(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Activity per (hash, slice, client_id, legacy, signal): one pass over raw.
+    """Activity per (hash, client_id, timestamp, signal): one pass over raw.
 
     ``signal`` is the source key of a signalled pageview, NULL for all other
     events; ``view`` is the group's first pageview.  Everything the session
     model needs to know about other events is in this table.
     """
     signal = F.struct(F.coalesce("referrer", F.lit("")).alias("referrer"), "clid", "utm")
-    marked = with_signals(events, cfg).withColumns(
-        {
-            "legacy": identity.is_legacy(F.col("timestamp"), cfg),
-            "signal": F.when(F.col("is_pageview") & is_signalled(), signal),
-        }
+    marked = with_signals(events, cfg).withColumn(
+        "signal", F.when(F.col("is_pageview") & is_signalled(), signal)
     )
     view = F.when(F.col("is_pageview"), F.struct(*SOURCE_FIELDS))
-    return timeline.activity(marked, cfg, ("client_id", "legacy", "signal"), view=F.min(view))
+    found = marked.groupBy("hash", "client_id", "timestamp", "signal").agg(
+        F.min(view).alias("view"), F.count(F.lit(1)).alias("n")
+    )
+    return timeline.with_slices(found, cfg).withColumns(
+        {"first_ts": F.col("timestamp"), "last_ts": F.col("timestamp")}
+    )
 
 
 def activity_views(active: DataFrame) -> DataFrame:
@@ -140,6 +142,43 @@ def ext_sources(candidates: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     )
 
 
+def block_sources(placed: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The sources of each (client, block): us, source, first_source.
+
+    As ``ext_sources`` of ``source_candidates``, with the views reduced to one of each
+    source before they meet their block's opening pageview.  ``placed`` is read twice: a
+    written table.
+    """
+    views = activity_views(placed).withColumns(
+        {"referrer_key": F.coalesce("referrer", F.lit("")), "signalled": is_signalled()}
+    )
+    opening = views.groupBy(*BLOCK).agg(
+        F.min(F.struct("timestamp", "event_id", "signalled", "referrer_key")).alias("opening")
+    )
+    found = (
+        views.groupBy(*BLOCK, "referrer_key", "clid", "utm", "signalled")
+        .agg(F.min(F.struct(*SOURCE_FIELDS)).alias("row"))
+        .join(opening, BLOCK)
+        .select("*", *[F.col("row")[f].alias(f) for f in SOURCE_FIELDS])
+    )
+    first = F.col("opening")
+    opens = (F.col("timestamp") == first["timestamp"]) & (F.col("event_id") == first["event_id"])
+    # the same source as an opening pageview without a signal, so that one stands for it
+    repeats = (
+        ~first["signalled"]
+        & first["event_id"].isNotNull()
+        & (F.col("referrer_key") == first["referrer_key"])
+        & F.col("clid").isNull()
+        & F.col("utm").isNull()
+    )
+    return (
+        found.withColumn("first_source", F.coalesce(opens, F.lit(False)))
+        .filter(F.col("first_source") | (F.col("signalled") & ~repeats))
+        .withColumns({"utm": apply_rules(cfg), "is_direct": ~F.col("signalled")})
+        .select(*BLOCK, source_payload().alias("source"), "first_source")
+    )
+
+
 def source_payload() -> Column:
     """What a session takes from its source, ordered by time."""
     return F.struct(
@@ -150,37 +189,28 @@ def source_payload() -> Column:
         "utm",
         "clid",
         "is_direct",
-        digest_id(F.col("client_id"), F.unix_micros("block_start"), F.col("event_id")).alias(
-            "session_id"
-        ),
-    )
-
-
-def block_sources(placed: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """The sources of each (client, block): timestamp, source, first_source."""
-    return ext_sources(source_candidates(activity_views(placed)), cfg).select(
-        *BLOCK, "timestamp", source_payload().alias("source"), "first_source"
     )
 
 
 def with_sources(asked: DataFrame, sources: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Add ``source``: the latest at or before ``timestamp``, else the block's first.
 
-    ``asked`` has a narrow row for each instant, ``sources`` is a written table.
+    No source of a block is earlier than its first, so that one counts from the block's
+    start.  ``asked`` has a narrow row for each instant; both are read twice.
     """
-    starts = sources.groupBy(*BLOCK, F.unix_micros("timestamp").alias("us")).agg(
-        F.max("source").alias("value")
-    )
-    first = sources.filter("first_source").groupBy(*BLOCK).agg(F.max("source").alias("value"))
+    starts = F.unix_micros("block_start")
+    since = F.when(F.col("first_source"), starts).otherwise(F.unix_micros("source.timestamp"))
+    values = sources.select(*BLOCK, since.alias("us"), F.col("source").alias("value"))
     rows = asked.withColumn("us", F.unix_micros("timestamp"))
-    found = carry.in_force(rows, starts, BLOCK, cfg.bin_seconds, default=first)
+    found = carry.in_force(rows, values, BLOCK, cfg.bin_seconds, opens=starts)
     return found.withColumnRenamed("value", "source").drop("us")
 
 
 def session_columns() -> dict[str, Column]:
     """Session fields of an event from its ``source``."""
     source = F.col("source")
-    block = digest_id(F.col("client_id"), F.unix_micros("block_start"))
+    visit = (F.col("client_id"), F.unix_micros("block_start"))
+    block = digest_id(*visit)
     unknown = F.struct(
         F.lit("direct").alias("source"),
         F.lit("none").alias("medium"),
@@ -188,7 +218,7 @@ def session_columns() -> dict[str, Column]:
     ).cast(schema.UTM)
     return {
         "block_id": block,
-        "session_id": F.coalesce(source["session_id"], block),
+        "session_id": F.coalesce(digest_id(*visit, source["event_id"]), block),
         "source_referrer": source["source_referrer"],
         "landing_page": source["landing_page"],
         "utm": F.coalesce(source["utm"], unknown),

@@ -2,10 +2,9 @@
 
 Values start at instants; each holds until the next one.  Finding the value in force
 is a running value over time, which a window per key would gather in one task.  Here
-the time is cut three times: into slices, seconds and instants.  The last value of
-each second and each slice is carried over by windows that the clock bounds: a key's
-slices, the seconds of a slice, the microseconds of a second.  The same plan serves
-every size.
+the time is cut into slices.  The wide rows move once, to a window that sees one key's
+rows of one slice; the last value of each slice is carried over by a window that sees one
+row for each of a key's slices.  The same plan serves every size.
 """
 
 from __future__ import annotations
@@ -26,63 +25,50 @@ def in_force(
     keys: list[str],
     slice_seconds: int,
     ahead: bool = False,
-    default: DataFrame | None = None,
+    opens: Column | None = None,
 ) -> DataFrame:
     """Add ``value`` to ``asked``: the latest of ``values`` at or before its ``us``.
 
-    Both have ``keys`` and ``us`` (epoch microseconds); ``values`` has at most one row
-    per key and instant.  ``asked`` is read twice, so it should be a written table.  ``ahead`` looks the other way: the first value at or after.
-    ``default`` (keys, ``value``) is taken where there is none.
+    Both have ``keys`` and ``us`` (epoch microseconds); of several values at one instant
+    the largest counts, by ``rank`` first where there is one.  Both are read twice, so they should be written tables or cheap to
+    make from some.  ``ahead`` looks the other way: the first value at or after.
+    ``opens`` is the instant before which a key has no rows: nothing is carried into its
+    slice.  Rows without a key or instant are left out.
     """
-    rows = asked.withColumn("_asked", F.lit(True)).unionByName(
-        values.select(*keys, "us", "value"), allowMissingColumns=True
-    )
-    order = -F.col("us") if ahead else F.col("us")
-    rows = rows.withColumns(
-        {
-            "_slice": _floor(F.col("us"), slice_seconds * SECOND),
-            "_second": _floor(F.col("us"), SECOND),
-            "_order": order,
-        }
-    )
+    size = slice_seconds * SECOND
+    largest = ["rank", "value"] if "rank" in values.columns else ["value"]
+    values = values.select(*keys, "us", *largest)
     known = F.col("value").isNotNull()
-    latest = F.max_by("value", F.when(known, F.col("_order"))).alias("last")
-
-    def earlier(partition: list[str], by: str) -> Column:
-        by_time = F.col(by).desc() if ahead else F.col(by)
-        over = Window.partitionBy(*partition).orderBy(by_time)
-        over = over.rowsBetween(Window.unboundedPreceding, -1)
-        return F.last("last", ignorenulls=True).over(over)
-
-    seconds = rows.groupBy(*keys, "_slice", "_second").agg(latest)
-    slices = seconds.groupBy(*keys, "_slice").agg(
-        F.max_by(
-            "last",
-            F.when(
-                F.col("last").isNotNull(), -F.col("_second") if ahead else F.col("_second")
-            ),
-        ).alias("last")
+    by_time = [*keys, "_slice"]
+    rows = (
+        asked.withColumn("_asked", F.lit(True))
+        .unionByName(values, allowMissingColumns=True)
+        .filter(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, "us")))
+        .withColumns(
+            {"_slice": _floor(F.col("us"), size), "_order": -F.col("us") if ahead else F.col("us")}
+        )
     )
-    slices = slices.select(*keys, "_slice", earlier(keys, "_slice").alias("from_slices"))
-    if default is not None:
-        slices = slices.join(default.withColumnRenamed("value", "_default"), keys, "left")
-        filled = F.coalesce("from_slices", "_default")
-        slices = slices.select(*keys, "_slice", filled.alias("from_slices"))
-    entries = (
-        seconds.withColumn("from_seconds", earlier([*keys, "_slice"], "_second"))
-        .join(slices, [*keys, "_slice"])
-        .select(*keys, "_second", F.coalesce("from_seconds", "from_slices").alias("_entry"))
+    looked_up = rows if opens is None else rows.filter(known | (F.col("_slice") > _floor(opens, size)))
+    ends = (
+        looked_up.groupBy(*by_time)
+        .agg(F.max(F.when(known, F.struct("_order", *largest)))["value"].alias("end"))
     )
-    # all rows of an instant are peers, so they all see the value that starts there
+    slice_order = F.col("_slice").desc() if ahead else F.col("_slice")
+    before = Window.partitionBy(*keys).orderBy(slice_order)
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    entries = ends.select(
+        *by_time, F.last("end", ignorenulls=True).over(before).alias("_entry")
+    ).filter(F.col("_entry").isNotNull())
+    # of an instant's rows the values come first, the largest of them last
     within = (
-        Window.partitionBy(*keys, "_second")
-        .orderBy("_order")
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*by_time)
+        .orderBy("_order", F.col("_asked").asc_nulls_first(), *largest)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
         rows.withColumn("_inside", F.last("value", ignorenulls=True).over(within))
         .filter("_asked")
-        .join(entries, [*keys, "_second"])
+        .join(entries, by_time, "left")
         .withColumn("value", F.coalesce("_inside", "_entry"))
-        .drop("_asked", "_slice", "_second", "_order", "_inside", "_entry")
+        .drop("rank", "_asked", "_slice", "_order", "_inside", "_entry")
     )

@@ -54,12 +54,15 @@ def with_legacy_ids(found: DataFrame, active: DataFrame, cfg: Config = DEFAULT)
 
     It is the second of a block's client ids if there are exactly two, else the
     first.  With two ids the later one is simply the maximum, so nothing is
-    collected.  Blocks that start after the cutoff are not looked at.
-    ``active`` should be a written table, since it is read more than once.
+    collected.  Blocks that start after the cutoff are not looked at, nor is what
+    happened after the last older block, so none of that moves.  Both tables should be
+    written ones, since they are read more than once.
     """
-    old = found.filter(is_legacy(F.col("block_start"), cfg))
+    is_old = is_legacy(F.col("block_start"), cfg)
+    old = found.filter(is_old)
+    until = old.select(F.max("block_end")).scalar()
     second = (
-        ids_per_block(active, old)
+        ids_per_block(active.filter(F.col("first_ts") <= until), old)
         .groupBy("hash", "block_start")
         .agg(
             F.count(F.lit(1)).alias("ids"),
@@ -68,26 +71,28 @@ def with_legacy_ids(found: DataFrame, active: DataFrame, cfg: Config = DEFAULT)
         .filter("ids = 2")
         .drop("ids")
     )
-    return (
-        found.join(second, ["hash", "block_start"], "left")
+    repaired = (
+        old.join(second, ["hash", "block_start"], "left")
         .withColumn("legacy_id", F.coalesce("second_id", "first_id"))
         .drop("second_id")
     )
+    return repaired.unionByName(found.filter(~is_old).withColumn("legacy_id", F.col("first_id")))
 
 
-def merge_client_id(cfg: Config = DEFAULT, legacy: Column | None = None) -> dict[str, Column]:
+def merge_client_id(cfg: Config = DEFAULT, alone: Column | None = None) -> dict[str, Column]:
     """Columns for rows that carry ``first_id`` and ``legacy_id``.
 
     An event keeps its own client id; without one it takes the block's first
-    id, and without any the visitor hash.  Events before the cutoff always take
-    the block's (repaired) id.
+    id, and without any the visitor hash (or ``alone``).  Events before the cutoff
+    always take the block's (repaired) id.
     """
     own, first = F.col("client_id"), F.col("first_id")
-    legacy = is_legacy(F.col("timestamp"), cfg) if legacy is None else legacy
+    legacy = is_legacy(F.col("timestamp"), cfg)
+    alone = F.col("hash") if alone is None else alone
     from_block = F.when(legacy, F.col("legacy_id")).otherwise(first)
     return {
         "client_id": F.when(own.isNotNull() & ~legacy, own).otherwise(
-            F.coalesce(from_block, F.col("hash"))
+            F.coalesce(from_block, alone)
         ),
         "no_client_id": first.isNull() & own.isNull(),
     }
@@ -96,7 +101,7 @@ def merge_client_id(cfg: Config = DEFAULT, legacy: Column | None = None) -> dict
 def merged_client_ids(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Every event with ``block_start``, merged ``client_id``, ``no_client_id``."""
     active = stage(timeline.activity(events, cfg, ("client_id",)), "activity")
-    found = with_legacy_ids(timeline.spans(active, cfg), active, cfg)
+    found = with_legacy_ids(stage(timeline.spans(active, cfg), "blocks"), active, cfg)
     columns = ("block_start", "first_id", "legacy_id")
     return (
         timeline.with_blocks(events, cfg, columns, found)

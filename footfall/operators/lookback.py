@@ -6,30 +6,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.config import DEFAULT, Config
+from footfall.functions import ids
 from footfall.operators import carry
 
 
-def with_donor(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Add ``donor``, the client's latest external session strictly before.
+def with_donor(
+    rows: DataFrame, cfg: Config = DEFAULT, lenders: DataFrame | None = None
+) -> DataFrame:
+    """Add ``donor``, start and source of the client's latest external session strictly before.
 
-    Found by client and instant, on narrow rows; the clock bounds every window, so a
-    client may have any share of the sessions.  ``rows`` should be a written table.
+    The sessions move once, with packed ids, to the hour of their client; the clock
+    bounds every window, so a client may have any share of them.  ``rows`` should be a
+    written table.  ``lenders`` are the sessions that may lend, ``rows`` themselves by default.
     """
+    lenders = rows if lenders is None else lenders
     us = F.unix_micros("start_ts")
-    donor = F.struct("start_ts", "session_id", "hash", "utm", "clid")
-    donors = (
-        rows.filter("is_external")
-        .groupBy("client_id", us.alias("us"))
-        .agg(F.max(donor).alias("value"))
+    donor, rank = F.struct("start_ts", "utm", "clid"), F.struct("session_id", "hash")
+    client, visitor = F.col("client_id"), F.col("hash")
+    donors = lenders.filter("is_external").select(
+        ids.packed(client).alias("client_id"), us.alias("us"), rank.alias("rank"), donor.alias("value")
     )
     # strictly before an instant is at or before the microsecond ahead of it
-    asked = rows.select("client_id", (us - 1).alias("us")).distinct()
-    found = carry.in_force(asked, donors, ["client_id"], cfg.session_bin_seconds)
-    found = found.select("client_id", "us", F.col("value").alias("donor"))
-    return rows.withColumn("us", us - 1).join(found, ["client_id", "us"]).drop("us")
+    asked = rows.withColumns(
+        {
+            "client_id": ids.packed(client),
+            "hash": ids.packed_beside(visitor, client),
+            "session_id": ids.packed(F.col("session_id")),
+            "us": us - 1,
+        }
+    )
+    found = carry.in_force(asked, donors, ["client_id"], cfg.session_bin_seconds).withColumns(
+        {
+            "client_id": ids.unpacked(client),
+            "hash": ids.unpacked_beside(visitor, ids.unpacked(client)),
+            "session_id": ids.unpacked(F.col("session_id")),
+        }
+    )
+    return found.select(*rows.columns, F.col("value").alias("donor"))
 
 
-def attribute(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def attribute(
+    rows: DataFrame, cfg: Config = DEFAULT, lenders: DataFrame | None = None
+) -> DataFrame:
     """Give sessions without an external source the donor's ``utm``, ``clid``.
 
     The donor counts if it is less than the lookback old: days for clients
@@ -42,7 +60,7 @@ def attribute(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     near = ((F.col("hash") != F.col("client_id")) & (age < days)) | (age < hours)
     used = F.when(~F.col("is_external") & near, F.col("donor"))
     return (
-        with_donor(rows, cfg)
+        with_donor(rows, cfg, lenders)
         .withColumn("donor", used)
         .withColumns(
             {

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from footfall.functions import ids
 from footfall.operators.timeline import slice_start
 from footfall.sources.staging import stage
 
@@ -51,8 +52,11 @@ def _mean_duration() -> Column:
 
 def daily_kpis(sessionated: DataFrame) -> DataFrame:
     """Per day: active and registered users, sessions, events, pageviews."""
+    moved = sessionated.withColumns(
+        {c: ids.packed(F.col(c)) for c in ("session_id", "client_id")}  # only counted
+    )
     return (
-        _facts(sessionated, F.to_date("timestamp").alias("date"), "client_id", "user_id")
+        _facts(moved, F.to_date("timestamp").alias("date"), "client_id", "user_id")
         .groupBy("date")
         .agg(
             F.count_distinct("client_id").alias("daily_active_users"),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.config import DEFAULT, Config
+from footfall.functions import ids
 from footfall.operators.timeline import slice_start
 from footfall.sources.staging import stage
 
@@ -196,11 +197,14 @@ def owners(sessionated: DataFrame, sessions: DataFrame) -> Owners:
     A session without such a client belongs to the users seen in it.  The two parts do not
     overlap.  Both tables are read more than once: written ones.
     """
-    seen = sessionated.groupBy("session_id", "client_id", "user_id").agg(
+    session, client = F.col("session_id"), F.col("client_id")
+    moved = {"session_id": ids.packed(session), "client_id": ids.packed(client)}
+    seen = sessionated.withColumns(moved).groupBy("session_id", "client_id", "user_id").agg(
         F.min("no_client_id").alias("no_client_id")
     )
+    seen = stage(seen, "seen")
     real = seen.filter(~F.col("no_client_id"))
-    targets = sessions.filter(~F.col("no_client_id")).select("client_id", "session_id")
+    targets = sessions.filter(~F.col("no_client_id")).withColumns(moved).select("client_id", "session_id")
     by_client = real.select("client_id", "user_id").distinct()
     alone = real.join(targets, "client_id", "left_anti").unionByName(seen.filter("no_client_id"))
     alone = alone.select("session_id", "user_id").distinct()
@@ -208,6 +212,8 @@ def owners(sessionated: DataFrame, sessions: DataFrame) -> Owners:
     pairs = by_client.select(F.col("client_id").alias("c"), F.col("user_id").alias("u"))
     same = (F.col("client_id") == F.col("c")) & F.col("user_id").eqNullSafe(F.col("u"))
     by_session = placed.join(pairs, same, "left_anti").select("session_id", "user_id")
+    by_client = by_client.withColumn("client_id", ids.unpacked(client))
+    by_session = by_session.withColumn("session_id", ids.unpacked(session))
     return Owners(stage(by_client, "owners_by_client"), stage(by_session, "owners_by_session"))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.config import DEFAULT, Config
-from footfall.functions import ga4, urls
+from footfall.functions import ga4, ids, urls
 from footfall.functions.device import flag_bots
 from footfall.operators import attribution, identity, timeline
 from footfall.sources.staging import stage
@@ -31,28 +33,42 @@ def visit_facts(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Per (hash, own client id, timestamp): block, merged client and source.
 
     All that an event takes from its visitor's other events is a function of these
-    three, so it is worked out on one narrow row for each.
+    three, so it is worked out on narrow rows, with hashes and merged ids ``packed``.
+    ``own_id`` is ``NOTHING`` for events without one, ``client_id`` for those that have
+    just the hash.
     """
-    active = stage(attribution.source_activity(events, cfg), "activity")
-    found = identity.with_legacy_ids(timeline.spans(active, cfg), active, cfg)
-    found = stage(found.select("hash", "slice", *BLOCK_COLUMNS), "spans")
-    placed = active.join(found, ["hash", "slice"]).withColumns(
-        identity.merge_client_id(cfg, F.col("legacy"))
+    active = stage(
+        attribution.source_activity(events.withColumn("hash", ids.packed(F.col("hash"))), cfg),
+        "activity",
+    )
+    spans = timeline.spans(active, cfg).select("hash", "slice", "block_start", "block_end", "first_id")
+    found = identity.with_legacy_ids(stage(spans, "spans"), active, cfg)
+    merged = identity.merge_client_id(cfg, alone=F.lit(None).cast("string"))
+    placed = (
+        active.drop("n", "first_ts", "last_ts")
+        .join(found.select("hash", "slice", *BLOCK_COLUMNS), ["hash", "slice"])
+        .withColumns({"own_id": ids.packed(F.col("client_id")), **merged})
+        .withColumn("client_id", F.coalesce(ids.packed(F.col("client_id")), "hash"))
+        .drop("slice", "first_id", "legacy_id")
     )
+    placed = stage(placed, "placed")
     sources = stage(attribution.block_sources(placed, cfg), "sources")
-    asked = (
-        timeline.with_blocks(
-            timeline.instants(events, "hash", "client_id"), cfg, BLOCK_COLUMNS, found
-        )
-        .withColumn("own_id", F.col("client_id"))
-        .withColumns(identity.merge_client_id(cfg))
-        .drop("first_id", "legacy_id")
+    nothing = F.lit(ids.NOTHING)
+    asked = placed.drop("view", "signal").withColumn("own_id", F.coalesce("own_id", nothing))
+    only_hash = F.col("client_id") == F.col("hash")
+    return (
+        attribution.with_sources(asked, sources, cfg)
+        .withColumn("client_id", F.when(only_hash, nothing).otherwise(F.col("client_id")))
+        .dropDuplicates(["hash", "own_id", "timestamp"])
     )
-    return attribution.with_sources(stage(asked, "instants"), sources, cfg)
 
 
 def events_sessionated(
-    events: DataFrame, cfg: Config = DEFAULT, parameters: bool = True
+    events: DataFrame,
+    cfg: Config = DEFAULT,
+    parameters: bool = True,
+    shown: Column | None = None,
+    lay_out: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Every event with its block, merged client, session and traffic source.
 
@@ -60,20 +76,23 @@ def events_sessionated(
     the facts of their visit; that side has one row per key, so the adaptive skew join
     can split any hot key.  Columns that depend on one event alone come last, so they
     are never shuffled and cost nothing if not used.  ``parameters`` adds the parsed
-    e-commerce structs.
+    e-commerce structs.  ``shown`` tells which events come out, though all of them count;
+    ``lay_out`` deals out the rows, which it may give a column, before those columns come.
     """
-    facts = visit_facts(events, cfg).withColumnsRenamed(
-        {"hash": "_hash", "timestamp": "_timestamp"}
-    )
-    same = (
-        (F.col("hash") == F.col("_hash"))
-        & F.col("tracked_id").eqNullSafe(F.col("own_id"))
-        & (F.col("timestamp") == F.col("_timestamp"))
-    )
-    merged = (
-        events.withColumnRenamed("client_id", "tracked_id")
-        .join(facts, same)
-        .drop("_hash", "_timestamp", "own_id", "tracked_id")
+    facts = visit_facts(events, cfg).withColumnsRenamed({"hash": "_hash", "timestamp": "_timestamp"})
+    own_id = F.coalesce(ids.packed(F.col("client_id")), F.lit(ids.NOTHING))
+    wide = events if shown is None else events.filter(shown)
+    wide = wide.withColumns({"hash": ids.packed(F.col("hash")), "_own_id": own_id}).drop("client_id")
+    same = [
+        F.col("hash") == F.col("_hash"),
+        F.col("_own_id") == F.col("own_id"),
+        F.col("timestamp") == F.col("_timestamp"),
+    ]
+    visitor = ids.unpacked(F.col("hash"))
+    merged = wide.join(facts, same).drop("_hash", "_own_id", "own_id", "_timestamp")
+    merged = merged if lay_out is None else lay_out(merged)
+    merged = merged.withColumns(
+        {"hash": visitor, "client_id": ids.unpacked_beside(F.col("client_id"), visitor)}
     )
     out = merged.withColumns({**event_columns(cfg), **attribution.session_columns()}).drop(
         "source", "block_start"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.config import DEFAULT, Config
+from footfall.functions import ids
 from footfall.operators import lookback
 from footfall.sources.staging import stage
 
@@ -46,10 +47,19 @@ def session_rows(sessionated: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     The events are reduced by all that is taken from the first of them, which is
     mostly constant, with fixed-width values only, so they are hashed and not
     sorted.  Where it does vary, the earliest counts, and at one instant the smallest.
+    Ids move packed.
     """
     key = ["session_id", "client_id", "hash"]
     us = F.unix_micros("timestamp")
-    counted = sessionated.groupBy(*key, *FROM_FIRST).agg(
+    client, visitor = F.col("client_id"), F.col("hash")
+    moved = sessionated.withColumns(
+        {
+            "session_id": ids.packed(F.col("session_id")),
+            "client_id": ids.packed_beside(client, visitor),
+            "hash": ids.packed(visitor),
+        }
+    )
+    counted = moved.groupBy(*key, *FROM_FIRST).agg(
         F.min(us).alias("start_us"),
         F.max(us).alias("end_us"),
         F.count_if(F.col("event_name") == "pageview").alias("pageviews"),
@@ -67,7 +77,14 @@ def session_rows(sessionated: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
             *[F.sum(c).alias(c) for c in ("pageviews", "events", "hits")],
             *metric_totals(cfg),
         )
-        .withColumns({name: F.col("first")[name] for name in FROM_FIRST})
+        .withColumns(
+            {
+                "session_id": ids.unpacked(F.col("session_id")),
+                "client_id": ids.unpacked_beside(client, ids.unpacked(visitor)),
+                "hash": ids.unpacked(visitor),
+                **{name: F.col("first")[name] for name in FROM_FIRST},
+            }
+        )
         .withColumnsRenamed({"is_ext_session": "is_external", "is_stub_session": "is_stub"})
         .drop("first")
     )
@@ -78,18 +95,23 @@ def sessions(
 ) -> DataFrame:
     """Attributed sessions without bots and stubs, one row per session id.
 
-    ``rows`` takes ready ``session_rows``.  Bots and stubs are dropped after
-    attribution, since their sources count; a session whose bot flag is
-    unknown is dropped too.
+    ``rows`` takes ready ``session_rows``, written.  Bots and stubs take no source and are
+    left out, but lend theirs; a session whose bot flag is unknown is left out too.
     """
     rows = stage(session_rows(sessionated, cfg), "session_rows") if rows is None else rows
     best = Window.partitionBy("session_id").orderBy(
         F.col("donor_start_ts").desc_nulls_last(), "hash"
     )
+    session, client, visitor = F.col("session_id"), F.col("client_id"), F.col("hash")
     return (
-        lookback.attribute(rows, cfg)
-        .filter(~F.col("device.is_bot") & ~F.col("is_stub"))
+        lookback.attribute(rows.filter(~F.col("device.is_bot") & ~F.col("is_stub")), cfg, rows)
+        .withColumns(
+            {"session_id": ids.packed(session), "client_id": ids.packed_beside(client, visitor)}
+        )
         .withColumn("rank", F.row_number().over(best))
         .filter("rank = 1")
         .drop("rank")
+        .withColumns(
+            {"session_id": ids.unpacked(session), "client_id": ids.unpacked_beside(client, visitor)}
+        )
     )

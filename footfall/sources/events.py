@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from footfall import schema
+from footfall.functions import ids
 from footfall.operators.event_ids import with_batch_ids
 
 PARTITION = "event_date"
 #: Which write a row came with; a repeated write replaces its own rows only.
 BATCH = "ingest_batch"
 ID = "event_id"
+#: Digests among the columns, which move packed.
+MOVED = (ID, "hash", "client_id", "block_id", "session_id")
 
 
 def stored_schema() -> T.StructType:
@@ -48,13 +51,21 @@ def with_day(events: DataFrame) -> DataFrame:
     return events.withColumn(PARTITION, F.to_date("timestamp"))
 
 
-def _sized(table: DataFrame, column: str) -> DataFrame:
+def sized(table: DataFrame, column: str = PARTITION) -> DataFrame:
     """Rows of one day together, in files of even size.
 
     The adaptive rebalance splits large days and joins small ones, so neither a
-    big day nor a hot visitor ends up in one task.
+    big day nor a hot visitor ends up in one task.  Ids move packed.
     """
-    return table.hint("rebalance", column)
+    names = [n for n, kind in table.dtypes if n in MOVED and kind == "string"]
+    beside = "hash" in names and "client_id" in names
+    client, visitor = F.col("client_id"), F.col("hash")
+    packed = {n: ids.packed(F.col(n)) for n in names}
+    unpacked = {n: ids.unpacked(F.col(n)) for n in names}
+    if beside:
+        packed["client_id"] = ids.packed_beside(client, visitor)
+        unpacked["client_id"] = ids.unpacked_beside(client, unpacked["hash"])
+    return table.withColumns(packed).hint("rebalance", column).withColumns(unpacked)
 
 
 def append_events(events: DataFrame, path: str, batch: str | None = None) -> None:
@@ -70,7 +81,7 @@ def append_events(events: DataFrame, path: str, batch: str | None = None) -> Non
     rows = events.withColumn(ID, F.col(ID).cast("string")) if given else with_batch_ids(events, batch, ID)
     rows = with_day(rows)
     (
-        _sized(rows.withColumn(BATCH, F.lit(batch)), PARTITION)
+        sized(rows.withColumn(BATCH, F.lit(batch)), PARTITION)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(PARTITION, BATCH)
@@ -78,10 +89,15 @@ def append_events(events: DataFrame, path: str, batch: str | None = None) -> Non
     )
 
 
-def overwrite_days(table: DataFrame, path: str, column: str = PARTITION) -> None:
-    """Replace the days that occur in ``table``; other days stay."""
+def overwrite_days(
+    table: DataFrame, path: str, column: str = PARTITION, is_sized: bool = False
+) -> None:
+    """Replace the days that occur in ``table``; other days stay.
+
+    ``is_sized``: its rows have been through ``sized`` already.
+    """
     (
-        _sized(table, column)
+        (table if is_sized else sized(table, column))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(column)

@@ -17,7 +17,7 @@ from footfall.config import DEFAULT, Config
 from footfall.plans import reports
 from footfall.plans import sessions as session_models
 from footfall.plans.sessionated import events_sessionated
-from footfall.sources.events import PARTITION, overwrite_days, with_day
+from footfall.sources.events import PARTITION, overwrite_days, sized, with_day
 from footfall.sources.staging import remove, stage, staging_run
 
 KEYS = ["client_id", "user_id"]
@@ -104,8 +104,14 @@ def refresh_sessionated(
         return
     read = on_days(events, touched_days(arrived, 2 * margin_days))
     with staging_run(events.sparkSession):
-        rows = with_day(events_sessionated(read.drop(PARTITION), cfg, parameters=False))
-        overwrite_days(on_days(rows, replaced), path)
+        rows = events_sessionated(
+            read.drop(PARTITION),
+            cfg,
+            parameters=False,
+            shown=F.to_date("timestamp").isin(list(replaced)),
+            lay_out=lambda found: sized(with_day(found)),
+        )
+        overwrite_days(rows, path, is_sized=True)
 
 
 def refresh_daily_kpis(
