@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Sequence
+from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.config import DEFAULT, Config
 from footfall.functions import ga4, ids, urls
 from footfall.functions.device import flag_bots
 from footfall.operators import attribution, identity, timeline
+from footfall.sources.events import PARTITION, with_day
 from footfall.sources.staging import stage
 
+#: Tasks, and so files, that a day's events are dealt out to at most.
+PARTS = 64
 BLOCK_COLUMNS = ("block_start", "first_id", "legacy_id")
 
 
@@ -33,7 +37,8 @@ def visit_facts(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Per (hash, own client id, timestamp): block, merged client and source.
 
     All that an event takes from its visitor's other events is a function of these
-    three, so it is worked out on narrow rows, with hashes and merged ids ``packed``.
+    three, so it is worked out on narrow rows, with hashes and merged ids ``packed``; one
+    with several signals has equal rows.
     ``own_id`` is ``NOTHING`` for events without one, ``client_id`` for those that have
     just the hash.
     """
@@ -56,10 +61,49 @@ def visit_facts(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     nothing = F.lit(ids.NOTHING)
     asked = placed.drop("view", "signal").withColumn("own_id", F.coalesce("own_id", nothing))
     only_hash = F.col("client_id") == F.col("hash")
+    return attribution.with_sources(asked, sources, cfg).withColumn(
+        "client_id", F.when(only_hash, nothing).otherwise(F.col("client_id"))
+    )
+
+
+def with_facts(
+    events: DataFrame, facts: DataFrame, cfg: Config = DEFAULT, days: Sequence[date] | None = None
+) -> DataFrame:
+    """Every event that has facts, with these; its hash packed, its own client id dropped.
+
+    Events and facts move once, in one exchange, to the visitor's slice and meet there in
+    order of time, so the events of a session lie side by side.  With ``days`` only the
+    events of these come out, with their day, each day in at most ``PARTS`` tasks.
+    """
+    visit = ["hash", "_own_id", "timestamp"]
+    facts = facts.withColumnRenamed("own_id", "_own_id")
+    taken = [c for c in facts.columns if c not in visit]
+    own_id = F.coalesce(ids.packed(F.col("client_id")), F.lit(ids.NOTHING))
+    wide = events.filter(F.col("hash").isNotNull() & F.col("timestamp").isNotNull())
+    wide = wide.withColumns({"hash": ids.packed(F.col("hash")), "_own_id": own_id}).drop("client_id")
+    rows = wide.unionByName(
+        facts.select(*visit, F.struct(*taken).alias("_facts")), allowMissingColumns=True
+    )
+    near = ["hash", "_slice"]
+    rows = rows.withColumn("_slice", timeline.slice_start(F.col("timestamp"), cfg.bin_seconds))
+    if days is None:
+        rows = rows.repartition(*near)
+    else:
+        part = F.pmod(F.xxhash64(*near), F.lit(PARTS))
+        rows = with_day(rows).filter(F.col(PARTITION).isin(list(days))).withColumn("_part", part)
+        rows = rows.repartition(PARTITION, "_part")
+        near = [PARTITION, "_part", *near]
+    is_event = F.col("_facts").isNull()
+    facts_first = (
+        Window.partitionBy(*near, "_own_id", "timestamp")
+        .orderBy(is_event)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     return (
-        attribution.with_sources(asked, sources, cfg)
-        .withColumn("client_id", F.when(only_hash, nothing).otherwise(F.col("client_id")))
-        .dropDuplicates(["hash", "own_id", "timestamp"])
+        rows.withColumn("_found", F.last("_facts", ignorenulls=True).over(facts_first))
+        .filter(is_event & F.col("_found").isNotNull())
+        .withColumns({c: F.col("_found")[c] for c in taken})
+        .drop("_own_id", "_slice", "_part", "_facts", "_found")
     )
 
 
@@ -67,31 +111,18 @@ def events_sessionated(
     events: DataFrame,
     cfg: Config = DEFAULT,
     parameters: bool = True,
-    shown: Column | None = None,
-    lay_out: Callable[[DataFrame], DataFrame] | None = None,
+    days: Sequence[date] | None = None,
 ) -> DataFrame:
     """Every event with its block, merged client, session and traffic source.
 
-    ``events`` is the raw table plus ``event_id``.  The wide rows move once, to meet
-    the facts of their visit; that side has one row per key, so the adaptive skew join
-    can split any hot key.  Columns that depend on one event alone come last, so they
-    are never shuffled and cost nothing if not used.  ``parameters`` adds the parsed
-    e-commerce structs.  ``shown`` tells which events come out, though all of them count;
-    ``lay_out`` deals out the rows, which it may give a column, before those columns come.
+    ``events`` is the raw table plus ``event_id``.  The wide rows move once, to meet the
+    facts of their visit.  Columns that depend on one event alone come last, so they are
+    never shuffled and cost nothing if not used.  ``parameters`` adds the parsed e-commerce
+    structs.  ``days`` tells whose events come out, though all of them count; they lie
+    together by day.
     """
-    facts = visit_facts(events, cfg).withColumnsRenamed({"hash": "_hash", "timestamp": "_timestamp"})
-    own_id = F.coalesce(ids.packed(F.col("client_id")), F.lit(ids.NOTHING))
-    wide = events if shown is None else events.filter(shown)
-    wide = wide.withColumns({"hash": ids.packed(F.col("hash")), "_own_id": own_id}).drop("client_id")
-    same = [
-        F.col("hash") == F.col("_hash"),
-        F.col("_own_id") == F.col("own_id"),
-        F.col("timestamp") == F.col("_timestamp"),
-    ]
     visitor = ids.unpacked(F.col("hash"))
-    merged = wide.join(facts, same).drop("_hash", "_own_id", "own_id", "_timestamp")
-    merged = merged if lay_out is None else lay_out(merged)
-    merged = merged.withColumns(
+    merged = with_facts(events, visit_facts(events, cfg), cfg, days).withColumns(
         {"hash": visitor, "client_id": ids.unpacked_beside(F.col("client_id"), visitor)}
     )
     out = merged.withColumns({**event_columns(cfg), **attribution.session_columns()}).drop(

@@ -26,27 +26,22 @@ FROM_FIRST = (
 
 
 def metric_counts(cfg: Config = DEFAULT) -> list[Column]:
-    """Configured conditional counts over events."""
-    return [F.count_if(F.expr(m.condition)).alias(m.name) for m in cfg.session_metrics]
-
-
-def metric_totals(cfg: Config = DEFAULT) -> list[Column]:
-    """The same added up; those that count once at most are 0 or 1."""
+    """Configured conditional counts over events; those that count once at most are 0 or 1."""
     out = []
     for metric in cfg.session_metrics:
-        total = F.sum(metric.name)
+        count = F.count_if(F.expr(metric.condition))
         if metric.once:
-            total = F.when(total > 0, 1).otherwise(0).cast("long")
-        out.append(total.alias(metric.name))
+            count = F.when(count > 0, 1).otherwise(0).cast("long")
+        out.append(count.alias(metric.name))
     return out
 
 
 def session_rows(sessionated: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """One row per (session, client, hash), before attribution and filters.
 
-    The events are reduced by all that is taken from the first of them, which is
-    mostly constant, with fixed-width values only, so they are hashed and not
-    sorted.  Where it does vary, the earliest counts, and at one instant the smallest.
+    What is taken from the first event is mostly constant.  Where it does vary, the
+    earliest counts, and at one instant the smallest.  It is carried along as text, so each
+    task sorts its events, but only one state of a session and task moves, and moves once.
     Ids move packed.
     """
     key = ["session_id", "client_id", "hash"]
@@ -59,23 +54,16 @@ def session_rows(sessionated: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
             "hash": ids.packed(visitor),
         }
     )
-    counted = moved.groupBy(*key, *FROM_FIRST).agg(
-        F.min(us).alias("start_us"),
-        F.max(us).alias("end_us"),
-        F.count_if(F.col("event_name") == "pageview").alias("pageviews"),
-        F.count_if(F.col("event_type") == "event").alias("events"),
-        F.count(F.lit(1)).alias("hits"),
-        *metric_counts(cfg),
-    )
-    first = F.min(F.struct("start_us", *FROM_FIRST)).alias("first")
     return (
-        counted.groupBy(*key)
+        moved.groupBy(*key)
         .agg(
-            F.timestamp_micros(F.min("start_us")).alias("start_ts"),
-            F.timestamp_micros(F.max("end_us")).alias("end_ts"),
-            first,
-            *[F.sum(c).alias(c) for c in ("pageviews", "events", "hits")],
-            *metric_totals(cfg),
+            F.timestamp_micros(F.min(us)).alias("start_ts"),
+            F.timestamp_micros(F.max(us)).alias("end_ts"),
+            F.min(F.struct(us.alias("us"), *FROM_FIRST)).alias("first"),
+            F.count_if(F.col("event_name") == "pageview").alias("pageviews"),
+            F.count_if(F.col("event_type") == "event").alias("events"),
+            F.count(F.lit(1)).alias("hits"),
+            *metric_counts(cfg),
         )
         .withColumns(
             {

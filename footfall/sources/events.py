@@ -17,6 +17,8 @@ PARTITION = "event_date"
 #: Which write a row came with; a repeated write replaces its own rows only.
 BATCH = "ingest_batch"
 ID = "event_id"
+#: Hex and base64 digests take little more room in it than the bytes they stand for.
+CODEC = "zstd"
 #: Digests among the columns, which move packed.
 MOVED = (ID, "hash", "client_id", "block_id", "session_id")
 
@@ -83,6 +85,7 @@ def append_events(events: DataFrame, path: str, batch: str | None = None) -> Non
     (
         sized(rows.withColumn(BATCH, F.lit(batch)), PARTITION)
         .write.mode("overwrite")
+        .option("compression", CODEC)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(PARTITION, BATCH)
         .parquet(path)
@@ -94,11 +97,12 @@ def overwrite_days(
 ) -> None:
     """Replace the days that occur in ``table``; other days stay.
 
-    ``is_sized``: its rows have been through ``sized`` already.
+    ``is_sized``: its rows lie together by day already.
     """
     (
         (table if is_sized else sized(table, column))
         .write.mode("overwrite")
+        .option("compression", CODEC)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(column)
         .parquet(path)

@@ -10,15 +10,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.config import DEFAULT, Config
 from footfall.plans import reports
 from footfall.plans import sessions as session_models
 from footfall.plans.sessionated import events_sessionated
-from footfall.sources.events import PARTITION, overwrite_days, sized, with_day
-from footfall.sources.staging import remove, stage, staging_run
+from footfall.sources.events import PARTITION, overwrite_days
+from footfall.sources.staging import remove, staging_run
 
 KEYS = ["client_id", "user_id"]
 
@@ -43,13 +43,15 @@ def on_days(rows: DataFrame, days: Sequence[date]) -> DataFrame:
 def replace_partitions(rows: DataFrame, path: str, column: str, values: Sequence[date]) -> None:
     """Make the partitions ``values`` of ``path`` hold just ``rows``; one without rows goes.
 
-    One entry per partition is all that reaches the driver.
+    The write itself observes which have rows: one flag per partition is all that reaches
+    the driver.
     """
-    rows = stage(rows.filter(F.col(column).isin(list(values))), "replacement")
-    full = {row[0] for row in rows.select(column).distinct().collect()}
-    overwrite_days(rows, path, column)
-    for value in set(values) - full:
-        remove(rows.sparkSession, f"{path}/{column}={value}")
+    seen = Observation()
+    full = [F.max(F.col(column) == F.lit(value)).alias(str(value)) for value in values]
+    overwrite_days(rows.filter(F.col(column).isin(list(values))).observe(seen, *full), path, column)
+    for value in values:
+        if not seen.get[str(value)]:
+            remove(rows.sparkSession, f"{path}/{column}={value}")
 
 
 def session_days(arrived: DataFrame, cfg: Config = DEFAULT, margin: int = 1) -> list[date]:
@@ -104,13 +106,7 @@ def refresh_sessionated(
         return
     read = on_days(events, touched_days(arrived, 2 * margin_days))
     with staging_run(events.sparkSession):
-        rows = events_sessionated(
-            read.drop(PARTITION),
-            cfg,
-            parameters=False,
-            shown=F.to_date("timestamp").isin(list(replaced)),
-            lay_out=lambda found: sized(with_day(found)),
-        )
+        rows = events_sessionated(read.drop(PARTITION), cfg, parameters=False, days=replaced)
         overwrite_days(rows, path, is_sized=True)
 
 

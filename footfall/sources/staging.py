@@ -49,7 +49,7 @@ def staging_run(spark: SparkSession) -> Iterator[str]:
         remove(spark, folder)
 
 
-def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` below the shared folder and return it as read from there."""
     spark = df.sparkSession
     run = _RUN.get()

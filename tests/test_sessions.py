@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from dataclasses import replace
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from footfall.functions import ids
 from footfall.operators import carry, event_ids, identity, timeline
 from footfall.operators.carry import SECOND
 from footfall.plans import event_blocks, rollup, sessions
-from footfall.plans.sessionated import events_sessionated
+from footfall.plans.sessionated import events_sessionated, visit_facts, with_facts
 from footfall.sources.staging import stage
 
 OLD = datetime(2023, 9, 1, 12)
@@ -336,3 +337,32 @@ def test_ids_move_packed(spark):
     plan = sessions.session_rows(es)._jdf.queryExecution().executedPlan().toString()
     keys = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert keys and "unhex" in plan
+
+
+def test_sessions_move_one_state_each_once(spark):
+    es = stage(events_sessionated(events(spark, {}, {"user_agent": "other"}), parameters=False), "once")
+    plan = sessions.session_rows(es)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_events_move_once_to_meet_their_facts(spark):
+    """In one exchange, also where they are laid out by day, whatever the join thresholds."""
+    rows = stage(
+        events(spark, {}, {}, {"hash": None}, {"timestamp": at(24 * 60)}, {"client_id": "c"}), "wide"
+    )
+    facts = stage(visit_facts(rows), "facts")
+    facts = facts.unionByName(facts)  # equal facts count once
+    for days, shown in ((None, [0, 1, 3, 4]), ([at().date()], [0, 1, 4])):
+        found = with_facts(rows, facts, days=days)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+        assert [r.event_id for r in found.orderBy("event_id").collect()] == shown
+    assert {r.event_date for r in found.collect()} == {at().date()}
+
+
+def test_staged_tables_are_written_small(spark, tmp_path):
+    rows = spark.range(20000).select(ids.digest_id(F.col("id")).alias("id"))
+    rows.write.option("compression", "snappy").parquet(str(tmp_path / "plain"))
+    staged = stage(rows, "digests").inputFiles()
+    size = sum(Path(f.removeprefix("file://")).stat().st_size for f in staged)
+    assert size < 0.9 * sum(f.stat().st_size for f in (tmp_path / "plain").glob("*.parquet"))
