@@ -79,10 +79,10 @@ SESSION_INPUT = (
 )
 
 
-def sessionated_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sessionated events, written once for the models that read them."""
+def sessionated_table(spark: SparkSession, sf_dir: str, *unread: str) -> DataFrame:
+    """The sessionated events, written once for the models that read them, but for ``unread``."""
     rows = events_sessionated(tracked(spark, sf_dir), parameters=False)
-    return stage(rows.select(*SESSION_INPUT), "events_sessionated")
+    return stage(rows.select(*SESSION_INPUT).drop(*unread), "events_sessionated")
 
 
 def session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -415,7 +415,7 @@ def touchpoint_segments(spark, sf_dir):
 
 
 def _users(spark, sf_dir) -> tuple[DataFrame, rollup.Owners]:
-    rows = sessionated_table(spark, sf_dir)
+    rows = sessionated_table(spark, sf_dir, "event_id", "block_id", "is_source_event")
     found = stage(session_models.sessions(rows), "sessions")
     return found, rollup.owners(rows, found)
 
@@ -669,7 +669,7 @@ def recent_events(spark, sf_dir):
 
 @query
 def quality_checks(spark, sf_dir):
-    rows = sessionated_table(spark, sf_dir)
+    rows = sessionated_table(spark, sf_dir, "block_id", "is_source_event")
     found = stage(session_models.sessions(rows), "sessions")
     return quality.failures(quality.standard_checks(rows, found))
 
