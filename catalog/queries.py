@@ -728,32 +728,33 @@ def users_incremental(spark, sf_dir):
     return shown(incremental.users_from_days(incremental.read_days(spark, path)))
 
 
-def _refreshed(spark, sf_dir, rollups: bool = False) -> str:
-    """Folder of a raw table and what follows from it, after two refreshes."""
+def _refreshed(spark, sf_dir, *tables: str) -> str:
+    """Folder of a raw table and the ``tables`` that follow from it, after two refreshes."""
     root = new_folder(spark)
     for part in _parts(spark, sf_dir):
         events.append_events(part, f"{root}/raw")
         raw = events.read_events(spark, f"{root}/raw")
         incremental.refresh_sessionated(raw, f"{root}/sessionated", part)
         done = spark.read.parquet(f"{root}/sessionated")
-        incremental.refresh_sessions(done, f"{root}/sessions", part)
-        if rollups:
+        if "sessions" in tables:
+            incremental.refresh_sessions(done, f"{root}/sessions", part)
+        if "rollups" in tables:
             visits = spark.read.parquet(f"{root}/sessions")
             rollup_refresh.refresh_rollups(done, visits, f"{root}/rollups", part)
-        else:
+        if "kpis" in tables:
             incremental.refresh_daily_kpis(done, f"{root}/kpis", part)
     return root
 
 
 @query
 def sessions_incremental(spark, sf_dir):
-    rows = spark.read.parquet(f"{_refreshed(spark, sf_dir)}/sessions")
+    rows = spark.read.parquet(f"{_refreshed(spark, sf_dir, 'sessions')}/sessions")
     return shown(rows, *_session_columns(), col("donor_start_ts"))
 
 
 @query
 def daily_kpis_incremental(spark, sf_dir):
-    rows = spark.read.parquet(f"{_refreshed(spark, sf_dir)}/kpis")
+    rows = spark.read.parquet(f"{_refreshed(spark, sf_dir, 'kpis')}/kpis")
     return rounded(rows, "avg_session_duration")
 
 
@@ -763,7 +764,7 @@ ROLLED_STATES = (*(c for c in ROLLUP if c != "touchpoints"), "ext_sources")
 @query
 def clients_incremental(spark, sf_dir):
     """Clients from states by month, after two refreshes, the second with late rows."""
-    root = _refreshed(spark, sf_dir, rollups=True)
+    root = _refreshed(spark, sf_dir, "sessions", "rollups")
     return shown(
         rollup_refresh.refreshed_clients(spark, f"{root}/rollups"),
         "client_id", *ROLLED_STATES, *fields("first_utm", UTM, "first_"), *fields("last_utm", UTM, "last_"),
@@ -773,7 +774,7 @@ def clients_incremental(spark, sf_dir):
 @query
 def users_model_incremental(spark, sf_dir):
     """Users from states by month, after two refreshes, the second with late rows."""
-    root = _refreshed(spark, sf_dir, rollups=True)
+    root = _refreshed(spark, sf_dir, "sessions", "rollups")
     return shown(
         rollup_refresh.refreshed_users(spark, f"{root}/rollups"),
         "user_id", *ROLLED_STATES, *fields("first_utm", UTM, "first_"), *fields("last_utm", UTM, "last_"),
