@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+#: Timeline slices in one slice of a value carried in time.
+CARRY = 8
+
+
 @dataclass(frozen=True)
 class Rule:
     """Fill-in for a source without campaign tags.
@@ -92,6 +96,16 @@ class Config:
         if min(self.bin_seconds, self.session_bin_seconds) < 1:
             raise ValueError("layout settings must be positive")
 
+    @property
+    def carry_seconds(self) -> int:
+        """The slice in which events meet their facts and sources: most blocks lie in one."""
+        return CARRY * self.bin_seconds
+
+    @property
+    def lookback_seconds(self) -> int:
+        """The slice in which sessions meet their donors."""
+        return CARRY * self.session_bin_seconds
+
     @property
     def click_id_pattern(self) -> str:
         return "|".join(self.click_ids)

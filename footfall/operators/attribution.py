@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,19 +60,17 @@ def source_activity(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
     ``signal`` is the source key of a signalled pageview, NULL for all other
     events; ``view`` is the group's first pageview.  Everything the session
-    model needs to know about other events is in this table.
+    model needs to know about other events is in this table.  The narrow rows move
+    once, to the visitor's slice, and lie there by ``hash`` and ``slice``.
     """
     signal = F.struct(F.coalesce("referrer", F.lit("")).alias("referrer"), "clid", "utm")
     marked = with_signals(events, cfg).withColumn(
         "signal", F.when(F.col("is_pageview") & is_signalled(), signal)
     )
     view = F.when(F.col("is_pageview"), F.struct(*SOURCE_FIELDS))
-    found = marked.groupBy("hash", "client_id", "timestamp", "signal").agg(
-        F.min(view).alias("view"), F.count(F.lit(1)).alias("n")
-    )
-    return timeline.with_slices(found, cfg).withColumns(
-        {"first_ts": F.col("timestamp"), "last_ts": F.col("timestamp")}
-    )
+    key = ["hash", "client_id", "timestamp", "signal"]
+    narrow = timeline.with_slices(marked.select(*key, view.alias("view")), cfg)
+    return narrow.repartition("hash", "slice").groupBy("slice", *key).agg(F.min("view").alias("view"))
 
 
 def activity_views(active: DataFrame) -> DataFrame:
@@ -192,17 +192,23 @@ def source_payload() -> Column:
     )
 
 
-def with_sources(asked: DataFrame, sources: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def with_sources(
+    asked: DataFrame,
+    sources: DataFrame,
+    cfg: Config = DEFAULT,
+    runs: Sequence[Column | str] | None = None,
+) -> DataFrame:
     """Add ``source``: the latest at or before ``timestamp``, else the block's first.
 
     No source of a block is earlier than its first, so that one counts from the block's
-    start.  ``asked`` has a narrow row for each instant; both are read twice.
+    start.  ``asked`` has a narrow row for each instant; both are read twice.  With
+    ``runs`` only the instants come out at which the source changes, as in ``carry.in_force``.
     """
     starts = F.unix_micros("block_start")
     since = F.when(F.col("first_source"), starts).otherwise(F.unix_micros("source.timestamp"))
     values = sources.select(*BLOCK, since.alias("us"), F.col("source").alias("value"))
     rows = asked.withColumn("us", F.unix_micros("timestamp"))
-    found = carry.in_force(rows, values, BLOCK, cfg.bin_seconds, opens=starts)
+    found = carry.in_force(rows, values, BLOCK, cfg.carry_seconds, opens=starts, runs=runs)
     return found.withColumnRenamed("value", "source").drop("us")
 
 

@@ -9,6 +9,8 @@ row for each of a key's slices.  The same plan serves every size.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ def in_force(
     slice_seconds: int,
     ahead: bool = False,
     opens: Column | None = None,
+    runs: Sequence[Column | str] | None = None,
 ) -> DataFrame:
     """Add ``value`` to ``asked``: the latest of ``values`` at or before its ``us``.
 
@@ -33,7 +36,9 @@ def in_force(
     the largest counts, by ``rank`` first where there is one.  Both are read twice, so they should be written tables or cheap to
     make from some.  ``ahead`` looks the other way: the first value at or after.
     ``opens`` is the instant before which a key has no rows: nothing is carried into its
-    slice.  Rows without a key or instant are left out.
+    slice.  With ``runs`` only the first row comes out of each run of rows of a key and
+    slice, alike in these columns, that have the same value.  Rows without a key or
+    instant are left out.
     """
     size = slice_seconds * SECOND
     largest = ["rank", "value"] if "rank" in values.columns else ["value"]
@@ -65,10 +70,15 @@ def in_force(
         .orderBy("_order", F.col("_asked").asc_nulls_first(), *largest)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
+    found = (
         rows.withColumn("_inside", F.last("value", ignorenulls=True).over(within))
         .filter("_asked")
         .join(entries, by_time, "left")
         .withColumn("value", F.coalesce("_inside", "_entry"))
-        .drop("rank", "_asked", "_slice", "_order", "_inside", "_entry")
     )
+    if runs is not None:
+        earlier = F.lag(F.struct("value")).over(Window.partitionBy(*by_time, *runs).orderBy("_order"))
+        found = found.withColumn("_earlier", earlier).filter(
+            F.col("_earlier").isNull() | ~F.col("_earlier")["value"].eqNullSafe(F.col("value"))
+        )
+    return found.drop("rank", "_asked", "_slice", "_order", "_inside", "_entry", "_earlier")

@@ -55,8 +55,8 @@ def with_legacy_ids(found: DataFrame, active: DataFrame, cfg: Config = DEFAULT)
     It is the second of a block's client ids if there are exactly two, else the
     first.  With two ids the later one is simply the maximum, so nothing is
     collected.  Blocks that start after the cutoff are not looked at, nor is what
-    happened after the last older block, so none of that moves.  Both tables should be
-    written ones, since they are read more than once.
+    happened after the last older block, so none of that moves.  ``found`` should be a
+    written table, since it is read more than once.
     """
     is_old = is_legacy(F.col("block_start"), cfg)
     old = found.filter(is_old)

@@ -15,7 +15,7 @@ def with_donor(
 ) -> DataFrame:
     """Add ``donor``, start and source of the client's latest external session strictly before.
 
-    The sessions move once, with packed ids, to the hour of their client; the clock
+    The sessions move once, with packed ids, to eight hours of their client; the clock
     bounds every window, so a client may have any share of them.  ``rows`` should be a
     written table.  ``lenders`` are the sessions that may lend, ``rows`` themselves by default.
     """
@@ -35,7 +35,7 @@ def with_donor(
             "us": us - 1,
         }
     )
-    found = carry.in_force(asked, donors, ["client_id"], cfg.session_bin_seconds).withColumns(
+    found = carry.in_force(asked, donors, ["client_id"], cfg.lookback_seconds).withColumns(
         {
             "client_id": ids.unpacked(client),
             "hash": ids.unpacked_beside(visitor, ids.unpacked(client)),
@@ -52,16 +52,20 @@ def attribute(
 
     The donor counts if it is less than the lookback old: days for clients
     with a real id, hours for those known by visitor hash only.  Checking the
-    latest donor suffices, as any other is older still.
+    latest donor suffices, as any other is older still.  Sessions that take none do
+    not move to their donors.
     """
     age = F.unix_micros("start_ts") - F.unix_micros("donor.start_ts")
     days = cfg.client_lookback_days * 86_400_000_000
     hours = cfg.hash_lookback_hours * 3_600_000_000
     near = ((F.col("hash") != F.col("client_id")) & (age < days)) | (age < hours)
-    used = F.when(~F.col("is_external") & near, F.col("donor"))
+    takes = F.coalesce(~F.col("is_external"), F.lit(False))
+    placed = F.col("client_id").isNotNull() & F.col("start_ts").isNotNull()
+    found = with_donor(rows.filter(takes), cfg, rows if lenders is None else lenders)
+    found = found.withColumn("donor", F.when(near, F.col("donor")))
+    none = F.lit(None).cast(found.schema["donor"].dataType)
     return (
-        with_donor(rows, cfg, lenders)
-        .withColumn("donor", used)
+        found.unionByName(rows.filter(~takes & placed).withColumn("donor", none))
         .withColumns(
             {
                 "utm": F.coalesce("donor.utm", "utm"),

@@ -33,6 +33,18 @@ def with_slices(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return events.withColumn("slice", slice_start(F.col("timestamp"), cfg.bin_seconds))
 
 
+def moments(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """``activity`` of each event by itself: what is reduced from it moves once."""
+    return with_slices(events, cfg).select(
+        "hash",
+        "slice",
+        "client_id",
+        F.col("timestamp").alias("first_ts"),
+        F.col("timestamp").alias("last_ts"),
+        F.lit(1).alias("n"),
+    )
+
+
 def activity(
     events: DataFrame,
     cfg: Config = DEFAULT,

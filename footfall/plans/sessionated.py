@@ -34,23 +34,23 @@ def event_columns(cfg: Config = DEFAULT) -> dict[str, Column]:
 
 
 def visit_facts(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Per (hash, own client id, timestamp): block, merged client and source.
+    """Per (hash, own client id), in order of time: block, merged client and source.
 
     All that an event takes from its visitor's other events is a function of these
-    three, so it is worked out on narrow rows, with hashes and merged ids ``packed``; one
-    with several signals has equal rows.
+    three, so it is worked out on narrow rows, with hashes and merged ids ``packed``.
+    A row holds from its ``timestamp`` on, to the next one; each slice of
+    ``cfg.carry_seconds`` and each day begins with one.
     ``own_id`` is ``NOTHING`` for events without one, ``client_id`` for those that have
     just the hash.
     """
-    active = stage(
-        attribution.source_activity(events.withColumn("hash", ids.packed(F.col("hash"))), cfg),
-        "activity",
-    )
+    events = events.filter(F.col("hash").isNotNull() & F.col("timestamp").isNotNull())
+    events = events.withColumn("hash", ids.packed(F.col("hash")))
+    active = timeline.moments(events, cfg)
     spans = timeline.spans(active, cfg).select("hash", "slice", "block_start", "block_end", "first_id")
     found = identity.with_legacy_ids(stage(spans, "spans"), active, cfg)
     merged = identity.merge_client_id(cfg, alone=F.lit(None).cast("string"))
     placed = (
-        active.drop("n", "first_ts", "last_ts")
+        attribution.source_activity(events, cfg)
         .join(found.select("hash", "slice", *BLOCK_COLUMNS), ["hash", "slice"])
         .withColumns({"own_id": ids.packed(F.col("client_id")), **merged})
         .withColumn("client_id", F.coalesce(ids.packed(F.col("client_id")), "hash"))
@@ -61,7 +61,8 @@ def visit_facts(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     nothing = F.lit(ids.NOTHING)
     asked = placed.drop("view", "signal").withColumn("own_id", F.coalesce("own_id", nothing))
     only_hash = F.col("client_id") == F.col("hash")
-    return attribution.with_sources(asked, sources, cfg).withColumn(
+    runs = ["hash", "own_id", F.to_date("timestamp")]
+    return attribution.with_sources(asked, sources, cfg, runs).withColumn(
         "client_id", F.when(only_hash, nothing).otherwise(F.col("client_id"))
     )
 
@@ -72,7 +73,8 @@ def with_facts(
     """Every event that has facts, with these; its hash packed, its own client id dropped.
 
     Events and facts move once, in one exchange, to the visitor's slice and meet there in
-    order of time, so the events of a session lie side by side.  With ``days`` only the
+    order of time, each event with the latest fact, so the events of a session lie side by
+    side.  With ``days`` only the
     events of these come out, with their day, each day in at most ``PARTS`` tasks.
     """
     visit = ["hash", "_own_id", "timestamp"]
@@ -85,7 +87,7 @@ def with_facts(
         facts.select(*visit, F.struct(*taken).alias("_facts")), allowMissingColumns=True
     )
     near = ["hash", "_slice"]
-    rows = rows.withColumn("_slice", timeline.slice_start(F.col("timestamp"), cfg.bin_seconds))
+    rows = rows.withColumn("_slice", timeline.slice_start(F.col("timestamp"), cfg.carry_seconds))
     if days is None:
         rows = rows.repartition(*near)
     else:
@@ -95,8 +97,8 @@ def with_facts(
         near = [PARTITION, "_part", *near]
     is_event = F.col("_facts").isNull()
     facts_first = (
-        Window.partitionBy(*near, "_own_id", "timestamp")
-        .orderBy(is_event)
+        Window.partitionBy(*near, "_own_id")
+        .orderBy("timestamp", is_event)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (

@@ -87,19 +87,27 @@ def sessions(
     left out, but lend theirs; a session whose bot flag is unknown is left out too.
     """
     rows = stage(session_rows(sessionated, cfg), "session_rows") if rows is None else rows
+    session, client, visitor = F.col("session_id"), F.col("client_id"), F.col("hash")
     best = Window.partitionBy("session_id").orderBy(
-        F.col("donor_start_ts").desc_nulls_last(), "hash"
+        F.col("donor_start_ts").desc_nulls_last(), ids.unpacked(visitor)
     )
-    session, client, visitor = F.col("session_id"), F.col("client_id"), F.col("hash")
     return (
         lookback.attribute(rows.filter(~F.col("device.is_bot") & ~F.col("is_stub")), cfg, rows)
         .withColumns(
-            {"session_id": ids.packed(session), "client_id": ids.packed_beside(client, visitor)}
+            {
+                "session_id": ids.packed(session),
+                "client_id": ids.packed_beside(client, visitor),
+                "hash": ids.packed(visitor),
+            }
         )
         .withColumn("rank", F.row_number().over(best))
         .filter("rank = 1")
         .drop("rank")
         .withColumns(
-            {"session_id": ids.unpacked(session), "client_id": ids.unpacked_beside(client, visitor)}
+            {
+                "session_id": ids.unpacked(session),
+                "client_id": ids.unpacked_beside(client, ids.unpacked(visitor)),
+                "hash": ids.unpacked(visitor),
+            }
         )
     )
